@@ -20,13 +20,16 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
 
-#: Half of the words and of the stretches without white space that a worker remembers at most.
-CACHE = 150_000
+#: Words, and stretches without white space, that a worker remembers before it starts anew; characters encoded at once.
+CACHE, BLOCK = 300_000, 2_000_000
+#: Fragments above this length are merged with a heap; the rank of a pair that has none.
+LONG, NONE = 48, 1 << 40
 # The white space of the vocabulary's split pattern, and that pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -38,22 +41,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(0x100 + [x for x in range(256) if x not in shown].index(b)) for b in range(256)]
 
 
-class _Memo(dict):
-    """Remembers up to 2 * CACHE results: when full, the present generation becomes the old one."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(key)
-        self[key] = out = self.make(key) if out is None else out
-        return out
-
-
 class BpeCodec:
     """A word-end byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
@@ -68,17 +55,23 @@ class BpeCodec:
         top = max([*vocab.values(), *special.values()]) + 1
         self.base = top
         # (left id, right id) as one number -> rank; rank -> merged id
-        self.ranks, self.merged = {}, []
+        self.ranks, merged = {}, []
         for r, m in enumerate(model["merges"]):
             left, right = m.split(" ") if isinstance(m, str) else m
             self.ranks[vocab[left] * top + vocab[right]] = r
-            self.merged.append(vocab[left + right])
+            merged.append(vocab[left + right])
+        self.merged = np.array(merged, np.int64)
+        self.keys = np.array(sorted(self.ranks), np.int64)
+        self.key_rank = np.array([self.ranks[k] for k in self.keys.tolist()], np.int64)
         self.pairs = {p for t in vocab for s in [self.split(t)] for p in zip(s, s[1:])}
         self.byte = [vocab[c] for c in byte_symbols()]
         self.last = [vocab[c + self.end] for c in byte_symbols()]
         # the same as (left id, right id) numbers
         self.inner = {vocab[a] * top + vocab[b] for a, b in self.pairs if a in vocab and b in vocab}
-        self.chunk, self.word = _Memo(self.encode_chunk), _Memo(self.encode_word)
+        self.inner_keys = np.array(sorted(self.inner), np.int64)
+        self.byte_of, self.last_of = np.array(self.byte, np.int64), np.array(self.last, np.int64)
+        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.find = regex.compile(WORDS).findall
         self.odd = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the vocabulary does not
         self.white = regex.compile("[" + SPACE + "]+").split
@@ -94,45 +87,90 @@ class BpeCodec:
             return [*token[:-1], token[-1] + self.end]
         return list(token)
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        """A stretch without white space: its words' ids."""
-        word = self.word
-        if chunk.isascii() and (chunk.isalpha() or (chunk[-1] in ".," and chunk[:-1].isalpha())):
-            chunk = chunk.lower()
-            return word[chunk] if chunk.isalpha() else word[chunk[:-1]] + word[chunk[-1]]
-        return tuple(chain.from_iterable(map(word.__getitem__, self.find(self.normalize(chunk)))))
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        raw = word.encode("utf-8", "surrogatepass")
-        byte = self.byte
-        symbols = [byte[b] for b in raw]
-        symbols[-1] = self.last[raw[-1]]
-        base, inner, start, ids = self.base, self.inner, 0, ()
-        for i in range(1, len(symbols)):
-            if symbols[i - 1] * base + symbols[i] not in inner:  # a forced boundary
-                ids += self.merge(symbols[start:i])
-                start = i
-        return ids + self.merge(symbols[start:] if start else symbols)
-
-    def merge(self, part: list[int]) -> tuple[int, ...]:
-        """Apply the merges to one fragment in rank order, leftmost first."""
-        base, rank, merged = self.base, self.ranks.get, self.merged
-        if len(part) > 48:
-            return self.merge_long(part)
-        none = len(merged)
-        open_ = [rank(a * base + b, none) for a, b in zip(part, part[1:])]
-        while open_ and (r := min(open_)) < none:
-            i = open_.index(r)
-            part[i] = merged[r]
-            del part[i + 1], open_[i]
-            if i < len(open_):
-                open_[i] = rank(part[i] * base + part[i + 1], none)
-            if i:
-                open_[i - 1] = rank(part[i - 1] * base + part[i], none)
-        return tuple(part)
-
-    def merge_long(self, part: list[int]) -> tuple[int, ...]:
-        """The same with a heap over a linked list, for fragments of any length."""
+    def words_of(self, chunk: str) -> list[str]:
+        """The words of a stretch without white space."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1] in ".," and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1]]
+        return self.find(self.normalize(chunk))
+
+    def encode_words(self, words: list[str]) -> None:
+        """Put the ids of all these words into the memo, in one vectorised run over their fragments."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        ends = np.cumsum([len(r) for r in raw])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        symbols = self.byte_of[data]
+        symbols[ends - 1] = self.last_of[data[ends - 1]]
+        cut = np.zeros(len(symbols), bool)  # a fragment ends here
+        pairs = symbols[:-1] * self.base + symbols[1:]
+        cut[:-1] = self._at(self.inner_keys, pairs)[1]  # forced boundaries
+        cut[ends - 1] = True
+        for i, out in self.merge(symbols, cut):
+            symbols[i] = out
+        kept = np.flatnonzero(symbols >= 0)
+        ids = symbols[kept].tolist()
+        to = np.searchsorted(kept, ends).tolist()
+        start = 0
+        for w, end in zip(words, to):
+            self.words[w] = tuple(ids[start:end])
+            start = end
+
+    def _at(self, keys: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pairs stand in sorted keys, and which are missing."""
+        at = np.searchsorted(keys, pairs)
+        at[at == len(keys)] = 0
+        return at, keys[at] != pairs
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at, missing = self._at(self.keys, left * self.base + right)
+        return np.where(missing, NONE, self.key_rank[at])
+
+    def merge(self, symbols: np.ndarray, cut: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Merge each fragment in rank order, leftmost first: one merge per fragment and round.
+
+        Yields (places, ids) to write back; a place that a merge swallowed gets -1. Long fragments
+        go through a heap instead, so that rounds stay few.
+        """
+        last = np.flatnonzero(cut)
+        first = np.concatenate([[0], last[:-1] + 1])
+        size = last - first + 1
+        for a, b in zip(first[size > LONG].tolist(), last[size > LONG].tolist()):
+            yield np.arange(a, b + 1), self.merge_long(symbols[a : b + 1].tolist())
+        where = np.flatnonzero(np.repeat((size > 1) & (size <= LONG), size))
+        part, cut = symbols[where], cut[where]
+        rank = np.full(len(part), NONE)
+        open_ = np.flatnonzero(~cut)
+        rank[open_] = self._rank(part[open_], part[open_ + 1])
+        while len(part):
+            starts = np.flatnonzero(np.concatenate([[True], cut[:-1]]))
+            best = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(part)))
+            done = best == NONE
+            if done.any():
+                over = np.repeat(done, sizes)
+                yield where[over], part[over]
+                part, cut, rank, where = part[~over], cut[~over], rank[~over], where[~over]
+                sizes, best = sizes[~done], best[~done]
+                if not len(part):
+                    return
+                starts = np.cumsum(sizes) - sizes
+            hits = np.flatnonzero(rank == np.repeat(best, sizes))
+            i = hits[np.searchsorted(hits, starts)]  # the leftmost of each fragment
+            part[i] = self.merged[best]
+            cut[i] = cut[i + 1]
+            yield where[i + 1], np.full(len(i), -1)
+            keep = np.ones(len(part), bool)
+            keep[i + 1] = False
+            rank[i] = NONE
+            part, cut, rank, where = part[keep], cut[keep], rank[keep], where[keep]
+            i = i - np.arange(len(i))
+            for j in (i[~cut[i]], i[i > 0][~cut[i[i > 0] - 1]] - 1):
+                rank[j] = self._rank(part[j], part[j + 1])
+
+    def merge_long(self, part: list[int]) -> np.ndarray:
+        """One fragment of any length, with a heap over a linked list."""
         base, rank, merged = self.base, self.ranks.get, self.merged
         n = len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -143,7 +181,7 @@ class BpeCodec:
             j = after[i]
             if part[i] != a or j >= n or part[j] != b:
                 continue
-            part[i], part[j] = merged[r], -1
+            part[i], part[j] = int(merged[r]), -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
@@ -151,7 +189,7 @@ class BpeCodec:
                     heapq.heappush(heap, (r, i, part[i], part[k]))
             if (h := before[i]) >= 0 and (r := rank(part[h] * base + part[i])) is not None:
                 heapq.heappush(heap, (r, h, part[h], part[i]))
-        return tuple(p for p in part if p >= 0)
+        return np.array(part)
 
     def normalize(self, text: str) -> str:
         """NFC, then lower case one character at a time (no rule for a final sigma)."""
@@ -161,15 +199,40 @@ class BpeCodec:
                 text = text.replace("Σ", "σ")
         return text.lower()
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.cut(text) if self.cut and "<|" in text else [text]:
-            if part in self.special:
-                ids.append(self.special[part])
+    def split_chunks(self, text: str) -> list[str]:
+        return [c for c in self.white(text) if c] if self.odd(text) else text.split()
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text, in blocks of some million characters."""
+        block: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if self.cut and "<|" in text:
+                block.append([c for part in self.cut(text) for c in ([part] if part in self.special else self.split_chunks(part))])
             else:
-                chunks = filter(None, self.white(part)) if self.odd(part) else part.split()
-                ids.extend(chain.from_iterable(map(self.chunk.__getitem__, chunks)))
-        return ids
+                block.append(self.split_chunks(text))
+            size += len(text)
+            if size >= BLOCK:
+                yield from self.encode_block(block)
+                block, size = [], 0
+        yield from self.encode_block(block)
+
+    def encode_block(self, block: list[list[str]]) -> Iterator[list[int]]:
+        if len(self.chunks) > CACHE:
+            self.chunks = {}
+        if len(self.words) > CACHE:
+            self.words = {}
+        found = self.chunks
+        new = {c: self.words_of(c) for c in set().union(*block) if c not in found and c not in self.special}
+        if words := list({w for ws in new.values() for w in ws if w not in self.words}):
+            self.encode_words(words)
+        word = self.words
+        for c, ws in new.items():
+            found[c] = word[ws[0]] if len(ws) == 1 else tuple([i for w in ws for i in word[w]])
+        for s, i in self.special.items():  # only the splitter above makes a chunk of one
+            found[s] = (i,)
+        for chunks in block:
+            yield list(chain.from_iterable(map(found.__getitem__, chunks)))
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary has no decoder, so tokens are joined by spaces."""
@@ -208,8 +271,7 @@ def bpe_encode(df: DataFrame, spec: str, outputs: tuple[str, ...] = ("ids",), id
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             made: dict[str, list] = {k: [] for k in outputs}
-            for text in batch.column(1):
-                ids = codec.encode(text.as_py())
+            for ids in codec.encode(batch.column(1).to_pylist()):
                 decoded = codec.decode(ids) if "decoded" in made or "decoded_sha256" in made else ""
                 for k, to in made.items():
                     to.append(ids if k == "ids" else decoded if k == "decoded" else len(ids) if k == "n_tokens" else sha(decoded) if k == "decoded_sha256" else sha(" ".join([codec.decimal[i] for i in ids])))
