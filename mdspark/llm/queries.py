@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, pii
 
-QUERIES = {"op7_bpe": bpe.op7_bpe}
+QUERIES = {
+    "op4_pii": pii.op4_pii,
+    "op7_bpe": bpe.op7_bpe,
+}
 ORACLE: dict[str, str] = {}
 
 
