@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, pii
+from . import bpe, pii, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
     "op7_bpe": bpe.op7_bpe,
 }
