@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +40,26 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 def spread(df: DataFrame, least: int = 0) -> int:
     """A partition count for work keyed by hashed blocks: the session's shuffle partitions, or more if asked."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
+
+
+def held_out(mod: int, rest: int) -> Column:
+    """Whether a row is kept out of learning: crc32 of its id as text."""
+    return F.crc32(F.col("doc_id").cast("string")) % mod == rest
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], most_chars: int) -> tuple[list[Row], float]:
+    """A bounded sample of labelled texts, (text, y) rows, and the share of label 1 among all labels.
+
+    Of each class the first 2 * most ids by hash are drawn from the labels alone; the texts of those
+    among them that have at most most_chars characters are fetched, at most most of them are used.
+    """
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    counts = {r.y: r.n for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    ids = [r for y, n in most.items() for r in labelled.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n).collect()]
+    if not ids:
+        return [], 0.5
+    small = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in ids], "doc_id bigint, y int").dropDuplicates(["doc_id"])
+    rows = docs.where(F.length("text") <= most_chars).join(F.broadcast(small), "doc_id").select("doc_id", "text", "y").collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
+    kept = [r for y, n in most.items() for r in [x for x in rows if x.y == y][:n]]
+    return kept, counts.get(1, 0) / sum(counts.values())

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, toxicity
+from . import bpe, pii, quality, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
     "op7_bpe": bpe.op7_bpe,
+    "op9_quality": quality.op9_quality,
 }
 ORACLE: dict[str, str] = {}
 
