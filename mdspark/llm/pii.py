@@ -252,8 +252,13 @@ def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.nd
 
 def train(docs: DataFrame) -> Tagger | None:
     """From at most SAMPLE_DOCS texts of at most SAMPLE_CHARS characters that hold a digit or '@'."""
-    sample = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS)
-    windows = training_windows([r.text for r in sample.select("text").toLocalIterator()])
+    usable = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
+    ids = usable.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()  # ids first: texts are not sorted
+    if not ids:
+        return None
+    small = docs.sparkSession.createDataFrame(ids, "doc_id bigint").dropDuplicates()
+    rows = sorted(usable.join(F.broadcast(small), "doc_id").select("doc_id", "text").collect())
+    windows = training_windows([r.text for r in rows[:SAMPLE_DOCS]])
     return None if windows is None else Tagger().fit(*windows)
 
 
