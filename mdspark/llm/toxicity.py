@@ -196,15 +196,8 @@ def train(texts: list[str], labels: list[int], prior: float, rounds: int = 40, s
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model | None:
     """Train on a bounded sample of labelled rows: the first of each class by hashed id, SAMPLE_EACH at most."""
-    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    counts = {r.y: r.n for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    pick = []
-    for y, most in ((1, SAMPLE_EACH[0]), (0, SAMPLE_EACH[1])):
-        ids = labelled.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
-        pick.append(docs.where(F.length("text") <= SAMPLE_CHARS).join(ids, "doc_id").select("doc_id", "text", "y").orderBy(F.xxhash64("doc_id"), "text").limit(most))
-    rows = pick[0].unionByName(pick[1]).collect()
-    total = sum(counts.values())
-    return train([r.text for r in rows], [r.y for r in rows], counts.get(1, 0) / total if total else 0.0)
+    rows, prior = common.labelled_sample(docs, labels, label, {1: SAMPLE_EACH[0], 0: SAMPLE_EACH[1]}, SAMPLE_CHARS)
+    return train([r.text for r in rows], [r.y for r in rows], prior)
 
 
 def score_toxicity(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,12 +214,8 @@ def score_toxicity(df: DataFrame, model: Model | None, id_col: str = "doc_id", t
     return common.texts(df, id_col, text_col).mapInArrow(run, "doc_id bigint, score double")
 
 
-def held_out(mod: int, rest: int):
-    return F.crc32(F.col("doc_id").cast("string")) % mod == rest
-
-
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.texts(common.table(spark, sf_dir, "documents"))
-    labels = common.table(spark, sf_dir, "labels").where(~held_out(3, 1))
+    labels = common.table(spark, sf_dir, "labels").where(~common.held_out(3, 1))
     scored = score_toxicity(docs, fit(docs, labels))
-    return scored.select("doc_id", F.coalesce(held_out(3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(common.held_out(3, 1), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
