@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, quality, toxicity
+from . import bpe, exact_dedup, pii, quality, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op9_quality": quality.op9_quality,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
+}
 
 
 def queries() -> dict:
