@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, pii, quality, toxicity
+from . import bpe, exact_dedup, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op9_quality": quality.op9_quality,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
