@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, pii, quality, toxicity
+from . import bpe, exact_dedup, mixing, pii, quality, topk_search, toxicity
 
 QUERIES = {
+    "op1_topk": topk_search.op1_topk,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE: dict[str, str] = {
+    "op1_topk": topk_search.OP1_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
 
