@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, pii, quality, topk_search, toxicity
+from . import bpe, exact_dedup, language_id, mixing, pii, quality, topk_search, toxicity
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
+    "op2_language_id": language_id.op2_language_id,
+    "language_id_pages": language_id.language_id_pages,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
