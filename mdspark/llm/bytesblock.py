@@ -10,7 +10,8 @@ import numpy as np
 BLOCK = 1_500_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
+_R = 0x9E3779B97F4A7C15
+_BACK = pow(_R, -1, 1 << 64)
 
 
 def blocks(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -38,9 +39,9 @@ def blocks(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield owner, parts
 
 
-def powers(n: int) -> np.ndarray:
+def powers(r: int, n: int) -> np.ndarray:
     """r**i mod 2**64 for i < n."""
-    out = np.full(max(1, n), _R)
+    out = np.full(max(1, n), r, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -52,9 +53,14 @@ def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from prefix sums."""
-    p = powers(len(data) + 1)
-    h = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1])])
-    x = (h[ends] - h[starts]) * p[len(data) - starts]
-    x ^= x >> np.uint64(29)
-    return x * np.uint64(0xBF58476D1CE4E5B9) ^ (ends - starts).astype(np.uint64)
+    """A 64-bit hash of each byte range, from prefix sums; it depends on the bytes alone, not on their place."""
+    h = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_R, len(data)))])
+    x = (h[ends] - h[starts]) * powers(_BACK, len(data) + 1)[starts]
+    x = mix64(x + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return x
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
