@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, minhash, mixing, pii, quality, topk_search, toxicity
+from . import bpe, exact_dedup, language_id, minhash, mixing, pii, quality, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_minhash": minhash.op8_minhash,
     "op9_quality": quality.op9_quality,
