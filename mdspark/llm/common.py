@@ -63,3 +63,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[i
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
     kept = [r for y, n in most.items() for r in [x for x in rows if x.y == y][:n]]
     return kept, counts.get(1, 0) / sum(counts.values())
+
+
+#: Ids that are broadcast at most (8 bytes each); more are joined by shuffling.
+BROADCAST_IDS = 2_000_000
+
+
+def matched(docs: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
+    """docs joined with a small table by id: broadcast if its size, which is counted, allows it."""
+    ids = materialize(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
