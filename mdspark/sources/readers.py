@@ -38,8 +38,7 @@ def read_chunks(spark: SparkSession, files: DataFrame, separator: str | None) ->
     The list of files is a manifest's and thereby small; it names what to read.
     """
     listed = [(r.sim, r.path) for r in files.select("sim", "path").collect()]
-    reader = spark.read.option("wholetext", True) if separator is None else spark.read.option("lineSep", separator)
-    raw = reader.text([p for _, p in listed]).select("value", bare_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    raw = spark.read.text([p for _, p in listed], wholetext=separator is None, lineSep=separator).select("value", bare_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"))
     names = spark.createDataFrame(listed, "sim int, path string").select("sim", F.rtrim(bare_path(F.col("path")), F.lit("/")).alias("file"))
     folders = names.select(F.col("sim").alias("folder_sim"), F.col("file").alias("folder"))
     order = F.col("block") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -137,7 +136,7 @@ def parse_frames(chunks: DataFrame) -> DataFrame:
     cut = chunks.where(F.trim("value") != "").select("sim", "frame_ord", lines.alias("l"))
     bound = lambda i, j: tokens(F.get("l", F.lit(4 + i)))[j].cast("double")
     good = F.get("l", F.lit(1)).startswith("ITEM: NUMBER OF ATOMS") & F.get("l", F.lit(3)).startswith("ITEM: BOX BOUNDS") & F.get("l", F.lit(7)).startswith("ITEM: ATOMS")
-    checked = cut.select("sim", "frame_ord", F.when(F.coalesce(good, F.lit(False)), F.col("l")).otherwise(F.raise_error(F.lit("malformed trajectory frame"))).alias("l"))
+    checked = cut.select("sim", "frame_ord", F.when(F.coalesce(good, F.lit(False)), F.col("l")).when(F.size("l") == 0, None).otherwise(F.raise_error(F.lit("malformed trajectory frame"))).alias("l"))
     bounds = [bound(i, j).alias(f"{axis}{side}") for i, axis in enumerate("xyz") for j, side in enumerate(("lo", "hi"))]
     n = F.trim(F.get("l", F.lit(2))).cast("int")
     return checked.select("sim", F.trim(F.get("l", F.lit(0))).cast("bigint").alias("timestep"), "frame_ord", n.alias("n_atoms"), *bounds, tokens(F.regexp_replace(F.get("l", F.lit(7)), "^ITEM: ATOMS", "")).alias("columns"), F.slice("l", F.lit(9), n).alias("rows"))
