@@ -8,10 +8,11 @@ errors below the threshold are confirmed on the full sets. At Jaccard 0.8 a pair
 probability below 1e-6.
 
 Texts with equal sets are one node. In each bucket every node is first paired with the bucket's smallest
-node only, so pairs stay linear in the bucket; after components are found, only buckets that still hold
-several components are looked at again: each node outside the main component meets the bucket's nodes
-of other components, by estimate inside the join, the best ones first and in the end all of them.
-Nothing is capped. Components spread by smallest label with pointer jumping, in the shared folder.
+node only, then, in buckets that still hold several components, with its neighbours in a few random
+orders; both are linear in the bucket and join nearly all that belongs together. Only then each node
+outside a bucket's main component meets all the bucket's nodes of other components, by estimate inside
+the join. Nothing is capped: the last step covers every pair of a bucket whose link could still matter.
+Components spread by smallest label with pointer jumping, in the shared folder.
 
 Defined cases: null counts as empty text; texts without words are linked with nothing and stay; rows
 that repeat an id are one node; rows without an id are linked with nothing, have no component and stay;
@@ -25,15 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .bytesblock import BLOCK, SPACE, mix64, range_hashes, spans
 
 BANDS, ROWS, BITS = 32, 4, 4
+#: Bins of the finer signature: the low 8 bits of the least hash of each range of hashes, 0 where there is none.
+BINS = 512
 MINIMA = BANDS * ROWS
 FIELDS = 64 // BITS  # in one packed word
+#: Turns of pairing in random order; entries of a large bucket that are ordered or compared together.
+RANDOM_TURNS, PART = 1, 512
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -75,6 +80,16 @@ def shingle_sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
         yield from flush()
 
 
+def fine_signature(shingles: np.ndarray) -> bytes:
+    """One byte per range of hashes, from sorted shingle hashes."""
+    out = np.zeros(BINS, np.uint8)
+    if len(shingles):
+        bins = (shingles >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+        out[bins[first]] = mix64(shingles[first]) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, packed low bits of the minima), as int64."""
     least = np.full(MINIMA, np.iinfo(np.uint64).max)
@@ -91,24 +106,25 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nd
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands array<bigint>, packed array<bigint>); narrow."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("packed", pa.list_(pa.int64()))])
+    """(doc_id, n_shingles, digest, bands array<bigint>, packed array<bigint>, fine binary); narrow."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("packed", pa.list_(pa.int64())), ("fine", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _odd(29, MINIMA), _odd(31, MINIMA)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                n, digests, bands, packed = [], [], [], []
+                n, digests, bands, packed, fine = [], [], [], [], []
                 for s in shingle_sets(part.column(1).to_pylist(), words):
                     k, p = signature(s, a, b) if len(s) else (np.zeros(0, np.int64),) * 2
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     bands.append(k)
                     packed.append(p)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, schema.field("bands").type), pa.array(packed, schema.field("packed").type)], schema=schema)
+                    fine.append(fine_signature(s))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, schema.field("bands").type), pa.array(packed, schema.field("packed").type), pa.array(fine, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, packed array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, packed array<bigint>, fine binary")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -176,6 +192,73 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> Data
     return both.where(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
+def neighbours(rest: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each entry of a mixed bucket and the next of another component in a random order.
+
+    Large buckets are cut into random parts of about PART entries, so that no task orders a whole one.
+    """
+    draw = F.xxhash64("rep", F.lit(turn))
+    part = F.pmod(F.xxhash64("rep", F.lit(-turn)), F.ceil(F.col("size") / PART))
+    behind = F.lead(F.struct("rep", "c")).over(Window.partitionBy("key", part).orderBy(draw))
+    near = rest.select("rep", "c", behind.alias("o")).where("c <> o.c")
+    return near.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+
+
+def meet(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all likely pairs of a node outside its bucket's main component and a node of another component.
+
+    The outsiders of a bucket are the queries, in blocks of about PART, against the bucket's nodes. A pair
+    is compared first by the minima's bits, then by the finer signature, whose error is small where bins
+    outnumber shingles; it is kept in the first of its common buckets only.
+    """
+    each = rest.join(nodes, "rep").withColumn("outside", F.col("c") != F.col("main"))
+    outside = each.where("outside").groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / PART).cast("int").alias("blocks"))
+    each = each.join(outside, "key")
+    cols = ["key", "block", "rep", "c", "n_shingles", "bands", "packed", "fine"]
+    x = each.where("outside").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select(*cols).toDF(*cols)
+    y = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*cols).toDF(*cols)
+    chance, least = 1 / (1 << BITS), least_estimate(percent)
+    most_unequal = MINIMA - int(np.ceil(MINIMA * (least * (1 - chance) + chance) - 1e-9))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    goal = percent / 100
+
+    def arrays(t: pa.Table) -> tuple[np.ndarray, ...]:
+        list_ = lambda n, w: t.column(n).combine_chunks().flatten().to_numpy().reshape(-1, w)
+        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)
+        return t.column("rep").to_numpy(), t.column("c").to_numpy(), t.column("n_shingles").to_numpy().astype(float), list_("bands", BANDS), list_("packed", MINIMA // FIELDS).view(np.uint64), fine
+
+    def run(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return schema.empty_table()
+        xi, xc, xn, xb, xp, xf = arrays(one)
+        yi, yc, yn, yb, yp, yf = arrays(two)
+        band = int(np.flatnonzero(xb[0] == key[0].as_py())[0])
+        ones = np.uint64(int("1" * FIELDS, 16))
+        out_a, out_b = [], []
+        for i in range(len(xi)):
+            at = np.flatnonzero(yc != xc[i])
+            d = yp[at] ^ xp[i]
+            d |= d >> np.uint64(1)
+            d |= d >> np.uint64(2)
+            at = at[np.bitwise_count(d & ones).sum(1, dtype=np.int64) <= most_unequal]
+            if not len(at):
+                continue
+            at = at[(yb[at] == xb[i]).argmax(1) == band]
+            used = ((yf[at] | xf[i]) != 0).sum(1).astype(float)
+            equal = ((yf[at] == xf[i]) & (xf[i] != 0)).sum(1)
+            union = (yn[at] + xn[i]) / (1 + goal)  # of a pair just similar enough
+            mixed = goal * (1 - goal) * np.clip(1 - used / np.maximum(union, 1), 0, 1) / np.maximum(used, 1)
+            by_chance = (1 - goal) / 255 / np.maximum(used, 1)
+            at = at[equal / np.maximum(used, 1) >= goal - 5 * np.sqrt(mixed + by_chance) - 1 / np.maximum(used, 1)]
+            out_a.append(np.minimum(yi[at], xi[i]))
+            out_b.append(np.maximum(yi[at], xi[i]))
+        if not out_a:
+            return schema.empty_table()
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}, schema=schema)
+
+    return x.groupBy("key", "block").cogroup(y.groupBy("key", "block")).applyInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; links have 100 * intersection >= percent * union."""
     docs = common.texts(df, id_col, text_col)
@@ -183,8 +266,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one node, named by its smallest id
     equal = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = common.materialize(some.join(equal, "digest").select("doc_id", "rep", "bands", "packed"), "members")
-    nodes = members.where("doc_id = rep").select("rep", "bands", "packed")
+    members = common.materialize(some.join(equal, "digest").select("doc_id", "rep", "n_shingles", "bands", "packed", "fine"), "members")
+    nodes = members.where("doc_id = rep").select("rep", "n_shingles", "bands", "packed", "fine")
     entries = nodes.select("rep", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub <> most").select("key", "hub")
     shared = common.materialize(entries.join(hubs, "key").select("key", "rep", "hub").distinct(), "buckets")
@@ -203,22 +286,20 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
         turn += 1
         found = components(links.union(same))
         labelled = shared.join(found, shared.rep == found.node, "left").select("key", "rep", "hub", F.coalesce("component", "rep").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("c"))).alias("main")).where("lo <> hi").select("key", "main")
-        rest = common.materialize(labelled.join(mixed, "key").select("key", "rep", "c", "main").join(packed, "rep"), "rest")
-        x = rest.where("c <> main").select("key", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("packed").alias("s"))
-        y = rest.select("key", F.col("rep").alias("y"), F.col("c").alias("cy"), F.col("packed").alias("t"))
-        near = estimate(F.col("s"), F.col("t"))
-        open_ = x.join(y, (x.key == y.key) & (x.cx != y.cy) & (near >= least)).select("x", "cx", "cy", near.alias("e"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        open_ = open_.join(tried, ["a", "b"], "left_anti")
-        if turn <= 2:  # the likeliest pair of each node and component first: links found make most others needless
-            best = open_.groupBy("x", "cy").agg(F.max_by(F.struct("a", "b"), "e").alias("p")).select("p.a", "p.b")
+        mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("c"))).alias("main")).where("lo <> hi").select("key", "main", "size")
+        rest = common.materialize(labelled.join(mixed, "key").select("key", "rep", "c", "main", "size"), "rest")
+        if turn <= RANDOM_TURNS:
+            pairs = neighbours(rest, turn)
         else:
-            best = open_.select("a", "b")
-        new = common.materialize(best.distinct(), "new")
-        if not new.limit(1).count():
+            pairs = meet(rest, nodes, percent).distinct()
+        new = pairs.join(tried, ["a", "b"], "left_anti")
+        new = common.materialize(likely(new) if turn <= RANDOM_TURNS else new, "new")
+        if new.limit(1).count():
+            links = common.materialize(links.union(confirm(new, docs, percent, words)), "links")
+            tried = common.materialize(tried.union(new), "tried")
+        if turn > RANDOM_TURNS:  # every pair that could matter has been tried
+            found = components(links.union(same))
             break
-        links = common.materialize(links.union(confirm(new, docs, percent, words)), "links")
-        tried = common.materialize(tried.union(new), "tried")
     out = signed.join(found, signed.doc_id == found.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
