@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Words, and stretches without white space, that a worker remembers before it starts anew; characters encoded at once.
-CACHE, BLOCK = 300_000, 2_000_000
+CACHE, BLOCK = 150_000, 1_000_000
 #: Fragments above this length are merged with a heap; the rank of a pair that has none.
 LONG, NONE = 48, 1 << 40
 # The white space of the vocabulary's split pattern, and that pattern.

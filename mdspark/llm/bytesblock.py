@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes worked on at once; a longer text is cut at white space into pieces whose results are combined.
-BLOCK = 1_500_000
+BLOCK = 500_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _R = 0x9E3779B97F4A7C15

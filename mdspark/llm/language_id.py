@@ -100,6 +100,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def text_evidence(df: DataFrame, model: TextModel) -> DataFrame:
     """df's columns but text, and ev array<double> (weighted log likelihoods), letters boolean. Narrow."""
     kept = [c for c in df.columns if c != "text"]
+    common.small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

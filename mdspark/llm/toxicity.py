@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 from .bytesblock import spans
 
-BUCKETS, DIM, GRAMS, PASSAGE, BLOCK = 1 << 16, 8, (3, 8), 256, 1_000_000
+BUCKETS, DIM, GRAMS, PASSAGE, BLOCK = 1 << 16, 8, (3, 8), 256, 400_000
 #: Labelled texts that training sees at most, of each class; longer ones than this are not picked.
 SAMPLE_EACH, SAMPLE_CHARS = (900, 1500), 12_000
 
