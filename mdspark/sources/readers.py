@@ -58,9 +58,9 @@ def parse_species(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     lines = F.split(F.regexp_replace("value", r"^#+", ""), "\n")
     cut = chunks.select("sim", "frame_ord", tokens(F.get(lines, F.lit(0))).alias("head"), F.filter(F.slice(lines, 2, 1 << 30), lambda x: F.trim(x) != "").alias("rows"), F.get(lines, F.lit(0)).alias("first"))
-    cut = cut.where((F.trim("first") != "") | (F.size("rows") > 0))
-    early = ~F.col("head")[0].rlike("^[A-Za-z_]")
-    cut = cut.select("sim", "frame_ord", F.when(early, F.raise_error(F.lit("species row before any header"))).otherwise(F.col("head")).alias("head"), F.posexplode("rows").alias("pos", "row"))
+    blank = (F.trim("first") == "") & (F.size("rows") == 0)
+    early = ~blank & ~F.col("head")[0].rlike("^[A-Za-z_]")
+    cut = cut.select("sim", "frame_ord", "head", F.posexplode(F.when(early, F.raise_error(F.lit("species row before any header"))).otherwise(F.col("rows"))).alias("pos", "row"))
     row = cut.select("sim", (F.col("frame_ord") * 1000 + F.col("pos")).alias("row_ord"), "head", tokens(F.col("row")).alias("cells"))
     keep_last = lambda name, i: (i < F.size("cells")) & ~F.array_contains(F.slice("head", i + 2, F.greatest(F.lit(0), F.least(F.size("head"), F.size("cells")) - i - 1)), name)
     pairs = F.filter(F.transform("head", lambda name, i: F.struct(name.alias("k"), F.get("cells", i).alias("v"), keep_last(name, i).alias("on"))), lambda x: x.on)
