@@ -163,7 +163,7 @@ def train(texts: list[str], labels: list[int], prior: float, rounds: int = 40, s
         z = P @ U + b
         logit = z[:, 1] - z[:, 0]
         if step <= rounds // 3:
-            weight = (1.0 / np.bincount(part, minlength=len(y)))[part]
+            weight = (1.0 / np.maximum(1, np.bincount(part, minlength=len(y))))[part]
         else:
             top = np.maximum.reduceat(logit, begin)
             weight = (logit >= np.repeat(top, np.diff(np.append(begin, len(part))))).astype(float)
