@@ -90,6 +90,19 @@ def fine_signature(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def fine_enough(one: np.ndarray, two: np.ndarray, n_one: np.ndarray, n_two: np.ndarray, goal: float) -> np.ndarray:
+    """Whether fine signatures (rows) agree as often as those of sets of similarity goal would, less five standard errors.
+
+    Of n hashes spread over the bins, the used bins hold a sample without replacement; with few hashes it
+    is nearly all of them, and the error nearly none.
+    """
+    used = np.maximum(((one | two) != 0).sum(-1), 1).astype(float)
+    equal = ((one == two) & (one != 0)).sum(-1)
+    union = np.maximum((n_one + n_two) / (1 + goal), 1)
+    mixed = goal * (1 - goal) * np.clip(1 - used / union, 0, 1) / used
+    return equal / used >= goal - 5 * np.sqrt(mixed + (1 - goal) / 255 / used) - 1 / used
+
+
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, packed low bits of the minima), as int64."""
     least = np.full(MINIMA, np.iinfo(np.uint64).max)
@@ -181,11 +194,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def sharper(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, sizes n and m, fine signatures f and g) that the fine signatures allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if not t.num_rows:
+                continue
+            f, g = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            ok = fine_enough(f, g, t.column(2).to_numpy(), t.column(3).to_numpy(), percent / 100)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     pairs = common.materialize(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = common.materialize(full_sets(docs.join(ids, docs.doc_id == ids.id, "left_semi"), words), "sets")
+    sets = common.materialize(full_sets(common.matched(docs, ids.select(F.col("id").alias("doc_id")), "left_semi"), words), "sets")
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("s", "t"))
@@ -244,12 +271,7 @@ def meet(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if not len(at):
                 continue
             at = at[(yb[at] == xb[i]).argmax(1) == band]
-            used = ((yf[at] | xf[i]) != 0).sum(1).astype(float)
-            equal = ((yf[at] == xf[i]) & (xf[i] != 0)).sum(1)
-            union = (yn[at] + xn[i]) / (1 + goal)  # of a pair just similar enough
-            mixed = goal * (1 - goal) * np.clip(1 - used / np.maximum(union, 1), 0, 1) / np.maximum(used, 1)
-            by_chance = (1 - goal) / 255 / np.maximum(used, 1)
-            at = at[equal / np.maximum(used, 1) >= goal - 5 * np.sqrt(mixed + by_chance) - 1 / np.maximum(used, 1)]
+            at = at[fine_enough(xf[i], yf[at], xn[i], yn[at], goal)]
             out_a.append(np.minimum(yi[at], xi[i]))
             out_b.append(np.maximum(yi[at], xi[i]))
         if not out_a:
@@ -271,12 +293,13 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     entries = nodes.select("rep", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub <> most").select("key", "hub")
     shared = common.materialize(entries.join(hubs, "key").select("key", "rep", "hub").distinct(), "buckets")
-    packed = nodes.select("rep", "packed")
+    seen = nodes.select("rep", "n_shingles", "packed", "fine")
     least = least_estimate(percent)
 
     def likely(pairs: DataFrame) -> DataFrame:
-        a, b = packed.select(F.col("rep").alias("a"), F.col("packed").alias("s")), packed.select(F.col("rep").alias("b"), F.col("packed").alias("t"))
-        return pairs.join(a, "a").join(b, "b").where(estimate(F.col("s"), F.col("t")) >= least).select("a", "b").distinct()
+        a, b = seen.toDF("a", "n", "s", "f"), seen.toDF("b", "m", "t", "g")
+        near = pairs.join(a, "a").join(b, "b").where(estimate(F.col("s"), F.col("t")) >= least)
+        return sharper(near.select("a", "b", "n", "m", "f", "g"), percent).distinct()
 
     same = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     tried = common.materialize(likely(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "tried")
