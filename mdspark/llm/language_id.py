@@ -22,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .bytesblock import blocks
 
-#: Hash buckets of trigrams; labelled texts that training draws, and their greatest length and number for one language.
-BUCKETS, SAMPLE, SAMPLE_CHARS, SAMPLE_EACH = 1 << 15, 2000, 12_000, 500
+#: Hash buckets of trigrams; characters of a labelled text that training reads, and texts that it draws of one language.
+BUCKETS, SAMPLE_CHARS, SAMPLE_EACH = 1 << 15, 12_000, 500
 #: Trigrams that count in full; shares of 'und' and of a uniform guess in the priors; strengths of the parents' priors.
 FULL, UND_SHARE, HOST_STRENGTH, SUFFIX_STRENGTH, DECLARED_STRENGTH = 150.0, 0.01, 20.0, 50.0, 5.0
 #: Least probability of an accepted language.
@@ -86,15 +86,23 @@ def train(rows: list[tuple[str, str]]) -> TextModel | None:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextModel | None:
-    """From a bounded sample of labelled texts: SAMPLE ids, the first by hash, SAMPLE_EACH of a language at most."""
-    usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
-    ids = usable.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    if not ids:
+    """From up to SAMPLE_EACH ids of every language, the first by hash, and the first SAMPLE_CHARS of a text of each.
+
+    Languages are counted over all rows, so a rare one has its share whatever stands beside it. The driver
+    holds languages x SAMPLE_EACH texts at most.
+    """
+    usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()
+    if not sizes:
         return None
-    small = labelled.sparkSession.createDataFrame([(r.id,) for r in ids], "id bigint").dropDuplicates()
-    rows = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(small), "id").collect()
-    rows.sort(key=lambda r: (r.lang, r.id, r.text))
-    return train([(r.text, r.lang) for lang in sorted({r.lang for r in rows}) for r in [x for x in rows if x.lang == lang][:SAMPLE_EACH]])
+    # hashes up to here hold about three times the ids wanted, so that no more than those are ranked
+    ends = [(r.lang, min((1 << 63) - 1, int(-(1 << 63) + (3 * SAMPLE_EACH + 100) / max(1, r.n) * 2.0**64))) for r in sizes]
+    spark = labelled.sparkSession
+    near = usable.join(F.broadcast(spark.createDataFrame(ends, "lang string, top bigint")), "lang").where(F.xxhash64("id") <= F.col("top")).select("lang", "id").distinct()
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("place") <= SAMPLE_EACH).select("lang", "id").collect()
+    small = spark.createDataFrame([(r.lang, r.id) for r in first], "lang string, id bigint")
+    rows = usable.join(F.broadcast(small), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
+    return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.id))])
 
 
 def text_evidence(df: DataFrame, model: TextModel) -> DataFrame:

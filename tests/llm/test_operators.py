@@ -306,3 +306,12 @@ def test_pipeline_against_plain_stages(spark):
             want = {i: h for i, h in zip(old, codec.encode([t or "" for t in old.values()]))}
             assert all(list(r.ids) == want[r.doc_id] for r in kept.collect())
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect()) == sorted(ids)
+
+
+def test_rare_languages_are_learned(spark):
+    """A language with one row in thousands, and one whose texts are all long, are classes of the model."""
+    base = [(i, f"the number {i} of many words", "en") for i in range(6000)] + [(10_000 + i, "kolme sanaa on tämä lause", "fi") for i in range(2)] + [(20_000, "eins zwei drei vier " * 1000, "de")]
+    model = language_id.fit(spark.createDataFrame(base + base[:5], "doc_id bigint, text string, lang string"))
+    assert model.names == ["de", "en", "fi", "und"]
+    df = spark.createDataFrame([(1, "kolme sanaa on tämä lause")], "doc_id bigint, text string")
+    assert language_id.identify(df, model).first().lang == "fi"
