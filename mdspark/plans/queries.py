@@ -15,13 +15,20 @@ from .worlds import BOX, SIMS, SPECIES, World, sql
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 A, B, WIDTH = "Li", "O", 0.5
+#: Queries that stand a second time as whole_..., over the whole tables: their SQL holds only for a cut.
+WHOLE = set("""read_bonds load_simulations write_tables map_elements bond_type hill_formula molecule_signature bonds_at adjacent_frames
+reaction_scene_bonds molecule_components iterative_components dedupe_frames last_timesteps check_atom_types validation_report""".split())
 
 
 def query(name: str, oracle: str | None = None):
+    """Registers f over the cut that SQL can follow; without SQL, over the whole tables."""
+
     def register(f: Callable[[World], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(World(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(World(spark, sf_dir, oracle is None))
         if oracle is not None:
             ORACLE[name] = oracle
+        if name in WHOLE:
+            QUERIES[f"whole_{name}"] = lambda spark, sf_dir: f(World(spark, sf_dir, True))
         return f
 
     return register

@@ -2,6 +2,9 @@
 
 Suppliers are atoms, heavy line items are bonds that live for some 30-day frames, line items of the last
 frames are a trajectory, and events are thermo and species series. Every world grows with its table.
+
+The SQL below has these cuts, as recursive SQL and pairs are slow on whole tables. A whole world has none: each
+line item with two ends is a bond, in frames of a day, so that frames stay as sparse as those of the cut.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ SPECIES = ["click", "error", "purchase", "signup", "view"]
 
 
 class World:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.dir, self.whole = spark, sf_dir, whole
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -31,14 +34,30 @@ class World:
     def elements(self) -> DataFrame:
         return self.spark.createDataFrame([(i + 1, e) for i, e in enumerate(ELEMENTS)], "atom_type int, element string")
 
+    @cached_property
+    def line_days(self) -> DataFrame:
+        """Line items by simulation and day; whole worlds count days from the first one, as no timestep is negative."""
+        lines, day = self.table("lineitem"), F.col("l_shipdate").cast("date")
+        start = F.lit("1995-01-01").cast("date")
+        if self.whole:
+            lines, start = lines.crossJoin(F.broadcast(lines.agg(F.min(day).alias("start")))), F.col("start")
+        return lines.withColumns({"sim": (F.col("l_orderkey") % 3 + 1).cast("int"), "day": F.datediff(day, start).cast("bigint")})
+
     @cached_property
     def line_frames(self) -> DataFrame:
-        return self.table("lineitem").withColumns({"sim": (F.col("l_orderkey") % 3 + 1).cast("int"), "base": F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")) / 30)})
+        return self.line_days.withColumn("base", F.floor(F.col("day") / 30))
+
+    @cached_property
+    def bond_lines(self) -> DataFrame:
+        """Line items that become bonds; base is their first frame."""
+        if self.whole:
+            return self.line_days.withColumn("base", F.col("day"))
+        return self.line_frames.where("l_quantity >= 49")
 
     @cached_property
     def bonds(self) -> DataFrame:
         n = self.table("supplier").agg(F.count("*").alias("n_sup"))
-        raw = self.line_frames.where("l_quantity >= 49").crossJoin(F.broadcast(n)).select("sim", "base", F.least(F.lit(4), "l_linenumber").alias("life"), F.col("l_suppkey").alias("a"), (F.col("l_partkey") % F.col("n_sup")).alias("b"), "l_discount").where("a <> b")
+        raw = self.bond_lines.crossJoin(F.broadcast(n)).select("sim", "base", F.least(F.lit(4), "l_linenumber").alias("life"), F.col("l_suppkey").alias("a"), (F.col("l_partkey") % F.col("n_sup")).alias("b"), "l_discount").where("a <> b")
         each = raw.select("*", F.explode(F.sequence(F.lit(0), F.col("life") - 1)).alias("k"))
         return each.groupBy("sim", (F.col("base") + F.col("k")).alias("timestep"), F.least("a", "b").alias("atom_i"), F.greatest("a", "b").alias("atom_j")).agg(F.round(1 + 20 * F.max("l_discount"), 6).alias("bond_order"))
 
