@@ -17,7 +17,9 @@ ORACLE: dict[str, str] = {}
 A, B, WIDTH = "Li", "O", 0.5
 #: Queries that stand a second time as whole_..., over the whole tables: their SQL holds only for a cut.
 WHOLE = set("""read_bonds load_simulations write_tables map_elements bond_type hill_formula molecule_signature bonds_at adjacent_frames
-reaction_scene_bonds molecule_components iterative_components dedupe_frames last_timesteps check_atom_types validation_report""".split())
+reaction_scene_bonds molecule_components iterative_components dedupe_frames last_timesteps check_atom_types validation_report
+read_trajectory list_timesteps box_metrics wrap_positions minimum_image_distance scene_attributes select_elements pair_join
+reaction_scene_atoms rdf_rmax rdf_bins rdf_histogram block_histogram frame_rdf radial_distribution rdf_timesteps_used check_trajectory_columns""".split())
 
 
 def query(name: str, oracle: str | None = None):

@@ -4,7 +4,8 @@ Suppliers are atoms, heavy line items are bonds that live for some 30-day frames
 frames are a trajectory, and events are thermo and species series. Every world grows with its table.
 
 The SQL below has these cuts, as recursive SQL and pairs are slow on whole tables. A whole world has none: each
-line item with two ends is a bond, in frames of a day, so that frames stay as sparse as those of the cut.
+line item with two ends is a bond, in frames of a day, so that frames stay as sparse as those of the cut, and
+the trajectory has every line item, in frames of 30 days.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ class World:
     @cached_property
     def atoms(self) -> DataFrame:
         """Trajectory atoms with unwrapped coordinates."""
-        own = self.line_frames.where(F.col("base").between(FIRST_FRAME, LAST_FRAME))
+        own = self.line_frames if self.whole else self.line_frames.where(F.col("base").between(FIRST_FRAME, LAST_FRAME))
         order = Window.partitionBy("sim", "base").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
         at = lambda c: F.pmod(c, F.lit(3500)) / 100.0
         return own.select("sim", F.col("base").alias("timestep"), F.col("base").alias("frame_ord"), F.row_number().over(order).cast("bigint").alias("atom_id"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("atom_type"), F.col("l_tax").alias("q"), (at(F.col("l_partkey") * 37) + BOX * (F.col("l_linenumber") % 3 - 1)).alias("x"), at(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("y"), (at(F.col("l_orderkey") * 13) - BOX * (F.col("l_suppkey") % 2)).alias("z"))

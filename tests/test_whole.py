@@ -62,3 +62,32 @@ def test_components_of_whole_tables(spark, folder, lines, name):
     want = {(s, t, a, own[0]) for (s, t), b in bonds_of(lines).items() for own in parts(range(ATOMS), b) for a in own}
     got = QUERIES[name](spark, folder).collect()
     assert {(r.sim, r.timestep, r.atom_id, r.component) for r in got} == want and len(got) == len(want)
+
+
+def atoms_of(lines):
+    """{(sim, frame): [(type, x, y, z)]} in the order of atom ids."""
+    found, start = collections.defaultdict(list), min(x[-1] for x in lines)
+    for order, part, a, number, _, price, _, _, day in sorted(lines):
+        at = (part * 37 % 3500 / 100 + 35 * (number % 3 - 1), round(price * 100) % 3500 / 100, order * 13 % 3500 / 100 - 35 * (a % 2))
+        found[order % 3 + 1, (day - start).days // 30].append((a % 4 + 1, *at))
+    return found
+
+
+def test_every_line_is_an_atom(spark, folder, lines):
+    want = {(s, t, i, k, *(round(c, 6) for c in at)) for (s, t), own in atoms_of(lines).items() for i, (k, *at) in enumerate(own, 1)}
+    got = QUERIES["whole_read_trajectory"](spark, folder).collect()
+    assert {(r.sim, r.timestep, r.atom_id, r.atom_type, r.x, r.y, r.z) for r in got} == want and len(got) == len(want) == len(lines)
+    frames = QUERIES["whole_list_timesteps"](spark, folder).collect()
+    assert sorted(map(tuple, frames)) == sorted(atoms_of(lines))
+
+
+@pytest.mark.parametrize("name", ["whole_block_histogram", "whole_rdf_histogram"])
+def test_pairs_of_every_frame_are_counted(spark, folder, lines, name):
+    want = collections.Counter()
+    for (s, t), own in atoms_of(lines).items():
+        for _, *a in (x for x in own if ELEMENTS[x[0] - 1] == "Li"):
+            for _, *b in (x for x in own if ELEMENTS[x[0] - 1] == "O"):
+                d = sum((p - q - 35 * round((p - q) / 35)) ** 2 for p, q in zip(a, b)) ** 0.5
+                want[s, t, min(34, int(d / 0.5))] += d <= 17.5
+    got = {(r.sim, r.timestep, r.bin): r.n for r in QUERIES[name](spark, folder).collect()}
+    assert got == {k: n for k, n in want.items() if n}
