@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.kernels import canonical_label
 from ..operators import quality, rdf, reactions, scene, species, thermo, topology
 from ..sources import readers, sinks, store
 from .worlds import BOX, SIMS, SPECIES, World, sql
@@ -19,7 +20,10 @@ A, B, WIDTH = "Li", "O", 0.5
 WHOLE = set("""read_bonds load_simulations write_tables map_elements bond_type hill_formula molecule_signature bonds_at adjacent_frames
 reaction_scene_bonds molecule_components iterative_components dedupe_frames last_timesteps check_atom_types validation_report
 read_trajectory list_timesteps box_metrics wrap_positions minimum_image_distance scene_attributes select_elements pair_join
-reaction_scene_atoms rdf_rmax rdf_bins rdf_histogram block_histogram frame_rdf radial_distribution rdf_timesteps_used check_trajectory_columns""".split())
+reaction_scene_atoms rdf_rmax rdf_bins rdf_histogram block_histogram frame_rdf radial_distribution rdf_timesteps_used check_trajectory_columns
+format_reaction changed_reactions find_reaction atom_membership link_molecules formula_smiles reaction_clusters reaction_events
+count_reaction_paths reaction_path_table rank_reactions top_reactions first_reaction_occurrence read_reaction_counts
+write_reaction_paths formulas_observed smiles_for_formula first_appearance atom_evolution""".split())
 
 
 def query(name: str, oracle: str | None = None):
@@ -282,7 +286,11 @@ def changed_reactions(w: World) -> DataFrame:
 
 @query("find_reaction", sql("SELECT sim, t1, t2, cluster FROM rx WHERE reaction = '[''CH''] -> [''C'', ''H'']'", "rx"))
 def find_reaction(w: World) -> DataFrame:
-    return reactions.find_reaction(events(w), "['CH'] -> ['C', 'H']").select("sim", "t1", "t2", "cluster")
+    """Carbon and hydrogen parting; in whole worlds from a single bond, which canonical labels tell from others."""
+    reaction = "['CH'] -> ['C', 'H']"
+    if w.whole:
+        reaction = f"['{canonical_label(['C', 'H'], [(0, 1, 1)])}'] -> ['{canonical_label(['C'], [])}', '{canonical_label(['H'], [])}']"
+    return reactions.find_reaction(events(w), reaction).select("sim", "t1", "t2", "cluster")
 
 
 # Joins -----------------------------------------------------------------------------------------------

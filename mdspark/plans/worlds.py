@@ -70,8 +70,8 @@ class World:
 
     @cached_property
     def molecules(self) -> DataFrame:
-        """With formulas as labels."""
-        return store.materialize(topology.molecules(self.bond_atoms, self.bonds, "formula"), "molecules")
+        """With formulas as labels, as SQL has no canonical ones; in whole worlds with canonical labels."""
+        return store.materialize(topology.molecules(self.bond_atoms, self.bonds, "canonical" if self.whole else "formula"), "molecules")
 
     @cached_property
     def membership(self) -> DataFrame:

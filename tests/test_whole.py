@@ -2,6 +2,7 @@
 
 import collections
 import datetime
+import itertools
 import random
 
 import pytest
@@ -91,3 +92,38 @@ def test_pairs_of_every_frame_are_counted(spark, folder, lines, name):
                 want[s, t, min(34, int(d / 0.5))] += d <= 17.5
     got = {(r.sim, r.timestep, r.bin): r.n for r in QUERIES[name](spark, folder).collect()}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def plain_label(atoms, own):
+    """The smallest numbering of a molecule over all orders of its atoms."""
+    kind = lambda o: 1 + (o >= 1.5) + (o >= 2.5)
+    inside = [(i, j, kind(o)) for (i, j), o in own.items() if i in atoms]
+    outcome = lambda p: (tuple(ELEMENTS[a % 4] for a in p), tuple(sorted((*sorted((p.index(i), p.index(j))), t) for i, j, t in inside)))
+    return min(outcome(p) for p in itertools.permutations(atoms))
+
+
+def test_reactions_tell_isomers_apart(spark, folder, lines):
+    frames = {}  # (sim, t): [(atoms, label)] by mol_idx
+    for key, own in bonds_of(lines).items():
+        frames[key] = [(atoms, plain_label(atoms, own)) for atoms in parts(range(ATOMS), own)]
+    mols = QUERIES["whole_formula_smiles"](spark, folder).collect()
+    name = {}
+    for r in mols:
+        assert name.setdefault(frames[r.sim, r.timestep][r.mol_idx][1], r.label) == r.label
+    assert len(mols) == sum(map(len, frames.values())) and len(set(name.values())) == len(name)
+    want, isomers = set(), 0
+    for sim in (1, 2, 3):
+        times = sorted(t for s, t in frames if s == sim)
+        for t1, t2 in zip(times, times[1:]):
+            one, two = frames[sim, t1], frames[sim, t2]
+            links = [((1, i), (2, j)) for i, (a, _) in enumerate(one) for j, (b, _) in enumerate(two) if set(a) & set(b)]
+            for nodes in parts([(1, i) for i in range(len(one))] + [(2, j) for j in range(len(two))], links):
+                sides = [[own[i][1] for s, i in nodes if s == side] for side, own in ((1, one), (2, two))]
+                if set(sides[0]) != set(sides[1]):
+                    isomers += len({frozenset(tuple(sorted(x[0])) for x in side) for side in sides}) == 1
+                    text = [", ".join(f"'{n}'" for n in sorted(name[x] for x in side)) for side in sides]
+                    want.add((sim, t1, t2, nodes[0][1], f"[{text[0]}] -> [{text[1]}]"))
+    got = QUERIES["whole_reaction_events"](spark, folder).collect()
+    assert isomers and {tuple(r) for r in got} == want and len(got) == len(want)
+    counts = collections.Counter((x[0], x[4]) for x in want)
+    assert {(r.sim, r.reaction): r.n for r in QUERIES["whole_count_reaction_paths"](spark, folder).collect()} == counts
