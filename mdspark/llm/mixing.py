@@ -1,18 +1,25 @@
 """Mixing documents to target domain weights with soft membership, in DataFrame functions only.
 
-A classifier learnt from a labelled table gives every document a posterior over domains: naive Bayes
-over how many of the words (or word ends) that are clearly tied to each domain the document has.
+A classifier learnt from a labelled table gives every document a posterior over domains: naive Bayes over
+how many of the features clearly tied to each domain the document has. Features are distinct lower-case
+words, their first and last letters, the shapes of the tokens (letters as 'a' and 'A', digits as '0', all
+else as it is), and the share of distinct words.
+
 Projected-gradient least squares then fits a rate >= 0 for each document, so that the expected token
-total of each domain (sum of rate * tokens * posterior) meets its target. The rate a document gets
-depends on its posterior alone, and posteriors are rounded to three decimals, so the solver works on
-one row per distinct posterior: at most C(1000 + K - 1, K - 1) rows for K domains (501,501 for three)
-however many documents there are. Each step is one grouped aggregation of those rows; only K sums
-reach the driver.
-
-Defined cases: null and empty texts have one empty word and no tokens;
-repeated rows are rated each; a null id is sampled like any other; other columns are ignored; without
-labels every document's posterior is the first domain and rates follow from its target alone; with an
-empty table the result is empty.
+total of each domain (sum of rate * tokens * posterior) meets its target. The rate a document gets depends
+on its posterior alone, and posteriors are rounded to three decimals, so the solver works on one row per
+distinct posterior: at most C(1000 + K - 1, K - 1) rows for K domains (501,501 for three) however many
+documents there are. Each round is one grouped aggregation of those rows, which tries several steps; only
+sums reach the driver. Targets may be out of reach (no rates bring a domain's share below the least that any
+document has of it): the nearest totals are then found, and `balance` reports each domain's target beside
+what the rates give.
+
+copies is the rate rounded up or down by a hash of the row, so that its expectation is the rate.
+
+Defined cases: null and empty texts have no tokens and the features of no word; repeated rows are rated
+each; a null id is rated like any other; other columns are ignored; without labels every document's
+posterior is the first domain and rates follow from its target alone; a domain without any probability
+anywhere cannot meet its target, which is reported; with an empty table the result is empty.
 """
 
 from __future__ import annotations
@@ -25,34 +32,41 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words that carry weight for a domain, labelled documents that training draws from each domain, both at most.
+#: Features that carry weight for a domain, labelled documents that training draws from each domain, both at most.
 MOST_WORDS, SAMPLE_EACH = 2000, 2000
-#: Words count if their log odds are this far and this many standard errors above zero (weaker ones mostly tell
-#: long texts from short ones); such words of a document are told apart up to this number.
-LEAST_ODDS, LEAST_Z, LEVELS = 1.5, 3.2, 6
+#: Features count if the likelihood ratio of being tied to the domain is this large (half of it for counts of a
+#: few documents would be chance among as many features) and their log odds this far above zero.
+LEAST_RATIO, LEAST_ODDS, LEVELS = 20.0, 1.5, 6
 #: Production targets: shares of tokens by domain, and the domain whose present total the mix keeps.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS, ANCHOR = {"good": 0.97, "poor": 0.02, "toxic": 0.01}, "good"
-#: Rates this near to a whole number become it; rounds of the solver and its relative tolerance.
-SNAP, ROUNDS, TOLERANCE = 0.05, 40, 1e-3
-#: Size of a step in the share of distinct words, as its inverse; characters of a word end.
-REPEAT_STEPS, END = 10, 3
+#: How much nearness of the rates to 1 weighs against the targets; rounds end at gradients of this share of all tokens;
+#: lengths of the steps that a round tries.
+NEARNESS, TOLERANCE, LENGTHS = 1e-7, 1e-7, (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
+#: Size of a step in the share of distinct words, as its inverse; characters of a word's end and of its beginning.
+REPEAT_STEPS, END, BEGINNING = 10, 3, 5
+WHITE = r"[\x20\x09-\x0D]+"
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) from quality and toxic marks."""
+    """(doc_id, domain) from quality and toxic marks; of rows that contradict each other the worst counts."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
-    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
+    return marked.groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
-def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, feats): hashes of the distinct words and word ends and of the share of distinct words."""
+def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(carry, doc_id, n_tokens, feats): hashes of the features; tokens are separated by runs of white space."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = df.select(F.col(id_col).cast("long").alias("doc_id"), F.split(text, "[ \n\t\r]").alias("w"), (text == "").alias("none"))
-    hashed = words.select("doc_id", "none", F.size("w").alias("n"), F.array_distinct(F.transform("w", lambda w: F.xxhash64(w))).alias("d"), F.array_distinct(F.transform("w", lambda w: F.xxhash64(F.substring(w, -END, END), F.lit(END)))).alias("ends"))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "0")
+    cut = df.select(*carry, F.col(id_col).cast("long").alias("doc_id"), F.split(F.lower(text), r"[^\p{L}\p{N}]+").alias("w"), F.split(shape, WHITE).alias("t"))
+    words, tokens = F.array_remove("w", ""), F.array_remove("t", "")
+    cut = cut.select(*carry, "doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(words).alias("n"), F.array_distinct(words).alias("d"), F.array_distinct(tokens).alias("t"))
+    hashed = lambda column, kind, f: F.transform(column, lambda w: F.xxhash64(f(w), F.lit(kind)))
     # texts of few words repeat few, so the share is kept by size class
-    repeat = F.xxhash64(F.floor(F.size("d") / F.col("n") * REPEAT_STEPS), F.least(F.lit(7), F.floor(F.log2(F.col("n").cast("double")) / 2)))
-    return hashed.select("doc_id", F.when(F.col("none"), 0).otherwise(F.col("n")).cast("long").alias("n_tokens"), F.concat("d", "ends", F.array(repeat)).alias("feats"))
+    repeat = F.xxhash64(F.floor(F.size("d") / F.greatest("n", F.lit(1)) * REPEAT_STEPS), F.least(F.lit(7), F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")) / 2)))
+    parts = hashed("d", 0, lambda w: w), F.array_distinct(hashed("d", 1, lambda w: F.substring(w, -END, END))), F.array_distinct(hashed("d", 2, lambda w: F.substring(w, 1, BEGINNING))), hashed("t", 3, lambda w: w), F.array(repeat)
+    return cut.select(*carry, "doc_id", "n_tokens", F.concat(*parts).alias("feats"))
 
 
 class Classifier:
@@ -78,7 +92,7 @@ def train(df: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS, i
     picked = [r for k in names for r in domains.where(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH).collect()]
     if not picked:
         return None
-    small = df.sparkSession.createDataFrame([(r.doc_id, r.domain) for r in picked], "doc_id bigint, domain string").dropDuplicates(["doc_id"])
+    small = df.sparkSession.createDataFrame(sorted({r.doc_id: r.domain for r in picked}.items()), "doc_id bigint, domain string")
     drawn = df.join(F.broadcast(small.select(F.col("doc_id").alias(id_col))), id_col)
     # of texts whose smallest word hash is the same (mostly copies of one another) one teaches
     sample = features(drawn, id_col, text_col).join(F.broadcast(small), "doc_id").withColumn("least", F.array_min("feats")).dropDuplicates(["domain", "least"])
@@ -87,10 +101,13 @@ def train(df: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS, i
     counts = sample.select("domain", F.explode("feats").alias("word")).groupBy("word").agg(*(F.count(F.when(F.col("domain") == k, 1)).alias(f"n{i}") for i, k in enumerate(names)))
     words = []
     for i, k in enumerate(names[1:], 1):
-        a, c = F.col(f"n{i}") + 0.5, F.col("n0") + 0.5
-        odds = F.log(a / (n.get(k, 0) + 1)) - F.log(c / (n.get(first, 0) + 1))
-        tied = counts.where(f"n{i} >= 5").select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / c)).alias("z")).where((F.col("odds") > LEAST_ODDS) & (F.col("z") > LEAST_Z))
-        words.append([r.word for r in tied.orderBy(F.desc("z"), "word").limit(MOST_WORDS).collect()])
+        a, c, own, rest = F.col(f"n{i}").cast("double"), F.col("n0").cast("double"), n.get(k, 0), n.get(first, 0)
+        share = own / max(1, own + rest)
+        part = lambda x, want: F.when(x > 0, x * F.log(x / want)).otherwise(0.0)
+        ratio = 2 * (part(a, (a + c) * share) + part(c, (a + c) * (1 - share)))
+        odds = F.log((a + 0.5) / (own + 1)) - F.log((c + 0.5) / (rest + 1))
+        tied = counts.where(f"n{i} > 0").select("word", odds.alias("odds"), ratio.alias("ratio")).where((F.col("odds") > LEAST_ODDS) & (F.col("ratio") > LEAST_RATIO))
+        words.append([r.word for r in tied.orderBy(F.desc("ratio"), "word").limit(MOST_WORDS).collect()])
     seen: dict[tuple[str, int, int], int] = {}
     for i, own in enumerate(words):
         for r in sample.groupBy("domain", level(own).alias("level")).agg(F.count("*").alias("n")).collect():
@@ -100,80 +117,120 @@ def train(df: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS, i
 
 
 def posteriors(feats: DataFrame, model: Classifier | None, names: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """(doc_id, n_tokens, p): posteriors in the order of names, rounded to three decimals with sum one."""
+    """feats' other columns and p: posteriors in the order of names, rounded to three decimals with sum one."""
+    kept = [c for c in feats.columns if c != "feats"]
     if model is None:
-        return feats.select("doc_id", "n_tokens", F.array(F.lit(1.0), *[F.lit(0.0)] * (len(names) - 1)).alias("p"))
-    found = feats.select("doc_id", "n_tokens", F.array(*map(level, model.words)).alias("at"))
+        return feats.select(*kept, F.array(F.lit(1.0), *[F.lit(0.0)] * (len(names) - 1)).alias("p"))
+    found = feats.select(*kept, F.array(*map(level, model.words)).alias("at"))
     scores = [sum((F.get(F.lit(np.array(model.levels[i][k])), F.col("at")[i]) for i in range(len(model.words))), F.lit(model.prior[k])) for k in range(len(names))]
-    scored = found.select("doc_id", "n_tokens", F.array(*scores).alias("s"))
+    scored = found.select(*kept, F.array(*scores).alias("s"))
     top = F.array_max("s")
-    e = scored.select("doc_id", "n_tokens", F.transform("s", lambda x: F.exp(x - top)).alias("e"))
+    e = scored.select(*kept, F.transform("s", lambda x: F.exp(x - top)).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    rounded = e.select("doc_id", "n_tokens", F.transform("e", lambda x: F.round(x / total * 1000).cast("int")).alias("m"))
+    rounded = e.select(*kept, F.transform("e", lambda x: F.round(x / total * 1000).cast("int")).alias("m"))
     # what rounding lost or added goes to the first of the largest
     rest = 1000 - F.aggregate("m", F.lit(0), lambda a, x: a + x)
     at = F.array_position("m", F.array_max("m")) - 1
-    return rounded.select("doc_id", "n_tokens", F.transform("m", lambda x, i: (x + F.when(i == at, rest).otherwise(0)) / 1000.0).alias("p"))
+    return rounded.select(*kept, F.transform("m", lambda x, i: (x + F.when(i == at, rest).otherwise(0)) / 1000.0).alias("p"))
 
 
-def solve(cells: DataFrame, targets: list[float], anchor: int) -> list[list[float]]:
-    """The steps of projected-gradient least squares over cells (p array<double>, tokens).
+def solve(cells: DataFrame, targets: list[float], anchor: int) -> list[float]:
+    """The step g of projected-gradient least squares over cells (p array<double>, tokens): rate = max(0, 1 - g . p).
 
-    Minimises sum_k (sum of rate * tokens * p_k - T_k)^2 over rates >= 0 from rate 1. Each domain's
-    step is scaled by the tokens of the cells whose rate is above zero (with posteriors that sum to
-    one, step length 1 is then safe). Returns each step's gradient by domain:
-    rate_after = max(0, rate - gradient . p).
+    Minimises sum_k (sum of rate * tokens * p_k - T_k)^2 over rates >= 0, held to the unmixed rate 1 by
+    NEARNESS (which picks one of the many rates that meet the same targets, and bounds them where none do).
+    The optimum is a projected gradient step from rate 1: g is proportional to what is missing of each
+    domain's total. g is found by rounds of steps along the gradient, scaled by the live cells' second
+    moments; each round is one grouped aggregation that tries several lengths and keeps the best, until the
+    gradient is gone or no length is better.
     """
     size = len(targets)
 
-    def sums(steps: list[list[float]]) -> tuple[list[float], list[float]]:
-        rated = cells.select("p", "tokens", rate_of(F.col("p"), steps).alias("rate"))
-        live = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
-        row = rated.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.col("p")[k]) for k in range(size)), *(F.sum(live * F.col("p")[k]) for k in range(size))).first()
-        return [x or 0.0 for x in row[:size]], [x or 0.0 for x in row[size:]]
-
-    now, live = sums([])
-    whole = now[anchor] / targets[anchor] if targets[anchor] > 0 else sum(now)
-    goal = [whole * t for t in targets]
-    steps: list[list[float]] = []
-    while sum(now) and len(steps) < ROUNDS:
-        off = [n - g for n, g in zip(now, goal)]
-        if max(map(abs, off)) <= TOLERANCE * sum(goal):
+    def measure(tries: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each step: sum of tokens * rate^2, token totals by domain, second moments of the live cells."""
+        rated = cells.select("p", "tokens", *(rate_of(F.col("p"), g.tolist()).alias(f"r{i}") for i, g in enumerate(tries)))
+        p, sums = [F.col("p")[k] for k in range(size)], []
+        for i in range(len(tries)):
+            r, live = F.col(f"r{i}"), F.when(F.col(f"r{i}") > 0, F.col("tokens")).otherwise(0)
+            sums += [F.sum(r * r * F.col("tokens")), *(F.sum(r * F.col("tokens") * p[k]) for k in range(size)), *(F.sum(live * p[k] * p[j]) for k in range(size) for j in range(size))]
+        row = np.array([x or 0.0 for x in rated.agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).first()]).reshape(len(tries), -1)
+        return [(x[0], x[1 : 1 + size], x[1 + size :].reshape(size, size)) for x in row]
+
+    g = np.zeros(size)
+    square, now, second = measure([g])[0]
+    total = now.sum()
+    if not total:
+        return g.tolist()
+    goal = (now[anchor] / targets[anchor] if targets[anchor] > 0 else total) * np.array(targets)
+    value = lambda g, square: NEARNESS * total * (g @ g) / 2 + square / 2 + g @ goal
+    best = value(g, square)
+    while True:
+        gradient = NEARNESS * total * g - now + goal
+        if np.abs(gradient).max() <= TOLERANCE * goal.sum():
+            break
+        move = np.linalg.solve(second + NEARNESS * total * np.eye(size), gradient)
+        tries = [g - t * move for t in LENGTHS]
+        found = measure(tries)
+        values = [value(t, f[0]) for t, f in zip(tries, found)]
+        at = int(np.argmin(values))
+        if not values[at] < best:
             break
-        steps.append([x / s if s > 0 else 0.0 for x, s in zip(off, live)])
-        now, live = sums(steps)
-    return steps
+        g, best, (_, now, second) = tries[at], values[at], found[at]
+    return g.tolist()
+
 
+def rate_of(p: Column, step: list[float]) -> Column:
+    """A document's rate by the solver's step."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(g) * p[k] for k, g in enumerate(step)), F.lit(0.0)))
 
-def rate_of(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the solver's steps."""
-    if not steps:
-        return F.lit(1.0)
-    by_domain = [F.lit(np.array(g)) for g in zip(*steps)]
-    dot = lambda i: sum((F.get(g, i) * p[k] for k, g in enumerate(by_domain)), F.lit(0.0))
-    return F.aggregate(F.lit(np.arange(len(steps))), F.lit(1.0), lambda r, i: F.greatest(F.lit(0.0), r - dot(i.cast("int"))))
+
+def rates(df: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, anchor: str = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(documents, cells): (carry, doc_id, n_tokens, p) for every row of df, and (p, tokens, rate) of the distinct posteriors."""
+    targets = targets or TARGETS
+    names = tuple(targets)
+    whole = sum(targets.values()) or 1.0
+    model = train(df, domains, names, id_col, text_col)
+    soft = common.materialize(posteriors(features(df, id_col, text_col, carry), model, names), "posteriors")
+    cells = common.materialize(soft.groupBy("p").agg(F.sum("n_tokens").alias("tokens")), "cells")
+    step = solve(cells, [targets[k] / whole for k in names], names.index(anchor))
+    return soft, cells.select("p", "tokens", F.round(rate_of(F.col("p"), step), 9).alias("rate"))
 
 
-def mix(df: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, anchor: str = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, p array, rate, copies) for every row of df.
+def mix(df: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, anchor: str = ANCHOR, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(carry, doc_id, n_tokens, p array, rate, copies) for every row of df.
 
     targets: share of tokens by domain (they need not sum to one); the mix is as large as keeps the
-    anchor domain's present token total. copies is the rate rounded up or down by a hash of the id, so
-    that it is right in expectation.
+    anchor domain's present token total.
     """
+    soft, cells = rates(df, domains, targets, anchor, id_col, text_col, carry)
+    draw = F.pmod(F.xxhash64("doc_id", *carry, F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
+    rated = soft.join(F.broadcast(cells.select("p", "rate")), "p")  # one row per posterior, of a number bounded by rounding
+    return rated.select(*carry, "doc_id", "n_tokens", "p", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+
+
+def balance(df: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, anchor: str = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(domain, target, present, expected, met): token shares of each domain as asked for, before and after mixing, and whether
+    the expected total is within a thousandth of the target's (or of all tokens, where the target is zero)."""
     targets = targets or TARGETS
-    names = tuple(targets)
+    names = list(targets)
     whole = sum(targets.values()) or 1.0
-    soft = common.materialize(posteriors(features(df, id_col, text_col), train(df, domains, names, id_col, text_col), names), "posteriors")
-    cells = common.materialize(soft.groupBy("p").agg(F.sum("n_tokens").alias("tokens")).coalesce(4), "cells")
-    steps = solve(cells, [targets[k] / whole for k in names], names.index(anchor))
-    rates = cells.select("p", F.round(rate_of(F.col("p"), steps), 9).alias("rate"))
-    near = F.round("rate")
-    snapped = F.when((F.abs(F.col("rate") - near) <= SNAP) & (near > 0), near).otherwise(F.col("rate"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
-    return soft.join(rates, "p").select("doc_id", "n_tokens", "p", "rate", F.floor(snapped + draw).cast("int").alias("copies"))
+    cells = rates(df, domains, targets, anchor, id_col, text_col)[1]
+    each = cells.select("tokens", "rate", F.posexplode("p").alias("k", "share"))
+    sums = each.groupBy("k").agg(F.sum(F.col("tokens") * F.col("share")).alias("present"), F.sum(F.col("rate") * F.col("tokens") * F.col("share")).alias("expected"))
+    asked = df.sparkSession.createDataFrame([(i, k, targets[k] / whole) for i, k in enumerate(names)], "k int, domain string, target double")
+    all_ = sums.agg(F.sum("present").alias("all_present"), F.sum("expected").alias("all_expected"), F.max(F.when(F.col("k") == names.index(anchor), F.col("present"))).alias("kept"))
+    joined = sums.join(F.broadcast(asked), "k").crossJoin(F.broadcast(all_))
+    goal = (F.col("kept") / F.lit(targets[anchor] / whole) if targets[anchor] else F.col("all_present")) * F.col("target")
+    met = F.abs(F.col("expected") - goal) <= 0.001 * F.when(goal > 0, goal).otherwise(F.col("all_present"))
+    return joined.select("domain", "target", (F.col("present") / F.col("all_present")).alias("present"), (F.col("expected") / F.col("all_expected")).alias("expected"), met.alias("met"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix(common.table(spark, sf_dir, "documents"), label_domains(common.table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{k}") for i, k in enumerate(DOMAINS)), "rate", "copies")
+
+
+def mixing_balance(spark, sf_dir: str) -> DataFrame:
+    """What op10_mixing's rates give beside what is asked for."""
+    out = balance(common.table(spark, sf_dir, "documents"), label_domains(common.table(spark, sf_dir, "labels")))
+    return out.select("domain", "target", F.round("present", 6).alias("present"), F.round("expected", 6).alias("expected"), "met")

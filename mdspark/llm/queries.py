@@ -16,6 +16,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "mixing_balance": mixing.mixing_balance,
 }
 ORACLE: dict[str, str] = {
     "op1_topk": topk_search.OP1_SQL,

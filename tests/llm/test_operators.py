@@ -260,20 +260,58 @@ def test_fusion_uses_host_and_markup(spark):
     assert not got[98].accepted and got[98].lang == "und" and len(got) == len(pages) == len(alone)
 
 
-def test_solver_meets_targets(spark):
+def dense_rates(p, tokens, goal, rounds=200_000):
+    """Projected-gradient least squares on all rows, in small safe steps."""
+    rate = np.ones(len(p))
+    scale = (p * tokens[:, None]).sum(0)
+    for _ in range(rounds):
+        off = (rate * tokens) @ p - goal
+        rate = np.maximum(0, rate - p @ np.divide(off, scale, out=np.zeros_like(off), where=scale > 0))
+        scale = np.maximum((p * (tokens * (rate > 0))[:, None]).sum(0), 1e-9)
+    return np.square((rate * tokens) @ p - goal).sum() ** 0.5
+
+
+@pytest.mark.parametrize("targets", [[0.5, 0.3, 0.2], [0.97, 0.02, 0.01], [0.34, 0.33, 0.33], [1.0, 0.0, 0.0]])
+@pytest.mark.parametrize("sharp", [0.05, 0.4])
+def test_solver_against_a_dense_one(spark, targets, sharp):
+    """Targets that can be met are met; of others the nearest totals are found, and the gap is the dense solver's."""
     r = np.random.default_rng(2)
-    p = r.dirichlet([0.4, 0.3, 0.3], 200).round(3)
+    p = (r.multinomial(1000, x) / 1000 for x in r.dirichlet([sharp * 4, sharp, sharp], 200))
+    p = np.array(list(p))
     tokens = r.integers(1, 500, 200)
     cells = spark.createDataFrame([(x.tolist(), int(n)) for x, n in zip(p, tokens)], "p array<double>, tokens bigint")
-    steps = mixing.solve(cells, [0.5, 0.3, 0.2], 0)
-    rates = {tuple(x.p): x.rate for x in cells.select("p", mixing.rate_of(F.col("p"), steps).alias("rate")).collect()}
-    want = np.ones(200)
-    for g in steps:
-        want = np.maximum(0, want - p @ np.array(g))
-    assert np.allclose([rates[tuple(x.tolist())] for x in p], want)
-    got = (want[:, None] * tokens[:, None] * p).sum(0)
-    goal = (p[:, 0] * tokens).sum() / 0.5 * np.array([0.5, 0.3, 0.2])
-    assert np.abs(got - goal).max() < 0.01 * goal.sum() and want.min() >= 0
+    step = mixing.solve(cells, targets, 0)
+    rate = np.array([x.rate for x in cells.select(mixing.rate_of(F.col("p"), step).alias("rate")).collect()])
+    goal = (p[:, 0] * tokens).sum() / targets[0] * np.array(targets)
+    gap = np.square((rate * tokens) @ p - goal).sum() ** 0.5
+    assert rate.min() >= 0
+    assert gap <= max(1.05 * dense_rates(p, tokens, goal, 20_000), 2e-4 * goal.sum())
+
+
+@data
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_mixing_meets_targets_or_says_so(spark, sf):
+    docs, labels = common.table(spark, DATA.replace("0.001", sf), "documents"), mixing.label_domains(common.table(spark, DATA.replace("0.001", sf), "labels"))
+    out = {r.domain: r for r in mixing.balance(docs, labels, {"good": 0.85, "poor": 0.08, "toxic": 0.07}).collect()}
+    assert all(r.met and abs(r.expected - r.target) <= 0.01 * r.target for r in out.values())
+    assert not all(r.met for r in mixing.balance(docs, labels, {"good": 0.999999, "poor": 5e-7, "toxic": 5e-7}).collect())
+
+
+@data
+def test_mixing_posteriors_tell_domains_apart(spark):
+    sf = DATA.replace("0.001", "0.1")
+    docs, labels = common.table(spark, sf, "documents"), mixing.label_domains(common.table(spark, sf, "labels"))
+    model = mixing.train(docs, labels.where("doc_id % 2 = 0"))
+    p = {r.doc_id: r.p for r in mixing.posteriors(mixing.features(docs), model).collect()}
+    held = [(p[r.doc_id], r.domain) for r in labels.where("doc_id % 2 = 1").collect()]
+    for k, domain in enumerate(mixing.DOMAINS):
+        own, others = [x[k] for x, d in held if d == domain], [x[k] for x, d in held if d != domain]
+        assert np.mean([(a > b) + (a == b) / 2 for a in own for b in others]) > 0.8
+
+
+def test_tokens_are_counted_without_empty_ones(spark):
+    df = spark.createDataFrame([(1, "a  b\n\n c "), (2, None), (3, "  ")], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_tokens for r in mixing.features(df).collect()} == {1: 3, 2: 0, 3: 0}
 
 
 @data
