@@ -30,7 +30,8 @@ def canonical_label(elements: list[str], bonds: list[tuple[int, int, int]]) -> s
     """A label that equal molecules share, however their atoms are numbered: 'elements|i-j:type ...'.
 
     Colours are refined by neighbours until stable; ties are broken by trying every atom of the first
-    tied colour and keeping the smallest outcome.
+    tied colour and keeping the smallest outcome. An atom that some symmetry maps to one tried before is
+    skipped: a symmetry is known when two choices, each followed down one path, give the same outcome.
     """
     n = len(elements)
     near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -52,22 +53,55 @@ def canonical_label(elements: list[str], bonds: list[tuple[int, int, int]]) -> s
         order = sorted(range(n), key=lambda i: colour[i])
         return "".join(elements[i] for i in order) + "|" + " ".join(f"{i}-{j}:{t}" for i, j, t in edges)
 
+    def tie(colour: list[int]) -> list[int]:
+        """The atoms of the first colour that several have."""
+        groups: dict[int, list[int]] = {}
+        for i, c in enumerate(colour):
+            groups.setdefault(c, []).append(i)
+        return next((groups[c] for c in sorted(groups) if len(groups[c]) > 1), [])
+
+    def choose(colour: list[int], own: list[int], k: int) -> list[int]:
+        rest = set(own) - {k}
+        return refine([2 * c + (i in rest) for i, c in enumerate(colour)])
+
+    def leaf(colour: list[int]) -> list[int]:
+        """The end of one path: always the first tied atom."""
+        while own := tie(colour):
+            colour = choose(colour, own, own[0])
+        return colour
+
     def search(colour: list[int]) -> str:
-        colour = refine(colour)
-        count: dict[int, int] = {}
-        for c in colour:
-            count[c] = count.get(c, 0) + 1
-        tied = [c for c in sorted(count) if count[c] > 1]
-        if not tied:
+        own = tie(colour)
+        if not own:
             return write(colour)
-        own = [i for i in range(n) if colour[i] == tied[0]]
-        # atoms without bonds beyond equal twins (say, hydrogens of one carbon) are interchangeable: one try serves
-        shells = {tuple(sorted(near[i])) for i in own}
-        tries = [own[0]] if len(shells) == 1 else own
-        return min(search([2 * c + (0 if i == k or c != tied[0] else 1) for i, c in enumerate(colour)]) for k in tries)
+        like = list(range(n))  # sets of atoms that symmetries join, by their smallest member reached
+
+        def root(i: int) -> int:
+            while like[i] != i:
+                i = like[i]
+            return i
+
+        best, tried = None, []  # tried: (atom, end of its path, what that writes)
+        for k in own:
+            if any(root(k) == root(t) for t, _, _ in tried):
+                continue
+            chosen = choose(colour, own, k)
+            end = leaf(chosen)
+            text = write(end)
+            twin = next((e for _, e, x in tried if x == text), None)
+            if twin is not None:
+                at = {c: i for i, c in enumerate(end)}
+                for i in range(n):  # the symmetry takes i to the atom that has i's colour now
+                    a, b = root(i), root(at[twin[i]])
+                    like[max(a, b)] = min(a, b)
+                continue
+            tried.append((k, end, text))
+            found = search(chosen)
+            best = found if best is None or found < best else best
+        return best
 
     names = {e: r for r, e in enumerate(sorted(set(elements)))}
-    return search([names[e] for e in elements]) if n else ""
+    return search(refine([names[e] for e in elements])) if n else ""
 
 
 def pair_histogram(a: np.ndarray, b: np.ndarray, box: np.ndarray, width: float, bins: int, same: bool) -> np.ndarray:

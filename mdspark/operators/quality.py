@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,18 @@ def check_missing_files(manifest: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def existing_files(manifest: DataFrame) -> DataFrame:
-    """(path) of the manifest's files that exist, asked of the file system that holds them."""
+    """(path) of the manifest's files that Spark can list; a manifest is small, and its paths are asked one by one."""
     spark = manifest.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        try:
+            spark.read.format("binaryFile").load(path).schema
+        except AnalysisException:
+            return False
+        return True
+
     paths = [r.path for r in manifest.select("path").distinct().collect()]
-    found = [(p,) for p in paths if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
-    return spark.createDataFrame(found, "path string")
+    return spark.createDataFrame([(p,) for p in paths if there(p)], "path string")
 
 
 def check_topic_consistency(manifest: DataFrame) -> DataFrame:
@@ -47,6 +54,12 @@ def check_atom_types(types: DataFrame, elements: DataFrame) -> DataFrame:
     return finding(listed, 4, "error", F.concat(F.lit("unknown atom types: "), "names"))
 
 
+def first_frame_types(atoms: DataFrame) -> DataFrame:
+    """(sim, topic, atom_type) of each trajectory's first frame."""
+    first = atoms.groupBy("sim").agg(F.min("frame_ord").alias("frame_ord"))
+    return atoms.join(first, ["sim", "frame_ord"], "left_semi").select("sim", F.lit("trajectory").alias("topic"), "atom_type").distinct()
+
+
 def check_trajectory_columns(headers: DataFrame) -> DataFrame:
     """headers: (sim, columns array) of each trajectory's first frame. id, type and one whole triple of coordinates are needed."""
     whole = F.lit(False)

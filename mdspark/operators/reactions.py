@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import components
 from ..functions.scalars import changed, format_reaction
-from ..sources.store import materialize
+from ..sources.store import materialize, numbered
 from .topology import adjacent_frames, atom_membership
 
 PAIR = ["sim", "t1", "t2"]
@@ -17,7 +17,6 @@ PAIR = ["sim", "t1", "t2"]
 
 def link_molecules(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sim, t1, t2, m1, m2): molecules of adjacent frames with an atom in common."""
-    pairs = F.broadcast(pairs) if pairs.storageLevel.useMemory else pairs
     before = pairs.join(members.select("sim", F.col("timestep").alias("t1"), "atom_id", F.col("mol_idx").alias("m1")), ["sim", "t1"])
     behind = members.select("sim", F.col("timestep").alias("t2"), "atom_id", F.col("mol_idx").alias("m2"))
     return before.join(behind, ["sim", "t2", "atom_id"]).select(*PAIR, "m1", "m2").distinct()
@@ -78,8 +77,13 @@ def reaction_events(mols: DataFrame, prune: bool = True) -> DataFrame:
     return events.select(*PAIR, F.col("place").cast("int").alias("cluster"), format_reaction(F.col("reactants"), F.col("products")).alias("reaction"), "reactants", "products", "reactant_atom_ids", "product_atom_ids")
 
 
-def find_reaction(events: DataFrame, reaction: str) -> DataFrame:
-    return events.where(F.col("reaction") == reaction)
+def find_reaction(events: DataFrame, reaction: str | None = None, first_only: bool = False) -> DataFrame:
+    """The events of one reaction, or of all; first_only: of each simulation the earliest alone."""
+    own = events if reaction is None else events.where(F.col("reaction") == reaction)
+    if not first_only:
+        return own
+    rest = [c for c in events.columns if c not in ("sim", "t1", "cluster")]
+    return own.groupBy("sim").agg(F.min_by(F.struct("t1", "cluster", *rest), F.struct("t1", "cluster")).alias("e")).select("sim", "e.*").select(*events.columns)
 
 
 def count_reaction_paths(events: DataFrame) -> DataFrame:
@@ -91,17 +95,22 @@ def count_reaction_paths(events: DataFrame) -> DataFrame:
 def rank_reactions(counts: DataFrame) -> DataFrame:
     """(reaction, total, rank) over simulations: by total, then by the first simulation that has it and its rank there.
 
-    counts has a row per distinct reaction and simulation; ranks over all of them are one ordered list.
+    counts has a row per distinct reaction and simulation; they are sorted by ranges, and numbered range by range.
     """
     totals = counts.groupBy("reaction").agg(F.sum("n").alias("total"), F.min(F.struct("sim", "rank")).alias("first"))
-    return totals.select("reaction", "total", F.row_number().over(Window.orderBy(F.desc("total"), "first")).alias("rank"))
+    return numbered(totals, "rank", F.desc("total"), "first").select("reaction", "total", "rank")
 
 
 def reaction_path_table(events: DataFrame, sims: list[int]) -> DataFrame:
-    """(rank, reaction, sim_i..., total): a column for each simulation, also for those without reactions."""
-    counts = materialize(count_reaction_paths(events), "counts")
-    wide = counts.groupBy("reaction").agg(*(F.coalesce(F.sum(F.when(F.col("sim") == i, F.col("n"))), F.lit(0)).alias(f"sim_{i}") for i in sims))
-    return rank_reactions(counts).join(wide, "reaction").select("rank", "reaction", *(f"sim_{i}" for i in sims), "total")
+    """(rank, reaction, sim_i..., total): a column for each simulation, also for those without reactions.
+
+    One aggregation by reaction gives the columns and the order: by total, then by the first simulation
+    that has the reaction, its count and its first event there.
+    """
+    counts = events.groupBy("sim", "reaction").agg(F.count("*").alias("n"), F.min(F.struct("t1", "cluster")).alias("first"))
+    place = F.min(F.struct("sim", (-F.col("n")).alias("fewer"), "first")).alias("place")
+    wide = counts.groupBy("reaction").agg(*(F.coalesce(F.sum(F.when(F.col("sim") == i, F.col("n"))), F.lit(0)).alias(f"sim_{i}") for i in sims), F.sum("n").alias("total"), place)
+    return numbered(wide, "rank", F.desc("total"), "place").select("rank", "reaction", *(f"sim_{i}" for i in sims), "total")
 
 
 def top_reactions(table: DataFrame, k: int) -> DataFrame:
@@ -119,4 +128,12 @@ def simulations_with(manifest: DataFrame, topic: str) -> DataFrame:
     return manifest.where(F.col("topic") == topic).select("sim").distinct()
 
 
-__all__ = ["atom_membership", "adjacent_frames", "link_molecules", "reaction_clusters", "reaction_events", "count_reaction_paths", "rank_reactions", "reaction_path_table", "top_reactions", "first_reaction_occurrence", "find_reaction", "simulations_with"]
+def simulation(manifest: DataFrame, index: int) -> DataFrame:
+    """The manifest's rows of one simulation; one that it does not list is an error."""
+    own = manifest.where(F.col("sim") == index)
+    if own.isEmpty():
+        raise LookupError(f"simulation {index} was not loaded")
+    return own
+
+
+__all__ = ["atom_membership", "adjacent_frames", "link_molecules", "reaction_clusters", "reaction_events", "count_reaction_paths", "rank_reactions", "reaction_path_table", "top_reactions", "first_reaction_occurrence", "find_reaction", "simulations_with", "simulation"]

@@ -66,12 +66,14 @@ def molecule_signatures(members: DataFrame, atoms: DataFrame, bonds: DataFrame)
     """(sim, timestep, mol_idx, atom_ids, elements, bonds, signature): elements in the order of atom ids, bonds by local index and type."""
     own = members.join(atoms.select(*FRAME, "atom_id", "element"), [*FRAME, "atom_id"])
     base = own.groupBy(*FRAME, "mol_idx").agg(F.sort_array(F.collect_list(F.struct("atom_id", "element"))).alias("a"))
-    ends = bonds.select(*FRAME, F.col("atom_i").alias("atom_id"), "atom_j", bond_type(F.col("bond_order")).alias("bond_type"))
-    lines = ends.join(members, [*FRAME, "atom_id"]).groupBy(*FRAME, "mol_idx").agg(F.collect_list(F.struct(F.col("atom_id").alias("i"), F.col("atom_j").alias("j"), F.col("bond_type").alias("t"))).alias("b"))
+    place = base.select(*FRAME, "mol_idx", F.posexplode("a").alias("pos", "a")).select(*FRAME, "mol_idx", "pos", F.col("a.atom_id").alias("atom_id"))
+    one = place.select(*FRAME, "mol_idx", F.col("pos").alias("i"), F.col("atom_id").alias("atom_i"))
+    two = place.select(*FRAME, F.col("pos").alias("j"), F.col("atom_id").alias("atom_j"))
+    ends = bonds.select(*FRAME, "atom_i", "atom_j", bond_type(F.col("bond_order")).alias("t")).join(one, [*FRAME, "atom_i"]).join(two, [*FRAME, "atom_j"])
+    lines = ends.groupBy(*FRAME, "mol_idx").agg(F.collect_list(F.struct("i", "j", "t")).alias("b"))
     both = base.join(lines, [*FRAME, "mol_idx"], "left")
     ids = F.transform("a", lambda x: x.atom_id)
-    at = lambda x: (F.array_position(ids, x) - 1).cast("int")
-    local = F.sort_array(F.transform(F.coalesce("b", F.expr("array()").cast("array<struct<i:bigint,j:bigint,t:int>>")), lambda x: F.struct(at(x.i).alias("i"), at(x.j).alias("j"), x.t.alias("t"))))
+    local = F.sort_array(F.coalesce("b", F.expr("array()").cast("array<struct<i:int,j:int,t:int>>")))
     out = both.select(*FRAME, "mol_idx", ids.alias("atom_ids"), F.transform("a", lambda x: x.element).alias("elements"), local.alias("bonds"))
     text = F.concat_ws("|", F.array_join("elements", ","), F.array_join(F.transform("bonds", lambda x: F.concat_ws("-", x.i.cast("string"), x.j.cast("string"), x.t.cast("string"))), " "))
     return out.select("*", text.alias("signature"))
@@ -121,16 +123,34 @@ def smiles_for_formula(mols: DataFrame, formula: str | None = None) -> DataFrame
     return (mols.where(F.col("formula") == formula) if formula is not None else mols).select("sim", "formula", "label").distinct()
 
 
-def first_appearance(mols: DataFrame, value: str = "label") -> DataFrame:
-    """(sim, value, timestep, mol_idx): where each value is met first; frames in file order if frame_ord is there."""
-    order = F.col("frame_ord") if "frame_ord" in mols.columns else F.col("timestep")
+def in_file_order(df: DataFrame, frames: DataFrame | None) -> DataFrame:
+    """df with frame_ord, of frames (sim, timestep, frame_ord) where given, else the timestep."""
+    if frames is None:
+        return df if "frame_ord" in df.columns else df.withColumn("frame_ord", F.col("timestep"))
+    first = frames.groupBy(*FRAME).agg(F.min("frame_ord").alias("frame_ord"))
+    return df.drop("frame_ord").join(first, FRAME)
+
+
+def first_appearance(mols: DataFrame, value: str = "label", frames: DataFrame | None = None) -> DataFrame:
+    """(sim, value, timestep, mol_idx): where each value is met first, in the order of frames in the file."""
+    mols, order = in_file_order(mols, frames), F.col("frame_ord")
     found = mols.groupBy("sim", F.col(value).alias("value")).agg(F.min(F.struct(order.alias("o"), F.col("mol_idx"), F.col("timestep"))).alias("m"))
     return found.select("sim", "value", "m.timestep", "m.mol_idx")
 
 
-def atom_evolution(membership: DataFrame) -> DataFrame:
-    """(sim, atom_id, labels array<struct<timestep, label>>) over frames, repeated ones too; one array per atom, as long as there are frames."""
-    return membership.groupBy("sim", "atom_id").agg(F.sort_array(F.collect_list(F.struct("timestep", "label"))).alias("labels"))
+def atom_evolution(membership: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """(sim, atom_id, labels array<struct<timestep, label>>) in the order of frames in the file; one array per atom, as long as there are frames."""
+    own = in_file_order(membership, frames)
+    each = own.groupBy("sim", "atom_id").agg(F.sort_array(F.collect_list(F.struct("frame_ord", "timestep", "label"))).alias("labels"))
+    return each.withColumn("labels", F.transform("labels", lambda x: F.struct(x.timestep.alias("timestep"), x.label.alias("label"))))
+
+
+def bonds_at(frames: DataFrame, bonds: DataFrame, timestep: int) -> DataFrame:
+    """The bonds of one timestep, of the first frame in file order where it repeats; a timestep that no simulation has is an error."""
+    own = frames.where(F.col("timestep") == timestep)
+    if own.isEmpty():
+        raise LookupError(f"timestep {timestep} was not found")
+    return dedupe_frames(bonds.where(F.col("timestep") == timestep), False) if "frame_ord" in bonds.columns else bonds.where(F.col("timestep") == timestep)
 
 
 def adjacent_frames(frames: DataFrame) -> DataFrame:

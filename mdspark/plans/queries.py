@@ -16,7 +16,7 @@ from .worlds import BOX, SIMS, SPECIES, World, sql
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 A, B, WIDTH = "Li", "O", 0.5
-#: Queries that stand a second time as whole_..., over the whole tables: their SQL holds only for a cut.
+#: Queries that stand a second time as whole_..., with canonical labels for molecules: SQL has only formulas.
 WHOLE = set("""read_bonds load_simulations write_tables map_elements bond_type hill_formula molecule_signature bonds_at adjacent_frames
 reaction_scene_bonds molecule_components iterative_components dedupe_frames last_timesteps check_atom_types validation_report
 read_trajectory list_timesteps box_metrics wrap_positions minimum_image_distance scene_attributes select_elements pair_join
@@ -27,7 +27,7 @@ write_reaction_paths formulas_observed smiles_for_formula first_appearance atom_
 
 
 def query(name: str, oracle: str | None = None):
-    """Registers f over the cut that SQL can follow; without SQL, over the whole tables."""
+    """Registers f; where a label counts, it is the formula in queries that SQL can follow, and canonical in others."""
 
     def register(f: Callable[[World], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(World(spark, sf_dir, oracle is None))
@@ -249,7 +249,7 @@ def frame_at(w: World) -> DataFrame:
 
 @query("bonds_at", sql("SELECT * FROM bonds WHERE timestep = 40", "bonds"))
 def bonds_at(w: World) -> DataFrame:
-    return w.bonds.where("timestep = 40").select("sim", "timestep", "atom_i", "atom_j", "bond_order")
+    return topology.bonds_at(w.bonds.select("sim", "timestep").distinct(), w.bonds, 40).select("sim", "timestep", "atom_i", "atom_j", "bond_order")
 
 
 @query("select_species", sql("SELECT sim, timestep, species, n, 'R' || sim || ' ' || species AS label FROM species WHERE species IN ('view', 'error') AND sim IN (1, 3)", "species"))
@@ -286,9 +286,9 @@ def changed_reactions(w: World) -> DataFrame:
 
 @query("find_reaction", sql("SELECT sim, t1, t2, cluster FROM rx WHERE reaction = '[''CH''] -> [''C'', ''H'']'", "rx"))
 def find_reaction(w: World) -> DataFrame:
-    """Carbon and hydrogen parting; in whole worlds from a single bond, which canonical labels tell from others."""
+    """Carbon and hydrogen parting; with canonical labels from a single bond, which they tell from others."""
     reaction = "['CH'] -> ['C', 'H']"
-    if w.whole:
+    if w.canonical:
         reaction = f"['{canonical_label(['C', 'H'], [(0, 1, 1)])}'] -> ['{canonical_label(['C'], [])}', '{canonical_label(['H'], [])}']"
     return reactions.find_reaction(events(w), reaction).select("sim", "t1", "t2", "cluster")
 
@@ -342,7 +342,7 @@ def reaction_scene_atoms(w: World) -> DataFrame:
     return out.select("sim", "t1", "t2", "side", "scene_id", "element", F.round("x", 6).alias("x"), "in_reaction")
 
 
-@query("reaction_scene_bonds", sql("SELECT p.sim, t1, t2, side, atom_i + CASE side WHEN 2 THEN m ELSE 0 END AS i, atom_j + CASE side WHEN 2 THEN m ELSE 0 END AS j, CASE WHEN bond_order >= 2.5 THEN 3 WHEN bond_order >= 1.5 THEN 2 ELSE 1 END AS bond_type, row_number() OVER (PARTITION BY p.sim, t1, t2 ORDER BY side, atom_i, atom_j) AS bond_id FROM pairs p CROSS JOIN (VALUES (1), (2)) s(side) CROSS JOIN (SELECT max(s_suppkey) AS m FROM supplier) JOIN bonds b ON b.sim = p.sim AND b.timestep = CASE side WHEN 1 THEN t1 ELSE t2 END", "pairs", "bonds"))
+@query("reaction_scene_bonds", sql("SELECT p.sim, t1, t2, side, atom_i + CASE side WHEN 2 THEN m ELSE 0 END AS i, atom_j + CASE side WHEN 2 THEN m ELSE 0 END AS j, CASE WHEN bond_order >= 2.5 THEN 3 WHEN bond_order >= 1.5 THEN 2 ELSE 1 END AS bond_type, row_number() OVER (PARTITION BY p.sim, t1, t2 ORDER BY side, atom_i, atom_j) AS bond_id FROM pairs p CROSS JOIN (VALUES (1), (2)) s(side) CROSS JOIN (SELECT max(atom_id) AS m FROM bond_atoms) JOIN bonds b ON b.sim = p.sim AND b.timestep = CASE side WHEN 1 THEN t1 ELSE t2 END", "pairs", "bonds", "bond_atoms"))
 def reaction_scene_bonds(w: World) -> DataFrame:
     pairs = topology.adjacent_frames(w.bonds).select("sim", "t1", "t2", F.lit(0).alias("cluster"))
     top = w.bond_atoms.groupBy("sim", "timestep").agg(F.max("atom_id").alias("top"))
@@ -404,8 +404,10 @@ def aggregate_thermo_all(w: World) -> DataFrame:
 
 @query("thermo_band", sql(f"SELECT parameter, step, round(mean - std, 4) AS lower, round(mean + std, 4) AS upper FROM ({AGGREGATED})", "thermo"))
 def thermo_band(w: World) -> DataFrame:
-    own = thermo.aggregate_thermo_all(w.thermo).select("parameter", "step", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
-    return thermo.thermo_band(own).select("parameter", "step", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+    """Rounded as SQL does it: the scaled double, not its decimal digits, as halves are common at four places."""
+    scaled = lambda c, places: F.round(F.col(c) * 10.0**places) / 10.0**places
+    own = thermo.aggregate_thermo_all(w.thermo).select("parameter", "step", scaled("mean", 6).alias("mean"), scaled("std", 6).alias("std"))
+    return thermo.thermo_band(own).select("parameter", "step", scaled("lower", 4).alias("lower"), scaled("upper", 4).alias("upper"))
 
 
 @query("thermo_bounds", sql("SELECT parameter, min(step) AS step_min, max(step) AS step_max, round(min(CASE WHEN isnan(value) THEN NULL ELSE value END), 6) AS y_min, round(max(CASE WHEN isnan(value) THEN NULL ELSE value END), 6) AS y_max FROM thermo GROUP BY parameter", "thermo"))
@@ -490,12 +492,12 @@ def smiles_for_formula(w: World) -> DataFrame:
 
 @query("first_appearance", sql("SELECT sim, formula AS value, min(timestep) AS timestep, arg_min(mol_idx, (timestep, mol_idx)) AS mol_idx FROM formulas GROUP BY sim, formula", "formulas"))
 def first_appearance(w: World) -> DataFrame:
-    return topology.first_appearance(w.molecules)
+    return topology.first_appearance(w.molecules, frames=w.bond_frames)
 
 
 @query("atom_evolution", sql("SELECT sim, atom_id, string_agg(label, ',' ORDER BY timestep) AS labels FROM labelled GROUP BY sim, atom_id", "labelled"))
 def atom_evolution(w: World) -> DataFrame:
-    return topology.atom_evolution(w.membership).select("sim", "atom_id", F.array_join(F.transform("labels", lambda x: x.label), ",").alias("labels"))
+    return topology.atom_evolution(w.membership, w.bond_frames).select("sim", "atom_id", F.array_join(F.transform("labels", lambda x: x.label), ",").alias("labels"))
 
 
 # Windows, sorts, top-k -------------------------------------------------------------------------------
@@ -534,7 +536,8 @@ FINDING = ["severity", "sim", "topic", "message"]
 
 
 def unknown_types(w: World) -> DataFrame:
-    return quality.check_atom_types(w.bond_atoms.select("sim", F.lit("bonds").alias("topic"), "atom_type"), w.elements.where("atom_type < 3"))
+    types = w.bond_atoms.select("sim", F.lit("bonds").alias("topic"), "atom_type").unionByName(quality.first_frame_types(w.atoms))
+    return quality.check_atom_types(types, w.elements.where("atom_type < 3"))
 
 
 def headers(w: World) -> DataFrame:
@@ -543,18 +546,18 @@ def headers(w: World) -> DataFrame:
     return first.select("sim", F.when(F.col("sim") == 2, F.filter("columns", lambda c: ~c.isin("type", "xu"))).otherwise(F.col("columns")).alias("columns"))
 
 
-TYPES_SQL = sql("SELECT 'error' AS severity, sim, 'bonds' AS topic, 'unknown atom types: ' || string_agg(atom_type, ', ' ORDER BY atom_type) AS message FROM (SELECT DISTINCT sim, atom_type FROM bond_atoms WHERE atom_type >= 3) GROUP BY sim", "bond_atoms")
+TYPES_SQL = sql("SELECT 'error' AS severity, sim, topic, 'unknown atom types: ' || string_agg(atom_type, ', ' ORDER BY atom_type) AS message FROM (SELECT DISTINCT sim, 'bonds' AS topic, atom_type FROM bond_atoms UNION ALL SELECT DISTINCT sim, 'trajectory', atom_type FROM atoms JOIN (SELECT sim, min(timestep) AS timestep FROM atoms GROUP BY sim) USING (sim, timestep)) WHERE atom_type >= 3 GROUP BY sim, topic", "bond_atoms", "atoms")
 TOPICS_SQL = sql("SELECT 'warning' AS severity, sim, CAST(NULL AS VARCHAR) AS topic, 'missing topics: ' || string_agg(topic, ', ' ORDER BY topic) AS message FROM (SELECT s.sim, t.topic FROM (SELECT DISTINCT sim FROM manifest) s CROSS JOIN (SELECT DISTINCT topic FROM manifest) t EXCEPT SELECT sim, topic FROM manifest) GROUP BY sim", "manifest")
 FILES_SQL = sql("SELECT 'error' AS severity, sim, topic, 'missing file: ' || path AS message FROM manifest WHERE sim = 2", "manifest")
 COLUMNS_SQL = sql("SELECT DISTINCT 'error' AS severity, sim, 'trajectory' AS topic, 'trajectory lacks: type, coordinates' AS message FROM atoms WHERE sim = 2", "atoms")
-NO_ELEMENTS_SQL = "SELECT 'error' AS severity, CAST(NULL AS INTEGER) AS sim, CAST(NULL AS VARCHAR) AS topic, 'element_list is empty' AS message WHERE (SELECT count(*) FROM lineitem WHERE l_quantity < 0) = 0"
+NO_ELEMENTS_SQL = "SELECT CASE n WHEN 0 THEN 'error' ELSE 'ok' END AS severity, CAST(NULL AS INTEGER) AS sim, CAST(NULL AS VARCHAR) AS topic, CASE n WHEN 0 THEN 'element_list is empty' ELSE 'no issues found' END AS message FROM (SELECT count(*) AS n FROM supplier)"
 
 
 @query("check_element_list", NO_ELEMENTS_SQL)
 def check_element_list(w: World) -> DataFrame:
-    """Elements as a table without any heavy line would give them."""
-    none = w.table("lineitem").where("l_quantity < 0").select(F.lit(1).alias("atom_type"), F.lit("C").alias("element"))
-    return quality.check_element_list(none).select(*FINDING)
+    """The elements that the suppliers, as atoms, are of."""
+    types = w.table("supplier").select((F.col("s_suppkey") % 4 + 1).cast("int").alias("atom_type")).distinct()
+    return quality.validation_report(quality.check_element_list(types.join(w.elements, "atom_type"))).select(*FINDING)
 
 
 @query("check_missing_files", FILES_SQL)

@@ -1,11 +1,8 @@
 """Simulation tables derived from the driver's tables, in DataFrames and in SQL.
 
-Suppliers are atoms, heavy line items are bonds that live for some 30-day frames, line items of the last
-frames are a trajectory, and events are thermo and species series. Every world grows with its table.
-
-The SQL below has these cuts, as recursive SQL and pairs are slow on whole tables. A whole world has none: each
-line item with two ends is a bond, in frames of a day, so that frames stay as sparse as those of the cut, and
-the trajectory has every line item, in frames of 30 days.
+Each supplier is an atom in REPLICAS boxes, every line item with two ends is a bond in one of them that lives for
+some 30-day frames, every line item is an atom of a trajectory, and events are thermo and species series. Frames
+count from the first day there is, and every world grows with its table. The SQL below says the same.
 """
 
 from __future__ import annotations
@@ -20,13 +17,14 @@ from ..sources import store
 
 SIMS = [1, 2, 3]
 ELEMENTS = ["C", "H", "Li", "O"]
-FIRST_FRAME, LAST_FRAME, BOX = 79, 83, 35.0
+#: Boxes side by side, so that a frame's bonds stay sparse and its molecules small; length of a trajectory's box.
+REPLICAS, BOX = 24, 35.0
 SPECIES = ["click", "error", "purchase", "signup", "view"]
 
 
 class World:
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
-        self.spark, self.dir, self.whole = spark, sf_dir, whole
+    def __init__(self, spark: SparkSession, sf_dir: str, canonical: bool = False):
+        self.spark, self.dir, self.canonical = spark, sf_dir, canonical
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -35,43 +33,41 @@ class World:
     def elements(self) -> DataFrame:
         return self.spark.createDataFrame([(i + 1, e) for i, e in enumerate(ELEMENTS)], "atom_type int, element string")
 
-    @cached_property
-    def line_days(self) -> DataFrame:
-        """Line items by simulation and day; whole worlds count days from the first one, as no timestep is negative."""
-        lines, day = self.table("lineitem"), F.col("l_shipdate").cast("date")
-        start = F.lit("1995-01-01").cast("date")
-        if self.whole:
-            lines, start = lines.crossJoin(F.broadcast(lines.agg(F.min(day).alias("start")))), F.col("start")
-        return lines.withColumns({"sim": (F.col("l_orderkey") % 3 + 1).cast("int"), "day": F.datediff(day, start).cast("bigint")})
-
     @cached_property
     def line_frames(self) -> DataFrame:
-        return self.line_days.withColumn("base", F.floor(F.col("day") / 30))
+        """Line items by simulation and frame."""
+        lines, day = self.table("lineitem"), F.col("l_shipdate").cast("date")
+        first = lines.agg(F.min(day).alias("first_day"))
+        return lines.crossJoin(F.broadcast(first)).withColumns({"sim": (F.col("l_orderkey") % 3 + 1).cast("int"), "base": F.floor(F.datediff(day, F.col("first_day")) / 30)})
 
     @cached_property
-    def bond_lines(self) -> DataFrame:
-        """Line items that become bonds; base is their first frame."""
-        if self.whole:
-            return self.line_days.withColumn("base", F.col("day"))
-        return self.line_frames.where("l_quantity >= 49")
+    def n_suppliers(self) -> DataFrame:
+        return F.broadcast(self.table("supplier").agg(F.count("*").alias("n_sup")))
 
     @cached_property
     def bonds(self) -> DataFrame:
-        n = self.table("supplier").agg(F.count("*").alias("n_sup"))
-        raw = self.bond_lines.crossJoin(F.broadcast(n)).select("sim", "base", F.least(F.lit(4), "l_linenumber").alias("life"), F.col("l_suppkey").alias("a"), (F.col("l_partkey") % F.col("n_sup")).alias("b"), "l_discount").where("a <> b")
+        box = F.floor(F.col("l_orderkey") / 3) % REPLICAS * F.col("n_sup")
+        raw = self.line_frames.crossJoin(self.n_suppliers).select("sim", "base", F.least(F.lit(4), "l_linenumber").alias("life"), (F.col("l_suppkey") + box).alias("a"), (F.col("l_partkey") % F.col("n_sup") + box).alias("b"), "l_discount").where("a <> b")
         each = raw.select("*", F.explode(F.sequence(F.lit(0), F.col("life") - 1)).alias("k"))
         return each.groupBy("sim", (F.col("base") + F.col("k")).alias("timestep"), F.least("a", "b").alias("atom_i"), F.greatest("a", "b").alias("atom_j")).agg(F.round(1 + 20 * F.max("l_discount"), 6).alias("bond_order"))
 
     @cached_property
     def bond_atoms(self) -> DataFrame:
         frames = self.bonds.select("sim", "timestep").distinct()
-        atoms = self.table("supplier").select(F.col("s_suppkey").alias("atom_id"), (F.col("s_suppkey") % 4 + 1).cast("int").alias("atom_type"))
-        return frames.crossJoin(F.broadcast(self.elements).join(atoms, "atom_type")).select("sim", "timestep", F.col("timestep").alias("frame_ord"), "atom_id", "atom_type", "element")
+        box = F.explode(F.sequence(F.lit(0), F.lit(REPLICAS - 1)))
+        atoms = self.table("supplier").crossJoin(self.n_suppliers).select("s_suppkey", "n_sup", (F.col("s_suppkey") % 4 + 1).cast("int").alias("atom_type"), box.alias("box"))
+        atoms = atoms.join(F.broadcast(self.elements), "atom_type").select((F.col("s_suppkey") + F.col("box") * F.col("n_sup")).alias("atom_id"), "atom_type", "element")
+        # frames are few (months by simulations), atoms many: the frames are sent to the atoms
+        return atoms.crossJoin(F.broadcast(frames)).select("sim", "timestep", F.col("timestep").alias("frame_ord"), "atom_id", "atom_type", "element")
 
     @cached_property
     def molecules(self) -> DataFrame:
-        """With formulas as labels, as SQL has no canonical ones; in whole worlds with canonical labels."""
-        return store.materialize(topology.molecules(self.bond_atoms, self.bonds, "canonical" if self.whole else "formula"), "molecules")
+        """With formulas as labels, as SQL has no canonical ones; in canonical worlds with canonical labels."""
+        return store.materialize(topology.molecules(self.bond_atoms, self.bonds, "canonical" if self.canonical else "formula"), "molecules")
+
+    @cached_property
+    def bond_frames(self) -> DataFrame:
+        return self.bonds.select("sim", "timestep", F.col("timestep").alias("frame_ord")).distinct()
 
     @cached_property
     def membership(self) -> DataFrame:
@@ -86,10 +82,9 @@ class World:
     @cached_property
     def atoms(self) -> DataFrame:
         """Trajectory atoms with unwrapped coordinates."""
-        own = self.line_frames if self.whole else self.line_frames.where(F.col("base").between(FIRST_FRAME, LAST_FRAME))
         order = Window.partitionBy("sim", "base").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
         at = lambda c: F.pmod(c, F.lit(3500)) / 100.0
-        return own.select("sim", F.col("base").alias("timestep"), F.col("base").alias("frame_ord"), F.row_number().over(order).cast("bigint").alias("atom_id"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("atom_type"), F.col("l_tax").alias("q"), (at(F.col("l_partkey") * 37) + BOX * (F.col("l_linenumber") % 3 - 1)).alias("x"), at(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("y"), (at(F.col("l_orderkey") * 13) - BOX * (F.col("l_suppkey") % 2)).alias("z"))
+        return self.line_frames.select("sim", F.col("base").alias("timestep"), F.col("base").alias("frame_ord"), F.row_number().over(order).cast("bigint").alias("atom_id"), (F.col("l_suppkey") % 4 + 1).cast("int").alias("atom_type"), F.col("l_tax").alias("q"), (at(F.col("l_partkey") * 37) + BOX * (F.col("l_linenumber") % 3 - 1)).alias("x"), at(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("y"), (at(F.col("l_orderkey") * 13) - BOX * (F.col("l_suppkey") % 2)).alias("z"))
 
     @cached_property
     def atoms_named(self) -> DataFrame:
@@ -113,7 +108,7 @@ class World:
     def write_text(self, df: DataFrame, name: str) -> DataFrame:
         """(sim, value) rows as one folder of text per simulation, ordered by ord; returns (sim, path)."""
         path = store.shared_path(self.spark, name)
-        df.repartition("sim").sortWithinPartitions("sim", "ord").select("sim", "value").write.partitionBy("sim").text(path)
+        df.repartitionByRange("sim", "ord").sortWithinPartitions("sim", "ord").select("sim", "value").write.partitionBy("sim").text(path)
         return df.select("sim").distinct().select("sim", F.concat(F.lit(f"{path}/sim="), "sim").alias("path"))
 
     @cached_property
@@ -162,9 +157,9 @@ class World:
 # SQL: named parts; sql(name, select) puts those that a select needs before it.
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "elements": ((), "elements AS (SELECT * FROM (VALUES (1, 'C'), (2, 'H'), (3, 'Li'), (4, 'O')) v(atom_type, element))"),
-    "line_frames": ((), "line_frames AS (SELECT *, CAST(l_orderkey % 3 + 1 AS INTEGER) AS sim, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 30.0) AS BIGINT) AS base FROM lineitem)"),
-    "bonds": (("line_frames",), "bonds AS (SELECT sim, base + k AS timestep, least(a, b) AS atom_i, greatest(a, b) AS atom_j, round(1 + 20 * max(l_discount), 6) AS bond_order FROM (SELECT sim, base, least(4, l_linenumber) AS life, l_suppkey AS a, l_partkey % (SELECT count(*) FROM supplier) AS b, l_discount FROM line_frames WHERE l_quantity >= 49), generate_series(0, 3) g(k) WHERE a <> b AND k < life GROUP BY ALL)"),
-    "bond_atoms": (("bonds", "elements"), "bond_atoms AS (SELECT f.sim, f.timestep, s.s_suppkey AS atom_id, CAST(s.s_suppkey % 4 + 1 AS INTEGER) AS atom_type, e.element FROM (SELECT DISTINCT sim, timestep FROM bonds) f CROSS JOIN supplier s JOIN elements e ON e.atom_type = s.s_suppkey % 4 + 1)"),
+    "line_frames": ((), "line_frames AS (SELECT *, CAST(l_orderkey % 3 + 1 AS INTEGER) AS sim, CAST(floor(date_diff('day', (SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem), CAST(l_shipdate AS DATE)) / 30.0) AS BIGINT) AS base FROM lineitem)"),
+    "bonds": (("line_frames",), f"bonds AS (SELECT sim, base + k AS timestep, least(a, b) AS atom_i, greatest(a, b) AS atom_j, round(1 + 20 * max(l_discount), 6) AS bond_order FROM (SELECT sim, base, least(4, l_linenumber) AS life, l_suppkey + n_sup * (l_orderkey // 3 % {REPLICAS}) AS a, l_partkey % n_sup + n_sup * (l_orderkey // 3 % {REPLICAS}) AS b, l_discount FROM line_frames, (SELECT count(*) AS n_sup FROM supplier)), generate_series(0, 3) g(k) WHERE a <> b AND k < life GROUP BY ALL)"),
+    "bond_atoms": (("bonds", "elements"), f"bond_atoms AS (SELECT f.sim, f.timestep, s.s_suppkey + n_sup * box AS atom_id, CAST(s.s_suppkey % 4 + 1 AS INTEGER) AS atom_type, e.element FROM (SELECT DISTINCT sim, timestep FROM bonds) f CROSS JOIN (SELECT count(*) AS n_sup FROM supplier) CROSS JOIN generate_series(0, {REPLICAS - 1}) g(box) CROSS JOIN supplier s JOIN elements e ON e.atom_type = s.s_suppkey % 4 + 1)"),
     "both": (("bonds",), "both_ways AS (SELECT sim, timestep, atom_i AS x, atom_j AS y FROM bonds UNION ALL SELECT sim, timestep, atom_j, atom_i FROM bonds)"),
     "reach": (("bond_atoms", "both"), "reach AS (SELECT sim, timestep, atom_id AS a, atom_id AS c FROM bond_atoms UNION SELECT r.sim, r.timestep, e.y, r.c FROM reach r JOIN both_ways e ON e.sim = r.sim AND e.timestep = r.timestep AND e.x = r.a AND e.y > r.c)"),
     "members": (("reach",), "members AS (SELECT sim, timestep, atom_id, component, CAST(dense_rank() OVER (PARTITION BY sim, timestep ORDER BY component) - 1 AS INTEGER) AS mol_idx FROM (SELECT sim, timestep, a AS atom_id, min(c) AS component FROM reach GROUP BY ALL))"),
@@ -179,7 +174,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "rx": (("clusters",), "rx AS (SELECT sim, t1, t2, cluster, '[' || coalesce(string_agg('''' || label || '''', ', ' ORDER BY label) FILTER (side = 1), '') || '] -> [' || coalesce(string_agg('''' || label || '''', ', ' ORDER BY label) FILTER (side = 2), '') || ']' AS reaction FROM clusters JOIN nodes USING (sim, t1, t2, side, mol_idx) GROUP BY sim, t1, t2, cluster HAVING list_sort(list_distinct(coalesce(list(label) FILTER (side = 1), []))) <> list_sort(list_distinct(coalesce(list(label) FILTER (side = 2), []))))"),
     "counts": (("rx",), "counts AS (SELECT sim, reaction, n, row_number() OVER (PARTITION BY sim ORDER BY n DESC, t1, cluster) AS rank FROM (SELECT sim, reaction, count(*) AS n, min(t1) AS t1, arg_min(cluster, (t1, cluster)) AS cluster FROM rx GROUP BY sim, reaction))"),
     "ranks": (("counts",), "ranks AS (SELECT reaction, total, row_number() OVER (ORDER BY total DESC, s, r) AS rank FROM (SELECT reaction, CAST(sum(n) AS BIGINT) AS total, min(sim) AS s, arg_min(rank, sim) AS r FROM counts GROUP BY reaction))"),
-    "atoms": (("line_frames", "elements"), f"atoms AS (SELECT sim, base AS timestep, base AS frame_ord, row_number() OVER (PARTITION BY sim, base ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS atom_id, CAST(l_suppkey % 4 + 1 AS INTEGER) AS atom_type, e.element, l_tax AS q, (l_partkey * 37 % 3500) / 100.0 + {BOX} * (l_linenumber % 3 - 1) AS x, (CAST(round(l_extendedprice * 100) AS BIGINT) % 3500) / 100.0 AS y, (l_orderkey * 13 % 3500) / 100.0 - {BOX} * (l_suppkey % 2) AS z FROM line_frames JOIN elements e ON e.atom_type = l_suppkey % 4 + 1 WHERE base BETWEEN {FIRST_FRAME} AND {LAST_FRAME})"),
+    "atoms": (("line_frames", "elements"), f"atoms AS (SELECT sim, base AS timestep, base AS frame_ord, row_number() OVER (PARTITION BY sim, base ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS atom_id, CAST(l_suppkey % 4 + 1 AS INTEGER) AS atom_type, e.element, l_tax AS q, (l_partkey * 37 % 3500) / 100.0 + {BOX} * (l_linenumber % 3 - 1) AS x, (CAST(round(l_extendedprice * 100) AS BIGINT) % 3500) / 100.0 AS y, (l_orderkey * 13 % 3500) / 100.0 - {BOX} * (l_suppkey % 2) AS z FROM line_frames JOIN elements e ON e.atom_type = l_suppkey % 4 + 1)"),
     "thermo": ((), "thermo AS (SELECT * FROM (SELECT sim, step, unnest(['Temp', 'Press', 'Density', 'Extra']) AS parameter, unnest([cents / 100.0 / n, cents / 100.0, CASE WHEN step % 7 = 0 THEN CAST('nan' AS DOUBLE) ELSE top / 100.0 END, CAST(n AS DOUBLE)]) AS value FROM (SELECT CAST(user_id % 3 + 1 AS INTEGER) AS sim, CAST(floor((epoch_ms(ts) // 1000 - epoch(TIMESTAMP '2024-01-01 00:00:00')) / 3600.0) AS DOUBLE) AS step, sum(CAST(round(value * 100) AS BIGINT)) AS cents, count(*) AS n, max(CAST(round(value * 100) AS BIGINT)) AS top FROM events GROUP BY 1, 2)) WHERE NOT (sim = 3 AND parameter = 'Extra'))"),
     "species": ((), "species AS (SELECT * FROM (SELECT CAST(user_id % 3 + 1 AS INTEGER) AS sim, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS timestep, event_type AS species, count(*) AS n FROM events GROUP BY ALL) WHERE NOT (sim = 3 AND species = 'error'))"),
     "manifest": ((), "manifest AS (SELECT sim, topic, topic || '_' || sim AS path FROM (SELECT DISTINCT CAST(l_orderkey % 3 + 1 AS INTEGER) AS sim FROM lineitem), (VALUES ('bonds'), ('species'), ('thermo'), ('trajectory')) t(topic) WHERE NOT (sim = 3 AND topic = 'trajectory'))"),

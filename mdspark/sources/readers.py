@@ -19,6 +19,8 @@ PREFIXES = {
     "trajectory": ("TrajF", "TrajectoryF", "TrajectoryFile"),
 }
 TOPICS = ("bonds", "species", "thermo", "trajectory")
+#: Rows of one header that row_ord can number; places in a file then have 2^40 bytes.
+ROWS_PER_HEADER = 1 << 23
 STATIC_SPECIES_COLUMNS = ("Timestep", "No_Moles", "No_Specs")
 
 
@@ -61,7 +63,7 @@ def parse_species(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     blank = (F.trim("first") == "") & (F.size("rows") == 0)
     early = ~blank & ~F.col("head")[0].rlike("^[A-Za-z_]")
     cut = cut.select("sim", "frame_ord", "head", F.posexplode(F.when(early, F.raise_error(F.lit("species row before any header"))).otherwise(F.col("rows"))).alias("pos", "row"))
-    row = cut.select("sim", (F.col("frame_ord") * 1000 + F.col("pos")).alias("row_ord"), "head", tokens(F.col("row")).alias("cells"))
+    row = cut.select("sim", (F.col("frame_ord") * ROWS_PER_HEADER + F.col("pos")).alias("row_ord"), "head", tokens(F.col("row")).alias("cells"))
     keep_last = lambda name, i: (i < F.size("cells")) & ~F.array_contains(F.slice("head", i + 2, F.greatest(F.lit(0), F.least(F.size("head"), F.size("cells")) - i - 1)), name)
     pairs = F.filter(F.transform("head", lambda name, i: F.struct(name.alias("k"), F.get("cells", i).alias("v"), keep_last(name, i).alias("on"))), lambda x: x.on)
     at = lambda key: F.filter("pairs", lambda x: x.k == key)[0].v.cast("bigint")
@@ -110,11 +112,16 @@ def parse_bonds(chunks: DataFrame, elements: DataFrame) -> tuple[DataFrame, Data
 
     A bond is taken from its lower atom's row; rows of fewer than three tokens are skipped; frames with
     another number of rows than they announce are reported in frames (complete = false) and left out of
-    the other two.
+    the other two. Rows before a file's first header, or of a frame that announces no number, are an error.
     """
     lines = F.slice(F.split("value", "\n"), 2, 1 << 30)
     rows = F.filter(F.transform(F.filter(lines, lambda x: ~F.ltrim(x).startswith("#")), lambda x: tokens(x)), lambda r: F.size(r) >= 3)
-    cut = chunks.where(F.col("value").rlike(r"^\s*\d")).select("sim", "frame_ord", F.regexp_extract("value", r"^\s*(\d+)", 1).cast("bigint").alias("timestep"), F.regexp_extract("value", r"Number of particles\s+(\d+)", 1).cast("int").alias("n_atoms"), rows.alias("rows"))
+    headed = F.col("value").rlike(r"^\s*\d+\s*(\n|$)")
+    loose = F.exists(F.split("value", "\n"), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
+    announced = F.regexp_extract("value", r"Number of particles\s+(\d+)", 1)
+    early = F.when(headed, (announced == "") & (F.size(rows) > 0)).otherwise(loose)
+    chunks = chunks.select("sim", "frame_ord", F.when(early, F.raise_error(F.lit("bond data before timestep header"))).otherwise(F.col("value")).alias("value")).where(headed)
+    cut = chunks.select("sim", "frame_ord", F.regexp_extract("value", r"^\s*(\d+)", 1).cast("bigint").alias("timestep"), F.expr(r"try_cast(regexp_extract(value, 'Number of particles\\s+(\\d+)', 1) AS int)").alias("n_atoms"), rows.alias("rows"))
     frames = cut.select("sim", "timestep", "frame_ord", "n_atoms", (F.size("rows") == F.col("n_atoms")).alias("complete"))
     row = cut.where(F.size("rows") == F.col("n_atoms")).select("sim", "timestep", "frame_ord", F.explode("rows").alias("r")).select("sim", "timestep", "frame_ord", F.col("r")[0].cast("bigint").alias("atom_id"), F.col("r")[1].cast("int").alias("atom_type"), F.col("r")[2].cast("int").alias("nb"), "r")
     atoms = row.select("sim", "timestep", "frame_ord", "atom_id", "atom_type").join(F.broadcast(elements), "atom_type", "left").select("sim", "timestep", "frame_ord", "atom_id", "atom_type", "element")
@@ -180,11 +187,12 @@ def list_timesteps(spark: SparkSession, files: DataFrame) -> DataFrame:
 def parse_manifest(lines: DataFrame, folder: str = "") -> tuple[DataFrame, DataFrame]:
     """(manifest(sim, topic, path), elements(atom_type, element)) from (ord, value) lines.
 
-    'key = value' lines; '#' starts a comment line, '---' lines and unknown keys are ignored, the last of
+    'key = value' lines; '#' starts a comment wherever it stands, '---' lines and unknown keys are ignored, the last of
     repeated keys wins; digits behind a key are the simulation (1 without). Relative paths start at folder.
     """
     pattern = r"^\s*([A-Za-z_]\w*)\s*=\s*(.*?)\s*$"
-    pair = lines.where(~F.trim("value").startswith("#") & ~F.trim("value").startswith("---")).select("ord", F.regexp_extract("value", pattern, 1).alias("key"), F.regexp_replace(F.regexp_extract("value", pattern, 2), "^([\"'])(.*)\\1$", "$2").alias("v")).where("key <> ''")
+    lines = lines.select("ord", F.substring_index("value", "#", 1).alias("value"))
+    pair = lines.where(~F.trim("value").startswith("---")).select("ord", F.regexp_extract("value", pattern, 1).alias("key"), F.regexp_replace(F.regexp_extract("value", pattern, 2), "^([\"'])(.*)\\1$", "$2").alias("v")).where("key <> ''")
     digits = F.regexp_extract("key", r"(\d+)$", 1)
     topic = F.coalesce(*(F.when(F.col("key").startswith(k), F.lit(t)) for t, keys in PREFIXES.items() for k in keys))
     last = pair.select("ord", "key", "v", F.when(digits == "", 1).otherwise(digits.cast("int")).alias("sim"), topic.alias("topic"))

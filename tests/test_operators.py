@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mdspark.functions import scalars
 from mdspark.functions.kernels import canonical_label, components, pair_histogram
 from mdspark.operators import quality, rdf, reactions, thermo, topology
+from mdspark.sources import store
 
 MOLS = "sim int, timestep bigint, mol_idx int, label string, formula string, atom_ids array<bigint>"
 
@@ -146,3 +147,73 @@ def test_validation(spark):
     assert [r.severity for r in clean.collect()] == ["ok"]
     headers = spark.createDataFrame([(1, ["id", "type", "x", "y", "z"]), (2, ["id", "xu", "yu"]), (3, None)], "sim int, columns array<string>")
     assert sorted(r.message for r in quality.check_trajectory_columns(headers).collect()) == ["trajectory lacks: atom table", "trajectory lacks: type, coordinates"]
+
+
+def test_bonds_of_a_timestep(spark):
+    bonds = spark.createDataFrame([(1, 5, 0, 1, 2), (1, 5, 9, 1, 3), (1, 6, 10, 1, 2)], "sim int, timestep bigint, frame_ord bigint, atom_i bigint, atom_j bigint")
+    frames = bonds.select("sim", "timestep", "frame_ord").distinct()
+    assert [(r.atom_i, r.atom_j) for r in topology.bonds_at(frames, bonds, 5).collect()] == [(1, 2)]
+    with pytest.raises(LookupError):
+        topology.bonds_at(frames, bonds, 7)
+
+
+def test_first_event_and_unknown_simulation(spark):
+    events = spark.createDataFrame([(1, 4, 5, 0, "a"), (1, 2, 4, 3, "a"), (1, 2, 4, 1, "b"), (2, 9, 10, 0, "a")], "sim int, t1 bigint, t2 bigint, cluster int, reaction string")
+    assert sorted(tuple(r) for r in reactions.find_reaction(events, "a", True).collect()) == [(1, 2, 4, 3, "a"), (2, 9, 10, 0, "a")]
+    assert reactions.find_reaction(events).count() == 4
+    manifest = spark.createDataFrame([(1, "bonds", "x")], "sim int, topic string, path string")
+    assert reactions.simulation(manifest, 1).count() == 1
+    with pytest.raises(LookupError):
+        reactions.simulation(manifest, 2)
+
+
+def test_file_order_not_time_decides(spark):
+    frames = spark.createDataFrame([(1, 20, 0), (1, 10, 1)], "sim int, timestep bigint, frame_ord bigint")
+    mols = spark.createDataFrame([(1, 20, 0, "A"), (1, 10, 0, "A"), (1, 10, 1, "B")], "sim int, timestep bigint, mol_idx int, label string")
+    assert {r.value: r.timestep for r in topology.first_appearance(mols, frames=frames).collect()} == {"A": 20, "B": 10}
+    own = spark.createDataFrame([(1, 10, 7, "B"), (1, 20, 7, "A")], "sim int, timestep bigint, atom_id bigint, label string")
+    assert [x.label for x in topology.atom_evolution(own, frames).first().labels] == ["A", "B"]
+
+
+def test_types_of_the_first_frame_only(spark):
+    atoms = spark.createDataFrame([(1, 0, 1), (1, 0, 9), (1, 5, 8)], "sim int, frame_ord bigint, atom_type int")
+    assert sorted((r.topic, r.atom_type) for r in quality.first_frame_types(atoms).collect()) == [("trajectory", 1), ("trajectory", 9)]
+
+
+def test_files_that_are_there(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    manifest = spark.createDataFrame([(1, "bonds", str(tmp_path / "a")), (1, "thermo", str(tmp_path / "b"))], "sim int, topic string, path string")
+    assert [r.path for r in quality.existing_files(manifest).collect()] == [str(tmp_path / "a")]
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(1000).selectExpr("pmod(id * 7919, 1000) AS v").repartition(7)
+    assert all(r.n == r.v + 1 for r in store.numbered(df, "n", "v").collect())
+    assert store.numbered(df.where("v < 0"), "n", "v").collect() == []
+
+
+def test_labels_of_symmetric_molecules():
+    """Rings around one atom, numbered at random: one label, in little time."""
+    for rings in (3, 8):
+        bonds = [(0, 1 + 6 * r, 1) for r in range(rings)] + [(1 + 6 * r + k, 1 + 6 * r + (k + 1) % 6, 1) for r in range(rings) for k in range(6)]
+        n, found = 1 + 6 * rings, set()
+        for seed in range(4):
+            p = list(range(n))
+            random.Random(seed).shuffle(p)
+            found.add(canonical_label(["C"] * n, [(p[i], p[j], t) for i, j, t in bonds]))
+        assert len(found) == 1
+
+
+def test_labels_tell_graphs_apart_and_agree_on_equal_ones():
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.randrange(1, 7)
+        elements = [r.choice("CO") for _ in range(n)]
+        bonds = [(i, j, r.choice([1, 2])) for i, j in itertools.combinations(range(n), 2) if r.random() < 0.5]
+        p = list(range(n))
+        r.shuffle(p)
+        moved = [elements[p.index(i)] for i in range(n)], [(p[i], p[j], t) for i, j, t in bonds]
+        assert canonical_label(elements, bonds) == canonical_label(*moved)
+        plain = lambda e, b: min((tuple(e[i] for i in q), tuple(sorted((*sorted((q.index(i), q.index(j))), t) for i, j, t in b))) for q in itertools.permutations(range(n)))
+        other = [(i, j, 3 - t if k == 0 else t) for k, (i, j, t) in enumerate(bonds)]
+        assert (canonical_label(elements, bonds) == canonical_label(elements, other)) == (plain(elements, bonds) == plain(elements, other))

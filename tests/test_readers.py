@@ -109,6 +109,27 @@ def test_manifest(spark, tmp_path):
         readers.read_manifest(spark, str(path))
 
 
+def test_manifest_comments_end_a_line(spark, tmp_path):
+    path = tmp_path / "run.inp"
+    path.write_text("element_list = [\"C\", \"H\"]  # types 1 and 2\nBF1 = a.out  # run 1\n  # BF2 = b.out\n")
+    manifest, elements = readers.read_manifest(spark, str(path))
+    assert [(r.sim, r.path) for r in manifest.collect()] == [(1, f"{tmp_path}/a.out")]
+    assert sorted(r.element for r in elements.collect()) == ["C", "H"]
+
+
+@pytest.mark.parametrize("text", ["1 1 1 2 0 1.0 0 0 0\n" + BONDS, "# note\n2 1 0 0 0 0 0\n" + BONDS, "# Timestep 5\n1 1 0 0 0 0 0\n"])
+def test_bond_rows_before_a_header(spark, tmp_path, text):
+    elements = spark.createDataFrame([(1, "C"), (2, "H")], "atom_type int, element string")
+    with pytest.raises(Exception, match="bond data before timestep header"):
+        readers.read_bonds(spark, files(spark, tmp_path, {1: text}), elements)[2].collect()
+
+
+def test_rows_of_long_headers_are_told_apart(spark, tmp_path):
+    text = "# Timestep A\n" + "".join(f"{i} {i}\n" for i in range(1600)) + "# Timestep A\n7 7\n"
+    species, _ = readers.read_species(spark, files(spark, tmp_path, {1: text}))
+    assert species.select("row_ord").distinct().count() == 1601
+
+
 def test_stream_of_logs(spark, tmp_path):
     from mdspark.streaming.readers import stream_thermo
 

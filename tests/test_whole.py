@@ -9,15 +9,15 @@ import pytest
 
 from mdspark.plans.queries import QUERIES
 
-START, ELEMENTS, ATOMS = datetime.date(1995, 1, 1), "C H Li O".split(), 6
+START, ELEMENTS, ATOMS, BOXES = datetime.date(1995, 1, 1), "C H Li O".split(), 6, 24
 
 
 @pytest.fixture(scope="module")
 def lines():
-    """Light and heavy line items, most of them within six days, some years before and behind."""
+    """Light and heavy line items, most of them within six frames and one box, some years before and behind, some in other boxes."""
     r = random.Random(5)
-    days = [r.randrange(6) if i % 6 else r.choice([-1100, 40, 900, 2600]) for i in range(90)]
-    return [(i, r.randrange(1000), r.randrange(ATOMS), r.randrange(1, 6), float(r.randrange(1, 51)), r.randrange(10000) / 100, r.randrange(11) / 100, 0.01, START + datetime.timedelta(d)) for i, d in enumerate(days)]
+    days = [30 * r.randrange(6) + r.randrange(30) if i % 6 else r.choice([-1100, 400, 900, 2600]) for i in range(90)]
+    return [(i % 3 + 3 * (BOXES * (i // 3) + (0 if i % 7 else i % BOXES)), r.randrange(1000), r.randrange(ATOMS), r.randrange(1, 6), float(r.randrange(1, 51)), r.randrange(10000) / 100, r.randrange(11) / 100, 0.01, START + datetime.timedelta(d)) for i, d in enumerate(days)]
 
 
 @pytest.fixture(scope="module")
@@ -33,9 +33,11 @@ def bonds_of(lines):
     """{(sim, timestep): {(i, j): order}}"""
     found, start = collections.defaultdict(dict), min(x[-1] for x in lines)
     for order, part, a, number, _, _, discount, _, day in lines:
-        b = part % ATOMS
+        box = order // 3 % BOXES * ATOMS
+        b = part % ATOMS + box
+        a += box
         for k in range(min(4, number)) if a != b else ():
-            own, key = found[order % 3 + 1, (day - start).days + k], (min(a, b), max(a, b))
+            own, key = found[order % 3 + 1, (day - start).days // 30 + k], (min(a, b), max(a, b))
             own[key] = max(own.get(key, 0), round(1 + 20 * discount, 6))
     return found
 
@@ -60,7 +62,7 @@ def test_every_line_with_two_ends_is_a_bond(spark, folder, lines, name):
 
 @pytest.mark.parametrize("name", ["whole_molecule_components", "whole_iterative_components"])
 def test_components_of_whole_tables(spark, folder, lines, name):
-    want = {(s, t, a, own[0]) for (s, t), b in bonds_of(lines).items() for own in parts(range(ATOMS), b) for a in own}
+    want = {(s, t, a, own[0]) for (s, t), b in bonds_of(lines).items() for own in parts(range(ATOMS * BOXES), b) for a in own}
     got = QUERIES[name](spark, folder).collect()
     assert {(r.sim, r.timestep, r.atom_id, r.component) for r in got} == want and len(got) == len(want)
 
@@ -98,14 +100,14 @@ def plain_label(atoms, own):
     """The smallest numbering of a molecule over all orders of its atoms."""
     kind = lambda o: 1 + (o >= 1.5) + (o >= 2.5)
     inside = [(i, j, kind(o)) for (i, j), o in own.items() if i in atoms]
-    outcome = lambda p: (tuple(ELEMENTS[a % 4] for a in p), tuple(sorted((*sorted((p.index(i), p.index(j))), t) for i, j, t in inside)))
+    outcome = lambda p: (tuple(ELEMENTS[a % ATOMS % 4] for a in p), tuple(sorted((*sorted((p.index(i), p.index(j))), t) for i, j, t in inside)))
     return min(outcome(p) for p in itertools.permutations(atoms))
 
 
 def test_reactions_tell_isomers_apart(spark, folder, lines):
     frames = {}  # (sim, t): [(atoms, label)] by mol_idx
     for key, own in bonds_of(lines).items():
-        frames[key] = [(atoms, plain_label(atoms, own)) for atoms in parts(range(ATOMS), own)]
+        frames[key] = [(atoms, plain_label(atoms, own)) for atoms in parts(range(ATOMS * BOXES), own)]
     mols = QUERIES["whole_formula_smiles"](spark, folder).collect()
     name = {}
     for r in mols:
