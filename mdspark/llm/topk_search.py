@@ -2,20 +2,22 @@
 
 A vector is cut into segments; of each the mean and the deviation are kept. For two vectors
     q . v  <=  sum over segments of  n * (mean_q * mean_v + dev_q * dev_v),
-which in squared distance is the lower bound |q|^2 + |v|^2 - 2 * (that sum). Bounds are computed from
-coarse segments to fine ones; at each resolution, candidates whose bound stays below a query's k-th
-best score so far are dropped, and the survivors of the finest one are scored exactly. Integer
-arithmetic decides the result; bounds only ever keep too much (a small margin covers rounding).
-
-Plan: candidates are packed into shards and queries into blocks of at most BLOCK rows; each shard
-meets each block in a task that keeps a running top k of the block (so memory is bounded by the sizes
-of a block and a shard), and a second aggregation merges the shards' lists. Work is |queries| x |rows|
-by definition; rows move once per block of queries.
-
-Defined cases: vectors that are null, empty, of another dimension than the first usable one of the
-smallest id, or that hold null or non-finite components take no part; equal scores go to the smaller
-id; rows that repeat an id are candidates of their own; a query is never its own candidate (rows of
-the same id are left out); fewer than k candidates give all; an empty table gives an empty result.
+which in squared distance is the lower bound |q|^2 + |v|^2 - 2 * (that sum). Resolutions go from coarse
+segments to fine ones; at each, candidates whose bound stays below a query's k-th best score so far are
+dropped, and only a query's survivors of the finest one are scored exactly. Integer arithmetic decides the
+result; bounds only ever keep too much (a small margin covers rounding).
+
+Plan: rows are written in shards and stay there. Queries first meet SEEDS rows, the first by hash, which
+gives each a lower bound of its k-th best score. Then TILE_BYTES of queries at a time are sent to all tasks,
+each of which reads a part of the rows once and keeps a running top k per query; rows are never copied or
+shuffled, and are read once per tile. The parts' lists are merged by a ranking window, which drops all
+but k rows of a query on the side of the parts before anything moves.
+
+Defined cases: vectors that are null, empty, of another dimension than the first usable one of the smallest
+id, that hold null or non-finite components, or a component beyond LARGEST after scaling (whose scores need
+not fit a long) take no part; equal scores go to the smaller id; every row but the query's own is a
+candidate, so other rows of the query's id are too; each row with a query's id is a query with k results of
+its own, under the same query_id; fewer than k candidates give all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,40 +26,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of a query block and of a shard; segment counts from coarse to fine.
-BLOCK, SHARD, RESOLUTIONS = 2048, 16384, (4, 16)
+#: Segment counts from coarse to fine; the finest is still shorter than the vectors.
+RESOLUTIONS = (4, 16, 32, 48)
+#: Queries and rows met at once in a task; rows that give a query its first bound; bytes of the queries sent to all tasks at a time.
+BLOCK, CHUNK, SEEDS, TILE_BYTES = 512, 4096, 4096, 32 << 20
+#: Rows of a written shard, and shards at least (of rows that fill them a little).
+SHARD, LEAST_SHARDS, LEAST_ROWS = 65536, 24, 512
+LARGEST = 1 << 27
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(vec_id, v array<int>): components as floor(scale * x); rows that take no part are left out."""
     v = F.col(vec_col)
-    good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(F.lit(float(scale)) * x.cast("double")) >= LARGEST))
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v).where(good & F.col("vec_id").isNotNull()).select("vec_id", F.transform(vec_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int")).alias("v"))
 
 
-class Statistics:
-    """A set of vectors with its bound vectors at each resolution."""
-
-    def __init__(self, v: np.ndarray):
-        self.v = v.astype(np.float64)
-        self.bounds = [segment_statistics(self.v, r) for r in RESOLUTIONS if r < v.shape[1]]
-
-
 def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations times the root of the segment's length, side by side: their inner product is the bound."""
     edges = np.linspace(0, v.shape[1], segments + 1).astype(int)
     parts = [v[:, a:b] for a, b in zip(edges, edges[1:])]
     root = [np.sqrt(p.shape[1]) for p in parts]
     means = [p.mean(1) * r for p, r in zip(parts, root)]
-    devs = [p.std(1) * r for p, r in zip(parts, root)]
+    devs = [p.std(1) * r for p, r in zip(parts, root) if p.shape[1] > 1]  # of one number there is none
     return np.stack([*means, *devs], axis=1)
 
 
+def statistics(v: np.ndarray) -> list[np.ndarray]:
+    """Bound vectors at each resolution."""
+    return [segment_statistics(v.astype(np.float64), r) for r in RESOLUTIONS if r < v.shape[1]]
+
+
+def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers: in doubles where these hold every sum, else in 64-bit integers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[-1]
+    if most < 2.0**53:
+        return (v.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    return v.astype(np.int64) @ q.astype(np.int64)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of one query: highest score, then smallest id."""
     if len(scores) > 4 * k:
@@ -68,100 +80,143 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-class Running:
-    """The top k so far of a block of queries."""
-
-    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, Statistics(v), k
-        self.scores = np.full((len(ids), k), -np.inf)
-        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-
-    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
-        """Take in a shard of candidates."""
-        c = Statistics(v)
-        start = 0
-        if not np.isfinite(self.scores[:, -1]).all():  # a first part sets the thresholds
-            start = min(len(ids), 4 * self.k)
-            self.score(ids[:start], c.v[:start], np.ones((len(self.ids), start), bool))
-        if start == len(ids):
+class Search:
+    """The top k so far of some queries; least: scores below are of no use to a query."""
+
+    def __init__(self, rows: np.ndarray, v: np.ndarray, least: np.ndarray, k: int):
+        self.rows, self.v, self.k, self.least = rows, v, k, least.astype(np.float64)
+        self.bounds = statistics(v)
+        self.scores = [np.zeros(0, np.int64)] * len(rows)
+        self.ids = [np.zeros(0, np.int64)] * len(rows)
+        self.pairs = self.scored = 0
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        """Take in a chunk of candidates."""
+        theirs = statistics(v)
+        for lo in range(0, len(self.rows), BLOCK):
+            hi = min(lo + BLOCK, len(self.rows))
+            columns, alive = np.arange(len(rows)), None
+            for own, other in zip(self.bounds, theirs):
+                bound = own[lo:hi] @ other[columns].T
+                ok = bound >= (self.least[lo:hi] - 1e-3 - 1e-9 * np.abs(self.least[lo:hi]))[:, None]
+                alive = ok if alive is None else alive & ok
+                some = alive.any(0)
+                if not some.all():
+                    columns, alive = columns[some], alive[:, some]
+            for i in range(lo, hi):
+                at = columns if alive is None else columns[alive[i - lo]]
+                at = at[rows[at] != self.rows[i]]
+                self.scored += len(at)
+                if len(at):
+                    self.take(i, exact(self.v[i], v[at]), ids[at])
+            self.pairs += (hi - lo) * len(rows)
+
+    def take(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        good = scores >= self.least[i]
+        if not good.any():
             return
-        ids, v = ids[start:], c.v[start:]
-        threshold = self.scores[:, -1:] - 1e-3
-        if c.bounds:
-            alive = self.q.bounds[0] @ c.bounds[0][start:].T >= threshold
-        else:
-            alive = np.ones((len(self.ids), len(ids)), bool)
-        for fine, own in zip(c.bounds[1:], self.q.bounds[1:]):
-            columns = np.flatnonzero(alive.any(0))
-            if len(columns):
-                alive[:, columns] &= own @ fine[start:][columns].T >= threshold
-        columns = np.flatnonzero(alive.any(0))
-        if len(columns):
-            self.score(ids[columns], v[columns], alive[:, columns])
-
-    def score(self, ids: np.ndarray, v: np.ndarray, alive: np.ndarray) -> None:
-        """Exact scores of the survivors, merged into the lists."""
-        exact = self.q.v @ v.T  # whole numbers below 2^53
-        exact[~alive | (self.ids[:, None] == ids[None, :])] = -np.inf
-        for i in np.flatnonzero(((exact >= self.scores[:, -1:]) & np.isfinite(exact)).any(1)).tolist():
-            at = np.flatnonzero((exact[i] >= self.scores[i, -1]) & np.isfinite(exact[i]))
-            s, d = np.concatenate([self.scores[i], exact[i, at]]), np.concatenate([self.found[i], ids[at]])
-            top = best(s, d, self.k)
-            self.scores[i], self.found[i] = s[top], d[top]
+        s, d = np.concatenate([self.scores[i], scores[good]]), np.concatenate([self.ids[i], ids[good]])
+        top = best(s, d, self.k)
+        self.scores[i], self.ids[i] = s[top], d[top]
+        if len(top) == self.k:
+            self.least[i] = max(self.least[i], self.scores[i][-1])
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy().reshape(-1, dim)
+
+
+def seeded(queries: DataFrame, seeds: tuple[np.ndarray, np.ndarray], dim: int, k: int) -> DataFrame:
+    """queries (row, vec_id, v) and least: the k-th best score among the seeds, or the least long."""
+    held = queries.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, v = held.value
+        for batch in batches:
+            own, q = batch.column(0).to_numpy(), matrix(batch.column(2), dim)
+            least = np.full(len(own), np.iinfo(np.int64).min)
+            for i in range(len(own)):
+                scores = exact(q[i], v)[rows != own[i]]
+                if len(scores) >= k:
+                    least[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], names=["row", "vec_id", "v", "least"])
+
+    return queries.mapInArrow(run, "row bigint, vec_id bigint, v array<int>, least bigint")
+
+
+def search(rows: DataFrame, tile: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dim: int, k: int) -> DataFrame:
+    """(query, query_id, vec_id, score): of each part of the rows, the k best for every query of the tile at most."""
+    held = rows.sparkSession.sparkContext.broadcast(tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qrow, qid, q, least = held.value
+        found = Search(qrow, q, least, k)
+        pending: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> None:
+            t = pa.Table.from_batches(pending)
+            found.add(t.column(0).to_numpy(), t.column(1).to_numpy(), matrix(t.column(2), dim))
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK):
+                pending.append(batch.slice(lo, CHUNK))
+                size += pending[-1].num_rows
+                if size >= CHUNK:
+                    flush()
+                    pending, size = [], 0
+        if size:
+            flush()
+        for lo in range(0, len(qrow), 4096):
+            part = range(lo, min(lo + 4096, len(qrow)))
+            n = [len(found.ids[i]) for i in part]
+            if sum(n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qrow[part.start : part.stop], n)), pa.array(np.repeat(qid[part.start : part.stop], n)), pa.array(np.concatenate([found.ids[i] for i in part])), pa.array(np.concatenate([found.scores[i] for i in part]))], names=["query", "query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(run, "query bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (vec_id, v array<int>) frames."""
+    """(query_id, rank, vec_id, score); rows: (vec_id, v array<int>), queries: the condition's rows of it.
+
+    queries is a column expression over vec_id that says which rows are queries.
+    """
     spark = rows.sparkSession
-    rows = common.materialize(rows, "vectors")
-    first = rows.orderBy("vec_id").limit(1).collect()
+    n = rows.count()
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if not first:
+    if not n:
         return spark.createDataFrame([], schema)
-    dim = len(first[0].v)
-    rows, queries = rows.where(F.size("v") == dim), queries.where(F.size("v") == dim)
-    blocks = -(-max(1, queries.count()) // BLOCK)
-    n = rows.count()
-    shards = max(1, -(-n // SHARD), min(48, -(-n // 512)))  # small tables are spread over some tasks too
-    # each shard gets its own rows, and every block of queries gets to every shard
-    left = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    right = queries.select(F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        v = t.column("v").combine_chunks()
-        return t.column("vec_id").to_numpy(), v.flatten().to_numpy().reshape(-1, dim)
-
-    def meet(key: tuple, rows_: pa.Table, queries_: pa.Table) -> pa.Table:
-        out = {"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.int64)}
-        if rows_.num_rows and queries_.num_rows:
-            ids, v = matrix(queries_)
-            running = Running(ids, v, k)
-            cid, cv = matrix(rows_)
-            for lo in range(0, len(cid), 4096):
-                running.add(cid[lo : lo + 4096], cv[lo : lo + 4096])
-            kept = np.isfinite(running.scores)
-            out = {"query_id": np.repeat(ids, kept.sum(1)), "vec_id": running.found[kept], "score": running.scores[kept].astype(np.int64)}
-        return pa.table(out)
-
-    met = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint")
-    # merge the shards' lists: at most shards * k rows a query
-    packed = met.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("vec_id").alias("id")))).alias("found"))
-    ranked = packed.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("pos", "x"))
-    return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
+    shards = max(-(-n // SHARD), min(LEAST_SHARDS, -(-n // LEAST_ROWS)))
+    spread = rows.repartition(shards, F.xxhash64("vec_id", "v")).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
+    rows = common.materialize(spread, "vectors")
+    dim = len(rows.orderBy("vec_id", "row").limit(1).collect()[0].v)
+    rows = rows.where(F.size("v") == dim)
+    first = rows.orderBy(F.xxhash64("row"), "row").limit(SEEDS).collect()
+    seeds = np.array([r.row for r in first], np.int64), np.array([r.v for r in first], np.int32)
+    tiles = F.pmod(F.xxhash64("row", F.lit("tile")), F.lit(max(1, -(-rows.where(queries).count() * dim * 4 // TILE_BYTES)))).cast("int")
+    asked = common.materialize(seeded(rows.where(queries), seeds, dim, k).withColumn("tile", tiles), "queries")
+    lists = None
+    for r in asked.select("tile").distinct().orderBy("tile").collect():
+        t = asked.where(F.col("tile") == r.tile).select("row", "vec_id", "v", "least").toArrow()
+        tile = t.column("row").to_numpy(), t.column("vec_id").to_numpy(), matrix(t.column("v"), dim), t.column("least").to_numpy()
+        found = common.materialize(search(rows, tile, dim, k), "found")
+        lists = found if lists is None else lists.unionByName(found)
+    if lists is None:
+        return spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_topk(spark, sf_dir: str) -> DataFrame:
-    rows = usable(common.table(spark, sf_dir, "embeddings"))
-    return top_k(rows.where("vec_id % 20 = 0"), rows)
+    return top_k(F.col("vec_id") % 20 == 0, usable(common.table(spark, sf_dir, "embeddings")))
 
 
 OP1_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(64 * CAST(x AS DOUBLE)) >= 134217728)) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
 """

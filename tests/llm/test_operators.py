@@ -179,14 +179,45 @@ def test_estimates_follow_similarity(spark):
 
 def test_top_k_ties_and_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    vectors = [(i, [1.0, 0.5, -0.25, 0.1]) for i in range(1, 30)] + [(0, [0.5, 0.5, 0.5, 0.5]), (20, [0.1, nan, 0.0, 0.0]), (40, None), (60, [1.0, inf, 0.0, 0.0]), (61, [None, 1.0, 1.0, 1.0]), (80, [-1.0, -1.0, -1.0, -1.0]), (None, [1.0, 1.0, 1.0, 1.0])]
+    vectors = [(i, [1.0, 0.5, -0.25, 0.1]) for i in range(1, 30)] + [(0, [0.5, 0.5, 0.5, 0.5]), (20, [0.1, nan, 0.0, 0.0]), (40, None), (60, [1.0, inf, 0.0, 0.0]), (61, [None, 1.0, 1.0, 1.0]), (80, [-1.0, -1.0, -1.0, -1.0]), (None, [1.0, 1.0, 1.0, 1.0]), (100, [1e30, 0.0, 0.0, 0.0]), (120, [1.0])]
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").withColumn("block", F.lit(1))
-    own = topk_search.usable(df)
-    got = topk_search.top_k(own.where("vec_id % 20 = 0"), own).orderBy("query_id", "rank").collect()
+    got = topk_search.top_k(F.col("vec_id") % 20 == 0, topk_search.usable(df)).orderBy("query_id", "rank").collect()
     assert {r.query_id for r in got} == {0, 20, 80}
     assert [r.vec_id for r in got if r.query_id == 0] == list(range(1, 21))
     empty = topk_search.usable(df.where("false"))
-    assert topk_search.top_k(empty, empty).collect() == []
+    assert topk_search.top_k(F.col("vec_id") % 20 == 0, empty).collect() == []
+    assert topk_search.top_k(F.col("vec_id") % 20 == 0, topk_search.usable(df.where("vec_id % 20 > 0"))).collect() == []
+
+
+@pytest.mark.parametrize("big", [1, 1 << 17])
+def test_top_k_of_repeated_ids(spark, big):
+    """Each row of a query's id has results of its own, among them the other rows of the id; large components stay exact."""
+    r = random.Random(3)
+    rows_ = [(i % 30, [float(r.randrange(-9, 9) * big + r.randrange(2)) for _ in range(8)]) for i in range(70)] + [(20, [2.0 * big] * 8)] * 3
+    df = spark.createDataFrame(rows_, "vec_id bigint, embedding array<double>")
+    got = collections.Counter((x.query_id, x["rank"], x.vec_id, x.score) for x in topk_search.top_k(F.col("vec_id") % 20 == 0, topk_search.usable(df), 20).collect())
+    want = collections.Counter()
+    v = [(i, [int(np.floor(64 * x)) for x in e]) for i, e in rows_]
+    for a, (i, q) in enumerate(v):
+        if i % 20 == 0:
+            own = sorted((-sum(x * y for x, y in zip(q, c)), j) for b, (j, c) in enumerate(v) if a != b)[:20]
+            want.update((i, n, j, -s) for n, (s, j) in enumerate(own, 1))
+    assert got == want
+
+
+@data
+def test_bounds_drop_more_than_half():
+    import duckdb
+
+    e = duckdb.sql(f"SELECT vec_id, embedding FROM '{DATA.replace('0.001', '0.1')}/embeddings.parquet' ORDER BY hash(vec_id)").df()
+    v, ids = np.floor(64 * np.stack(e.embedding.to_numpy()).astype(float)).astype(np.int32), e.vec_id.to_numpy()
+    asked = ids % 20 == 0
+    first = topk_search.Search(ids[asked], v[asked], np.full(asked.sum(), -(1 << 62)), 20)
+    first.add(ids[:500], ids[:500], v[:500])
+    rest = topk_search.Search(ids[asked], v[asked], first.least, 20)
+    rest.add(ids[500:], ids[500:], v[500:])
+    print("share of pairs scored exactly:", rest.scored / rest.pairs)
+    assert rest.scored < 0.5 * rest.pairs
 
 
 def test_bounds_are_bounds():
