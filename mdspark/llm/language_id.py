@@ -130,12 +130,12 @@ def normalized(scores: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def identify(df: DataFrame, model: TextModel | None, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, suffix_col: str | None = None, declared_col: str | None = None) -> DataFrame:
-    """(id, lang, p, accepted, p_text) for every row of df."""
+def identify(df: DataFrame, model: TextModel | None, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = None, suffix_col: str | None = None, declared_col: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(carry, id, lang, p, accepted, p_text) for every row of df."""
     name = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), name(host_col).alias("host"), name(suffix_col).alias("suffix"), F.lower(F.substring(name(declared_col), 1, 2)).alias("declared"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = df.select(*carry, F.col(id_col).cast("long").alias("id"), name(host_col).alias("host"), name(suffix_col).alias("suffix"), F.lower(F.substring(name(declared_col), 1, 2)).alias("declared"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if model is None:
-        return rows.select("id", F.lit(UND).alias("lang"), F.lit(1.0).alias("p"), F.lit(False).alias("accepted"), F.lit(1.0).alias("p_text"))
+        return rows.select(*carry, "id", F.lit(UND).alias("lang"), F.lit(1.0).alias("p"), F.lit(False).alias("accepted"), F.lit(1.0).alias("p_text"))
     names = model.names
     size = len(names)
     found = common.materialize(text_evidence(rows, model).withColumn("q", normalized(F.col("ev"))), "evidence")
@@ -164,12 +164,12 @@ def identify(df: DataFrame, model: TextModel | None, id_col: str = "doc_id", tex
     joined = found.join(hosts, (F.col("host") == F.col("h_host")) & F.col("suffix").eqNullSafe(F.col("h_suffix")), "left")
     joined = joined.join(suffixes, "suffix", "left").join(declared, "declared", "left")
     near = F.coalesce("p_host", "p_suffix", prior)
-    fused = joined.select("id", "letters", "q", F.array(*(F.col("ev")[k] + F.log(near[k]) + F.coalesce(F.col("e_declared")[k], F.lit(0.0)) for k in range(size))).alias("s"))
-    p = fused.select("id", "letters", "q", normalized(F.col("s")).alias("p"))
+    fused = joined.select(*carry, "id", "letters", "q", F.array(*(F.col("ev")[k] + F.log(near[k]) + F.coalesce(F.col("e_declared")[k], F.lit(0.0)) for k in range(size))).alias("s"))
+    p = fused.select(*carry, "id", "letters", "q", normalized(F.col("s")).alias("p"))
     at = F.array_position("p", F.array_max("p"))
     lang = F.when(F.col("letters"), F.element_at(F.array(*map(F.lit, names)), at.cast("int"))).otherwise(F.lit(UND))
-    named = p.select("id", "letters", lang.alias("lang"), F.array_max("p").alias("p"), F.array_max("q").alias("p_text"))
-    return named.select("id", "lang", "p", (F.col("letters") & (F.col("lang") != UND) & (F.col("p") >= LEAST_P)).alias("accepted"), "p_text")
+    named = p.select(*carry, "id", "letters", lang.alias("lang"), F.array_max("p").alias("p"), F.array_max("q").alias("p_text"))
+    return named.select(*carry, "id", "lang", "p", (F.col("letters") & (F.col("lang") != UND) & (F.col("p") >= LEAST_P)).alias("accepted"), "p_text")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

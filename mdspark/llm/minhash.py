@@ -7,16 +7,20 @@ of the XOR), corrected for the 1 in 16 that agree by chance; pairs whose estimat
 errors below the threshold are confirmed on the full sets. At Jaccard 0.8 a pair is missed with
 probability below 1e-6.
 
-Texts with equal sets are one node. In each bucket every node is first paired with the bucket's smallest
+Texts with equal sets are one node, named by a row of it. In each bucket every node is first paired with the bucket's smallest
 node only, then, in buckets that still hold several components, with its neighbours in a few random
 orders; both are linear in the bucket and join nearly all that belongs together. Only then each node
-outside a bucket's main component meets all the bucket's nodes of other components, by estimate inside
-the join. Nothing is capped: the last step covers every pair of a bucket whose link could still matter.
+outside a bucket's main component meets all the bucket's nodes of other components, block by block of
+both, by estimate inside the join. Nothing is capped: the last step covers every pair of a bucket whose
+link could still matter. Buckets with a thousandth of all entries are sent to the entries instead of the
+entries to them, and a node with very many pairs meets them in parts, its set once for each.
 Components spread by smallest label with pointer jumping, in the shared folder.
 
 Defined cases: null counts as empty text; texts without words are linked with nothing and stay; rows
-that repeat an id are one node; rows without an id are linked with nothing, have no component and stay;
-texts of any length are read whole; other columns are ignored; an empty table gives an empty table.
+that repeat an id are linked by their texts alone, each by its own; rows without an id are linked with
+nothing, have no component and stay; texts of any length are read whole; other columns are ignored unless
+carried, and with carried ones `stays` marks one row of each component, the first of those with the
+smallest id, and rows that are linked with nothing; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -119,8 +123,9 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nd
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands array<bigint>, packed array<bigint>, fine binary); narrow."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("packed", pa.list_(pa.int64())), ("fine", pa.binary())])
+    """docs' columns but text, and n_shingles, digest, bands array<bigint>, packed array<bigint>, fine binary; narrow."""
+    kept = [c for c in docs.columns if c != "text"]
+    schema = pa.schema([("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("packed", pa.list_(pa.int64())), ("fine", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _odd(29, MINIMA), _odd(31, MINIMA)
@@ -128,29 +133,32 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 n, digests, bands, packed, fine = [], [], [], [], []
-                for s in shingle_sets(part.column(1).to_pylist(), words):
+                for s in shingle_sets(part.column(len(kept)).to_pylist(), words):
                     k, p = signature(s, a, b) if len(s) else (np.zeros(0, np.int64),) * 2
                     n.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     bands.append(k)
                     packed.append(p)
                     fine.append(fine_signature(s))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, schema.field("bands").type), pa.array(packed, schema.field("packed").type), pa.array(fine, pa.binary())], schema=schema)
+                new = [pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, schema.field("bands").type), pa.array(packed, schema.field("packed").type), pa.array(fine, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *new], names=[*kept, *schema.names])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, packed array<bigint>, fine binary")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
+    return docs.select(*kept, "text").mapInArrow(run, f"{own}, n_shingles bigint, digest binary, bands array<bigint>, packed array<bigint>, fine binary")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles array<bigint>); narrow."""
+    """(doc_id, digest, shingles array<bigint>); narrow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "digest", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, digest binary, shingles array<bigint>")
 
 
 def equal_fields(a: Column, b: Column) -> Column:
@@ -208,15 +216,22 @@ def sharper(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    pairs = common.materialize(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = common.materialize(full_sets(common.matched(docs, ids.select(F.col("id").alias("doc_id")), "left_semi"), words), "sets")
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs of nodes (a, b) whose full shingle sets are similar enough; nodes: (rep, doc_id, digest).
+
+    Of the nodes in pairs the texts are found by id and told apart by digest. The pairs of one a are cut
+    into parts of about PART; each has a's set once.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    pairs = common.materialize(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part")), "pairs")
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    wanted = common.materialize(nodes.select("rep", "doc_id", "digest").join(ids, "rep", "left_semi"), "wanted")
+    found = full_sets(common.matched(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), "left_semi"), words)
+    sets = common.materialize(found.join(wanted, ["doc_id", "digest"]).dropDuplicates(["rep"]).select("rep", "shingles"), "sets")
+    members = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
+    heads = pairs.select("a", "part").distinct().join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a")
     shared = F.size(F.array_intersect("s", "t"))
-    return both.where(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("a", "b")
+    return members.join(heads, ["a", "part"]).where(100 * shared >= percent * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
 def neighbours(rest: DataFrame, turn: int) -> DataFrame:
@@ -234,16 +249,18 @@ def neighbours(rest: DataFrame, turn: int) -> DataFrame:
 def meet(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): all likely pairs of a node outside its bucket's main component and a node of another component.
 
-    The outsiders of a bucket are the queries, in blocks of about PART, against the bucket's nodes. A pair
-    is compared first by the minima's bits, then by the finer signature, whose error is small where bins
-    outnumber shingles; it is kept in the first of its common buckets only.
+    Outsiders and all nodes of a bucket are both cut into blocks of about PART, and each block of one meets
+    each of the other. A pair is compared first by the minima's bits, then by the finer signature, whose
+    error is small where bins outnumber shingles; it is kept in the first of its common buckets only.
     """
-    each = rest.join(nodes, "rep").withColumn("outside", F.col("c") != F.col("main"))
-    outside = each.where("outside").groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / PART).cast("int").alias("blocks"))
-    each = each.join(outside, "key")
-    cols = ["key", "block", "rep", "c", "n_shingles", "bands", "packed", "fine"]
-    x = each.where("outside").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select(*cols).toDF(*cols)
-    y = each.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*cols).toDF(*cols)
+    each = rest.withColumn("outside", F.col("c") != F.col("main"))
+    sizes = each.groupBy("key").agg(F.ceil(F.sum(F.col("outside").cast("int")) / PART).cast("int").alias("one"), F.ceil(F.count("*") / PART).cast("int").alias("two"), F.count("*").alias("n")).where("one > 0")
+    each = common.join_hot(each, common.materialize(sizes, "sizes"), "key", "n", each.count()).join(nodes, "rep")
+    cols = ["key", "one_block", "two_block", "rep", "c", "n_shingles", "bands", "packed", "fine"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    x = each.where("outside").withColumn("one_block", own("one", 1)).withColumn("two_block", every("two")).select(*cols).toDF(*cols)
+    y = each.withColumn("two_block", own("two", 2)).withColumn("one_block", every("one")).select(*cols).toDF(*cols)
     chance, least = 1 / (1 << BITS), least_estimate(percent)
     most_unequal = MINIMA - int(np.ceil(MINIMA * (least * (1 - chance) + chance) - 1e-9))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -278,21 +295,26 @@ def meet(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             return schema.empty_table()
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}, schema=schema)
 
-    return x.groupBy("key", "block").cogroup(y.groupBy("key", "block")).applyInArrow(run, "a bigint, b bigint")
+    group = ["key", "one_block", "two_block"]
+    return x.groupBy(*group).cogroup(y.groupBy(*group)).applyInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; links have 100 * intersection >= percent * union."""
-    docs = common.texts(df, id_col, text_col)
-    signed = common.materialize(signatures(docs, words), "signatures")
+def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; links have 100 * intersection >= percent * union.
+
+    With carried columns (carry, ..., stays).
+    """
+    docs = common.texts(df, id_col, text_col, carry)
+    signed = common.materialize(signatures(docs, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # equal sets are one node, named by its smallest id
-    equal = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = common.materialize(some.join(equal, "digest").select("doc_id", "rep", "n_shingles", "bands", "packed", "fine"), "members")
-    nodes = members.where("doc_id = rep").select("rep", "n_shingles", "bands", "packed", "fine")
+    # equal sets are one node, named by its first row
+    equal = common.materialize(some.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")), "equal")
+    nodes = some.join(equal.select(F.col("first.row").alias("row")), "row").select(F.col("row").alias("rep"), "doc_id", "digest", "n_shingles", "bands", "packed", "fine")
+    nodes = common.materialize(nodes, "nodes")
     entries = nodes.select("rep", F.explode("bands").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("hub <> most").select("key", "hub")
-    shared = common.materialize(entries.join(hubs, "key").select("key", "rep", "hub").distinct(), "buckets")
+    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.count("*").alias("n")).where("hub <> most").select("key", "hub", "n")
+    hubs = common.materialize(hubs, "hubs")
+    shared = common.materialize(common.join_hot(entries, hubs, "key", "n", nodes.count()).select("key", "rep", "hub").distinct(), "buckets")
     seen = nodes.select("rep", "n_shingles", "packed", "fine")
     least = least_estimate(percent)
 
@@ -301,30 +323,38 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
         near = pairs.join(a, "a").join(b, "b").where(estimate(F.col("s"), F.col("t")) >= least)
         return sharper(near.select("a", "b", "n", "m", "f", "g"), percent).distinct()
 
-    same = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     tried = common.materialize(likely(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "tried")
-    links = common.materialize(confirm(tried, docs, percent, words), "links")
+    links = common.materialize(confirm(tried, docs, nodes, percent, words), "links")
     turn = 0
     while True:
         turn += 1
-        found = components(links.union(same))
+        found = components(links)
         labelled = shared.join(found, shared.rep == found.node, "left").select("key", "rep", "hub", F.coalesce("component", "rep").alias("c"))
         mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("c"))).alias("main")).where("lo <> hi").select("key", "main", "size")
-        rest = common.materialize(labelled.join(mixed, "key").select("key", "rep", "c", "main", "size"), "rest")
+        mixed = common.materialize(mixed, "mixed")
+        rest = common.materialize(common.join_hot(labelled, mixed, "key", "size", nodes.count()).select("key", "rep", "c", "main", "size"), "rest")
         if turn <= RANDOM_TURNS:
             pairs = neighbours(rest, turn)
         else:
-            pairs = meet(rest, nodes, percent).distinct()
+            pairs = meet(rest, nodes.select("rep", "n_shingles", "bands", "packed", "fine"), percent).distinct()
         new = pairs.join(tried, ["a", "b"], "left_anti")
         new = common.materialize(likely(new) if turn <= RANDOM_TURNS else new, "new")
         if new.limit(1).count():
-            links = common.materialize(links.union(confirm(new, docs, percent, words)), "links")
+            links = common.materialize(links.union(confirm(new, docs, nodes, percent, words)), "links")
             tried = common.materialize(tried.union(new), "tried")
         if turn > RANDOM_TURNS:  # every pair that could matter has been tried
-            found = components(links.union(same))
+            found = components(links)
             break
-    out = signed.join(found, signed.doc_id == found.node, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
+    named = equal.select("digest", "copies", "first", F.col("first.row").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = named.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n"))
+    heads = common.materialize(heads, "heads")
+    # by digest, what every row of it gets
+    told = common.materialize(common.join_hot(named, heads, "component", "n", nodes.count()).select("digest", "copies", "head"), "told")
+    linked = common.join_hot(some, told, "digest", "copies", signed.count()).select(*carry, "doc_id", "n_shingles", "row", "head")
+    alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select(*carry, "doc_id", "n_shingles", "row", F.struct("doc_id", "row").alias("head"))
+    out = linked.unionByName(alone)
+    kept = F.coalesce(F.col("doc_id") == F.col("head.doc_id"), F.lit(True)).alias("kept")
+    return out.select(*carry, "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), kept, *([(F.col("row") == F.col("head.row")).alias("stays")] if carry else []))
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:

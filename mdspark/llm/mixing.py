@@ -14,7 +14,7 @@ sums reach the driver. Targets may be out of reach (no rates bring a domain's sh
 document has of it): the nearest totals are then found, and `balance` reports each domain's target beside
 what the rates give.
 
-copies is the rate rounded up or down by a hash of the row, so that its expectation is the rate.
+copies is the rate rounded up or down by a hash of id and text, so that its expectation is the rate.
 
 Defined cases: null and empty texts have no tokens and the features of no word; repeated rows are rated
 each; a null id is rated like any other; other columns are ignored; without labels every document's
@@ -56,17 +56,17 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(carry, doc_id, n_tokens, feats): hashes of the features; tokens are separated by runs of white space."""
+    """(carry, doc_id, n_tokens, draw, feats): a hash of id and text, and hashes of the features; tokens are separated by runs of white space."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "0")
-    cut = df.select(*carry, F.col(id_col).cast("long").alias("doc_id"), F.split(F.lower(text), r"[^\p{L}\p{N}]+").alias("w"), F.split(shape, WHITE).alias("t"))
+    cut = df.select(*carry, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text, F.lit("mix")).alias("draw"), F.split(F.lower(text), r"[^\p{L}\p{N}]+").alias("w"), F.split(shape, WHITE).alias("t"))
     words, tokens = F.array_remove("w", ""), F.array_remove("t", "")
-    cut = cut.select(*carry, "doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(words).alias("n"), F.array_distinct(words).alias("d"), F.array_distinct(tokens).alias("t"))
+    cut = cut.select(*carry, "doc_id", "draw", F.size(tokens).cast("long").alias("n_tokens"), F.size(words).alias("n"), F.array_distinct(words).alias("d"), F.array_distinct(tokens).alias("t"))
     hashed = lambda column, kind, f: F.transform(column, lambda w: F.xxhash64(f(w), F.lit(kind)))
     # texts of few words repeat few, so the share is kept by size class
     repeat = F.xxhash64(F.floor(F.size("d") / F.greatest("n", F.lit(1)) * REPEAT_STEPS), F.least(F.lit(7), F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")) / 2)))
     parts = hashed("d", 0, lambda w: w), F.array_distinct(hashed("d", 1, lambda w: F.substring(w, -END, END))), F.array_distinct(hashed("d", 2, lambda w: F.substring(w, 1, BEGINNING))), hashed("t", 3, lambda w: w), F.array(repeat)
-    return cut.select(*carry, "doc_id", "n_tokens", F.concat(*parts).alias("feats"))
+    return cut.select(*carry, "doc_id", "n_tokens", "draw", F.concat(*parts).alias("feats"))
 
 
 class Classifier:
@@ -203,7 +203,7 @@ def mix(df: DataFrame, domains: DataFrame, targets: dict[str, float] | None = No
     anchor domain's present token total.
     """
     soft, cells = rates(df, domains, targets, anchor, id_col, text_col, carry)
-    draw = F.pmod(F.xxhash64("doc_id", *carry, F.lit("mix")), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod("draw", F.lit(1 << 40)) / float(1 << 40)
     rated = soft.join(F.broadcast(cells.select("p", "rate")), "p")  # one row per posterior, of a number bounded by rounding
     return rated.select(*carry, "doc_id", "n_tokens", "p", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
 

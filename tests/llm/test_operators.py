@@ -377,6 +377,72 @@ def test_pipeline_against_plain_stages(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect()) == sorted(ids)
 
 
+ROWS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, row string"
+LONG = " ".join(f"word{i} of a text" for i in range(80))
+
+
+def stage_rows(spark):
+    """Ids that repeat with other texts and with the same, that are missing, and columns that clash."""
+    a, b, c = f"The first text. {LONG}", f"The second and other text: {LONG[:200]}", f"The first text! {LONG} end"
+    texts_ = [(1, a), (1, a), (2, a), (2, b), (None, b), (None, b), (3, c), (4, None), (5, ""), (5, ""), (6, "lone text here that nobody has")]
+    return spark.createDataFrame([(i, t, "en", "s", 1, "x", "y") for i, t in texts_], ROWS)
+
+
+def test_stages_decide_by_row(spark):
+    import corpus_pipeline
+
+    df = stage_rows(spark)
+    texts_of = lambda out: collections.Counter((r.doc_id, (r.text or "")[:12]) for r in out.collect())
+    kept = corpus_pipeline.exact(spark, df, DATA)
+    assert kept.columns == df.columns
+    assert texts_of(kept) == collections.Counter([(1, "The first te"), (2, "The second a"), (3, "The first te"), (4, ""), (6, "lone text he")])
+    # a and c share all but a few shingles; b by id 2 is another text and stays, as do rows without an id, words or copies
+    near = corpus_pipeline.near(spark, df, DATA)
+    want = collections.Counter([(1, "The first te"), (2, "The second a"), (None, "The second a"), (None, "The second a"), (4, ""), (5, ""), (5, ""), (6, "lone text he")])
+    assert texts_of(near) == want and near.columns == df.columns
+    path = f"{common.shared_dir(spark)}/stage-rows"
+    df.repartition(3).write.parquet(path)
+    assert texts_of(corpus_pipeline.near(spark, spark.read.parquet(path), DATA)) == want
+    language = corpus_pipeline.language(spark, df, DATA)
+    assert language.columns == df.columns and all(n and t for (n, t) in texts_of(language.where("doc_id IS NOT NULL")))
+
+
+@data
+def test_stages_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, stage_rows(spark).where("false"), DATA).collect() == [], name
+
+
+@data
+def test_mixing_stage_follows_the_rates(spark):
+    import corpus_pipeline
+
+    docs = common.table(spark, DATA, "documents")
+    rated = mixing.mix(common.keyed(docs), mixing.label_domains(common.table(spark, DATA, "labels")), carry=common.KEY)
+    want = {r.doc_id: r.copies for r in rated.collect() if r.copies}
+    assert collections.Counter(r.doc_id for r in corpus_pipeline.mix(spark, docs, DATA).collect()) == want
+
+
+def test_hot_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Texts of one family, all in the same buckets, with every block and hot-key path in use."""
+    monkeypatch.setattr(minhash, "PART", 7)
+    monkeypatch.setattr(common, "HOT", 0.05)
+    random.seed(5)
+    base, texts_ = random.choices([f"w{i}" for i in range(300)], k=90), {}
+    for i in range(60):
+        words = list(base)
+        for _ in range(random.choice([0, 2, 4, 7])):
+            words[random.randrange(90)] = random.choice(["x", "y", f"z{i}"])
+        texts_[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts_.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 80, 4).collect()}
+    assert got == brute_components(texts_, 80, 4)
+    exact = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(df).collect()}
+    assert exact == {i: min(j for j in texts_ if texts_[j] == t) for i, t in texts_.items()}
+
+
 def test_rare_languages_are_learned(spark):
     """A language with one row in thousands, and one whose texts are all long, are classes of the model."""
     base = [(i, f"the number {i} of many words", "en") for i in range(6000)] + [(10_000 + i, "kolme sanaa on tämä lause", "fi") for i in range(2)] + [(20_000, "eins zwei drei vier " * 1000, "de")]
