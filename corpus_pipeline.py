@@ -1,8 +1,9 @@
 """From raw documents to token ids, in five stages.
 
 Each stage works on all that the one before kept, and all but the last return the columns of documents.
-Ids that a stage drops are matched against the documents in place (a broadcast of counted size, a shuffle
-join beyond it), so that texts do not move to be filtered. Rows without an id pass every filter.
+Decisions are taken and matched row by row (by a row's file and place in it), so ids may be missing or
+repeat. Rows that a stage drops are matched against the documents in place (a broadcast of counted size,
+a shuffle join beyond it), so that texts do not move to be filtered.
 """
 
 from __future__ import annotations
@@ -12,29 +13,39 @@ from pyspark.sql import functions as F
 
 from mdspark.llm import bpe, common, exact_dedup, language_id, minhash, mixing
 
+KEY = common.KEY
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without these rows, and without their keys."""
+    return common.matched(docs, rows.select(*KEY), "left_anti", list(KEY)).drop(*KEY)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; the text model learns from their lang column."""
-    found = language_id.identify(docs, language_id.fit(docs), host_col="source")
-    return common.matched(docs, found.where(~F.col("accepted") & F.col("id").isNotNull()).select(F.col("id").alias("doc_id")).distinct(), "left_anti")
+    rows = common.keyed(docs)
+    return without(rows, language_id.identify(rows, language_id.fit(docs), host_col="source", carry=KEY).where("NOT accepted"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the smallest id."""
-    return common.matched(docs, exact_dedup.exact_dedup(docs).where(~F.col("kept")).select("doc_id").distinct(), "left_anti")
+    """One row of each group of equal texts, with the smallest id."""
+    rows = common.keyed(docs)
+    return without(rows, exact_dedup.exact_dedup(rows, carry=KEY).where("NOT stays"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id."""
-    return common.matched(docs, minhash.near_duplicates(docs, 80, 5).where(~F.col("kept")).select("doc_id").distinct(), "left_anti")
+    """One row of each group of near copies, with the smallest id; rows without an id have no near copies."""
+    rows = common.keyed(docs)
+    return without(rows, minhash.near_duplicates(rows, 80, 5, carry=KEY).where("NOT stays"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says: not at all, once, or more often."""
-    rated = mixing.mix(docs, mixing.label_domains(common.table(spark, sf_dir, "labels")))
-    other = rated.where("copies <> 1 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("copies").alias("mix_copies"))
-    joined = common.matched(docs, other, "left").withColumn("mix_copies", F.coalesce("mix_copies", F.lit(1))).where("mix_copies > 0")
-    return joined.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+    rows = common.keyed(docs)
+    rated = mixing.mix(rows, mixing.label_domains(common.table(spark, sf_dir, "labels")), carry=KEY)
+    other = rated.where("copies <> 1").select(*KEY, F.col("copies").alias("_copies"))
+    joined = common.matched(rows, other, "left", list(KEY)).withColumn("_copies", F.coalesce("_copies", F.lit(1))).where("_copies > 0")
+    return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
