@@ -115,7 +115,10 @@ def brute_removed(docs, length=50):
     return out
 
 
-def test_suffix_removal(spark):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_SHARD, 1])
+def test_suffix_removal(spark, monkeypatch, hot):
+    """With shards sorted, and with all of them taken apart into windows."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARD", hot)
     random.seed(6)
     words = ["".join(random.choices("abcde", k=random.randint(1, 7))) for _ in range(60)]
     passages = [" ".join(random.choices(words, k=14)) for _ in range(5)]
@@ -131,12 +134,27 @@ def test_suffix_removal(spark):
 
 def test_suffix_arrays():
     r = np.random.default_rng(1)
-    for k in range(150):
-        s = np.append(r.integers(1, int(r.integers(2, 6)), int(r.integers(1, 60))), 0)
-        suffixarray.RECURSE = 0 if k % 2 else 512
+    for k in range(300):
+        s = np.append(r.integers(1, int(r.integers(2, 6)), int(r.integers(1, 80))), 0)
         assert suffixarray.suffix_array(s, 7).tolist() == sorted(range(len(s)), key=lambda i: list(s[i:]))
 
 
+def test_suffix_arrays_recurse_on_large_shards():
+    """A shard of 2 MB is sorted by recursion to the end, and its common prefixes are those of its neighbours."""
+    random.seed(2)
+    words = ["".join(random.choices("abcdefghij", k=random.randint(1, 8))) for _ in range(3000)]
+    raw = " ".join(random.choices(words, k=400_000)).encode()[: 2 << 20]
+    depth = []
+    order = suffixarray.suffix_array(np.append(np.frombuffer(raw, np.uint8).astype(np.int16) + 2, np.int16(0)), 258, depth)[1:]
+    assert len(depth) > 4 and all(a > 2 * b for a, b in zip([len(raw), *depth], depth))
+    assert (np.sort(order) == np.arange(len(raw))).all()
+    shared = suffixarray.permuted_prefixes(np.frombuffer(raw, np.uint8), order, len(raw) - np.arange(len(raw)))
+    for i in random.sample(range(1, len(raw)), 3000):
+        a, b = order[i - 1], order[i]
+        n = int(shared[b])
+        assert raw[a : a + n] == raw[b : b + n] and raw[a + n : a + n + 1] < raw[b + n : b + n + 1]
+
+
 def shingles(text, k):
     w = WHITE.split((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     w = [x for x in w if x]
