@@ -143,7 +143,8 @@ def test_suffix_arrays_recurse_on_large_shards():
     """A shard of 2 MB is sorted by recursion to the end, and its common prefixes are those of its neighbours."""
     random.seed(2)
     words = ["".join(random.choices("abcdefghij", k=random.randint(1, 8))) for _ in range(3000)]
-    raw = " ".join(random.choices(words, k=400_000)).encode()[: 2 << 20]
+    passages = [" ".join(random.choices(words, k=random.choice([20, 400]))) for _ in range(400)]
+    raw = " ".join(random.choice(passages) for _ in range(4000)).encode()[: 2 << 20]
     depth = []
     order = suffixarray.suffix_array(np.append(np.frombuffer(raw, np.uint8).astype(np.int16) + 2, np.int16(0)), 258, depth)[1:]
     assert len(depth) > 4 and all(a > 2 * b for a, b in zip([len(raw), *depth], depth))
