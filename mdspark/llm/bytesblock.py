@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes worked on at once; a longer text is cut at white space into pieces whose results are combined.
+#: Bytes worked on at once; a longer text is cut at marks into pieces whose results are combined.
 BLOCK = 500_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -14,21 +14,27 @@ _R = 0x9E3779B97F4A7C15
 _BACK = pow(_R, -1, 1 << 64)
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(numbers of the texts, their bytes) in blocks; a text may be cut into several pieces."""
+def blocks(texts: list[str], mark: bytes, stay: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(numbers of the texts, their bytes) in blocks; a text may be cut into several pieces, at marks alone.
+
+    stay: bytes of the mark that belong to the piece before; if none do, the mark is left out. A text is
+    never cut elsewhere, so that what is counted does not depend on BLOCK.
+    """
     owner: list[int] = []
     parts: list[bytes] = []
     size = 0
     for k, text in enumerate(texts):
         raw = text.encode("utf-8", "replace")
         while len(raw) > BLOCK:
-            cut = max(raw.rfind(b"\n", 1, BLOCK), raw.rfind(b" ", 1, BLOCK))
-            cut = cut if cut > 0 else BLOCK
+            cut = raw.rfind(mark, 0, BLOCK)
+            cut = cut if cut >= 0 else raw.find(mark, BLOCK - len(mark))
+            if cut < 0:
+                break
             if parts:
                 yield owner, parts
                 owner, parts, size = [], [], 0
-            yield [k], [raw[:cut]]
-            raw = raw[cut:]
+            yield [k], [raw[: cut + stay]]
+            raw = raw[cut + (stay or len(mark)) :]
         owner.append(k)
         parts.append(raw)
         size += len(raw)

@@ -61,7 +61,7 @@ class TextModel:
     def likelihoods(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts by languages: summed log probabilities, numbers of trigrams)."""
         out, n = np.zeros((len(texts), len(self.names))), np.zeros(len(texts))
-        for owner, parts in blocks([t.lower() for t in texts]):
+        for owner, parts in blocks([t.lower() for t in texts], b". ", 1):  # no trigram that counts lies across
             ids, part = trigrams(parts)
             own = np.array(owner)
             count = np.bincount(part, minlength=len(parts))
@@ -79,7 +79,7 @@ def train(rows: list[tuple[str, str]]) -> TextModel | None:
     table = np.full((len(names) + 1, BUCKETS), -np.log(BUCKETS), np.float32)
     for k, name in enumerate(names):
         counts = np.full(BUCKETS, 0.05)
-        for _, parts in blocks([t.lower() for t, lang in rows if lang == name]):
+        for _, parts in blocks([t.lower() for t, lang in rows if lang == name], b". ", 1):
             counts += np.bincount(trigrams(parts)[0], minlength=BUCKETS)
         table[k] = np.log(counts / counts.sum())
     return TextModel([*names, UND], table)

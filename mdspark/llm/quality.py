@@ -80,7 +80,7 @@ def lines_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lines by FEATURES, lengths, text of each line), lines in the order of the texts."""
-    found = [(f, n, np.array(owner)[part]) for owner, parts in blocks(texts) for f, n, part in [lines_of(parts)]]
+    found = [(f, n, np.array(owner)[part]) for owner, parts in blocks(texts, b"\n", 0) for f, n, part in [lines_of(parts)]]
     own, n, text = (np.concatenate([x[i] for x in found]) for i in range(3))
     edge = text[1:] != text[:-1]
     before, behind = np.zeros_like(own), np.zeros_like(own)

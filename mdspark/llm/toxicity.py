@@ -2,7 +2,7 @@
 
 A word is the mean of the embeddings of its hashed character n-grams (so unseen misspellings share
 most of their vectors with the words they come from; the first coordinate starts at the n-gram's
-log odds), a passage of up to 32 words is the mean of its
+log odds), a passage of up to PASSAGE words is the mean of its
 words, and a linear softmax over that mean gives the passage's probability. Embeddings and softmax
 are trained jointly in numpy. Labels belong to whole texts, so a text takes the score of its highest
 passage: first every passage learns its text's label, then only the highest one does. A final
@@ -59,18 +59,27 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return np.concatenate(ids), np.concatenate(owner), np.searchsorted(starts, offsets), len(starts)
 
 
+def word_starts(text: str) -> np.ndarray:
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return spans(~np.where(x < 128, _FOLD[np.minimum(x, 127)], False))[0]
+
+
 def blocks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """(numbers of texts, lower-case pieces) of at most BLOCK characters; a long text is cut at white space."""
+    """(numbers of texts, lower-case pieces) of about BLOCK characters; a long text is cut where a passage begins."""
     owner: list[int] = []
     parts: list[str] = []
     size = 0
     for k, text in enumerate(texts):
         text = text.lower()
-        while len(text) > BLOCK:
-            cut = max(text.rfind(" ", 1, BLOCK), text.rfind("\n", 1, BLOCK))
-            cut = cut if cut > 0 else BLOCK
-            yield [k], [text[:cut]]
-            text = text[cut:]
+        most = BLOCK
+        while len(text) > most:
+            starts = word_starts(text[:most])
+            whole = (len(starts) - 1) // PASSAGE * PASSAGE
+            if whole <= 0:  # words so long that no passage ends here
+                most *= 2
+                continue
+            yield [k], [text[: starts[whole]]]
+            text, most = text[starts[whole] :], BLOCK
         if size + len(text) > BLOCK:
             yield owner, parts
             owner, parts, size = [], [], 0

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -462,6 +463,42 @@ def test_hot_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert exact == {i: min(j for j in texts_ if texts_[j] == t) for i, t in texts_.items()}
 
 
+@pytest.mark.parametrize("long", ["short words\nand lines. With marks, ", "no line ends and no sentence marks here ", "x" * 700 + " y\n", "é ß. ñ\n\n"])
+def test_cuts_of_long_texts_change_nothing(monkeypatch, long):
+    """Features, trigrams and passages of a text are the same whether or not it is worked on in pieces."""
+    text = "Start of it. " + long * (20_000 // len(long)) + "the end"
+    r = np.random.default_rng(1)
+    field = quality.Field(r.standard_normal(quality.FEATURES), r.standard_normal((2, 2)), (1.0, 0.0))
+    tox = toxicity.Model(r.standard_normal(toxicity.BUCKETS).astype(np.float32), 0.1, (1.0, 0.0))
+    lang = language_id.TextModel(["a", "und"], r.standard_normal((2, language_id.BUCKETS)).astype(np.float32))
+    results = []
+    for block in (1 << 30, 3000):
+        monkeypatch.setitem(language_id.blocks.__globals__, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        p, n, _ = field.marginals([text, "other\n"])
+        results.append((p.tolist(), n.tolist(), tox.highest([text, "b"]).tolist(), *(x.tolist() for x in lang.likelihoods([text, "c"]))))
+    for one, two in zip(*results):
+        assert np.allclose(one, two, rtol=1e-5)
+    assert len(results[0][0]) == text.count("\n") + 1 + 2
+
+
+def test_forward_backward_against_enumeration():
+    r = np.random.default_rng(4)
+    count = np.array([1, 4, 3])
+    begin, node, trans = np.cumsum(count) - count, r.standard_normal(8), r.standard_normal((2, 2))
+    p, pairs = quality.forward_backward(node, trans, begin, count)
+    want, both = np.zeros(8), np.zeros((2, 2))
+    for b, n in zip(begin, count):
+        paths = list(itertools.product([0, 1], repeat=int(n)))
+        weight = np.array([np.exp(sum(node[b + i] for i, x in enumerate(path) if x) + sum(trans[x, y] for x, y in zip(path, path[1:]))) for path in paths])
+        weight /= weight.sum()
+        for w, path in zip(weight, paths):
+            want[b : b + n] += w * np.array(path)
+            for x, y in zip(path, path[1:]):
+                both[x, y] += w
+    assert np.allclose(p, want) and np.allclose(pairs, both)
+
+
 def test_rare_languages_are_learned(spark):
     """A language with one row in thousands, and one whose texts are all long, are classes of the model."""
     base = [(i, f"the number {i} of many words", "en") for i in range(6000)] + [(10_000 + i, "kolme sanaa on tämä lause", "fi") for i in range(2)] + [(20_000, "eins zwei drei vier " * 1000, "de")]
