@@ -185,10 +185,14 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
-    """Documents; their source stands for the host, and there is no markup and no address."""
+    """Documents (doc_id) and web pages (page_id). A document's source stands for its host, and it has no markup
+    and no address; pages have all kinds of evidence. The text model learns from the documents."""
     docs = common.table(spark, sf_dir, "documents")
-    out = identify(docs, fit(docs), host_col="source")
-    return out.select(F.col("id").alias("doc_id"), "lang", F.round("p", 6).alias("p"), "accepted", F.round("p_text", 6).alias("p_text"))
+    none = F.lit(None).cast("string")
+    one = docs.select(F.lit(False).alias("page"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("source").alias("host"), none.alias("suffix"), none.alias("declared"))
+    two = page_evidence(common.table(spark, sf_dir, "pages")).select(F.lit(True).alias("page"), F.col("page_id").cast("long").alias("id"), "text", "host", "suffix", "declared")
+    out = identify(one.unionByName(two), fit(docs), "id", "text", "host", "suffix", "declared", ("page",))
+    return out.select(F.when(~F.col("page"), F.col("id")).alias("doc_id"), F.when(F.col("page"), F.col("id")).alias("page_id"), "lang", F.round("p", 6).alias("p"), "accepted", F.round("p_text", 6).alias("p_text"))
 
 
 def language_id_pages(spark, sf_dir: str) -> DataFrame:

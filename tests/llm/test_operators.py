@@ -295,11 +295,24 @@ def test_held_out_rows_are_told_apart(spark, name, label, mod, rest):
 @data
 def test_languages(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    got = QUERIES["op2_language_id"](spark, DATA).collect()
+    every = QUERIES["op2_language_id"](spark, DATA).collect()
+    pages = {r.page_id for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = [r for r in every if r.doc_id is not None]
+    assert len(got) == len(truth) and {r.page_id for r in every if r.doc_id is None} == pages
     assert np.mean([r.lang == truth[r.doc_id] for r in got]) > 0.97
     assert np.mean([r.accepted for r in got]) > 0.98
 
 
+@data
+def test_languages_of_unseen_documents(spark):
+    """The model learns from even ids only; odd ones are held out."""
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    held = docs.where("doc_id % 2 = 1")
+    truth = {r.doc_id: r.lang for r in held.collect()}
+    got = language_id.identify(held, language_id.fit(docs.where("doc_id % 2 = 0")), host_col="source").collect()
+    assert np.mean([r.lang == truth[r.id] for r in got]) > 0.97
+
+
 def test_fusion_uses_host_and_markup(spark):
     base = [(i, "der die und das ist nicht " * 4, "de") for i in range(40)] + [(100 + i, "the and of to is not that " * 4, "en") for i in range(40)]
     model = language_id.fit(spark.createDataFrame(base, "doc_id bigint, text string, lang string"))
