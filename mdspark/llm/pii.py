@@ -35,7 +35,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 
 #: Documents and windows that training sees at most; characters of a window and of the step between windows.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 900, 20_000, 1000
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 900, 20_000, 1500
 WINDOW, STEP = 96, 48
 EMBED, HIDDEN, TAGS = 8, 16, 1 + 2 * len(KINDS)
 
@@ -219,24 +219,41 @@ def tags_of(n: int, spans: list[list[tuple[int, int]]]) -> np.ndarray:
     return y
 
 
+def disguised(kind: int, text: str, r: np.random.Generator) -> str:
+    """A span's text as it is written to be read by people only; a digit or '@' stays."""
+    pick = int(r.integers(3))
+    if kind == 0:
+        name, domain = text.rsplit("@", 1)
+        return [f"{name} @ {domain}", f"{name}@{domain.replace('.', ' . ')}", f"{name} @ {domain.replace('.', ' dot ')}"][pick]
+    if kind == 1:
+        return text.replace(".", ["[.]", " . ", "(.)"][pick])
+    digits = re.sub("[^0-9]", "", text)
+    if kind == 2:
+        return [".", "/", "_"][pick].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    local = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", text)
+    if pick == 0 and sum("0" <= c <= "9" for c in local) >= 7:
+        return local
+    return "00" + text[1:] if pick == 1 else re.sub("[ -]", "/", text)
+
+
 def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray] | None:
     """Windows at random offsets around the labelled spans and around other digits, as (symbols, tags).
 
-    Half of the phone spans are shown a second time without their country prefix, so that the
-    network also learns national forms.
+    Half of the spans are shown a second time in a disguised form, so that the network learns what
+    the patterns cannot say.
     """
     r = np.random.default_rng(seed)
     made: list[tuple[np.ndarray, np.ndarray]] = []
     for text in texts:
         spans = pattern_spans(text)
         versions = [(text, spans)]
-        for a, b in spans[3]:
-            local = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", text[a:b])
-            if r.random() < 0.5 and sum(c.isdigit() for c in local) >= 7:
-                lo = max(0, a - 2 * WINDOW)
-                short = text[lo:a] + local + text[b : b + 2 * WINDOW]
-                own = pattern_spans(short)
-                own[3] = sorted([*own[3], (a - lo, a - lo + len(local))])
+        for k, a, b in [(k, a, b) for k, own in enumerate(spans) for a, b in own]:
+            if r.random() < 0.5:
+                lo, form = max(0, a - 2 * WINDOW), disguised(k, text[a:b], r)
+                short = text[lo:a] + form + text[b : b + 2 * WINDOW]
+                start, end = a - lo, a - lo + len(form)
+                own = [[s for s in kept if s[1] <= start or end <= s[0]] for kept in pattern_spans(short)]
+                own[k] = sorted([*own[k], (start, end)])
                 versions.append((short, own))
         for t, own in versions:
             x, y = symbols(t), tags_of(len(t), own)
@@ -263,12 +280,15 @@ def train(docs: DataFrame) -> Tagger | None:
 
 
 def plausible(kind: int, text: str) -> bool:
-    digits = sum("0" <= c <= "9" for c in text)
+    """Whether an added span could be of its kind: the patterns' own checks on its digits, whatever stands between them."""
     if kind == 0:
-        return "@" in text[1:-1]
+        name, _, domain = text.partition("@")
+        return bool(name.strip()) and re.search(r"[A-Za-z0-9](?: ?\. ?| dot )[A-Za-z0-9]", domain) is not None
     if kind == 1:
-        return text.count(".") == 3 and 4 <= digits <= 12
-    return 13 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    digits = "".join(c for c in text if "0" <= c <= "9")
+    return 16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
 
 
 def model_spans(texts: list[str], tagger: Tagger, block: int = 1024) -> list[list[tuple[int, int, int]]]:

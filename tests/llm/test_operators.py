@@ -276,9 +276,61 @@ def test_tagger_learns(spark):
     found = pii.model_spans(fresh, tagger)
     right = sum((0, *pii.pattern_spans(t)[0][0]) in f for t, f in zip(fresh, found))
     assert right >= 40
-    eps = {k: v.copy() for k, v in tagger.p.items()}
-    g = tagger.gradients(x[:, :4], y[:, :4])
-    assert all(np.isfinite(v).all() and v.shape == eps[k].shape for k, v in g.items())
+
+
+def test_tagger_gradients():
+    r = np.random.default_rng(2)
+    tagger = pii.Tagger()
+    x, y = r.integers(1, pii.SYMBOLS, (12, 5)), r.integers(0, pii.TAGS, (12, 5))
+
+    def loss():
+        em, cols = tagger.emissions(x).astype(float), np.arange(x.shape[1])
+        score, gold = tagger.p["S"] + em[0], tagger.p["S"][y[0]] + em[0, cols, y[0]]
+        for t in range(1, len(em)):
+            score = np.log(np.exp(score[:, :, None] + tagger.p["T"]).sum(1)) + em[t]
+            gold = gold + tagger.p["T"][y[t - 1], y[t]] + em[t, cols, y[t]]
+        return float((np.log(np.exp(score).sum(1)) - gold).mean())
+
+    for name, g in tagger.gradients(x, y).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = tagger.p[name][at]
+        tagger.p[name][at] = old + 0.01
+        up = loss()
+        tagger.p[name][at] = old - 0.01
+        down = loss()
+        tagger.p[name][at] = old
+        assert (up - down) / 0.02 == pytest.approx(g[at], rel=0.03, abs=1e-3), name
+
+
+def test_tagger_adds_disguised_spans():
+    """Texts that training did not see, their spans in forms that the patterns miss."""
+    r = np.random.default_rng(8)
+    word = lambda: "".join(r.choice(list("abcdefgh"), r.integers(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+
+    def card():
+        head = "".join(r.choice(list("0123456789"), 15))
+        return next(head + c for c in "0123456789" if pii.luhn(head + c))
+
+    def value(k):
+        n = lambda lo, hi: int(r.integers(lo, hi))
+        return [f"{word()}{n(1, 99)}@{word()}.com", ".".join(str(n(1, 256)) for _ in range(4)), card(), f"+{n(1, 50)} ({n(100, 999)}) 555-{n(1000, 9999)}"][k]
+
+    tagger = pii.Tagger().fit(*pii.training_windows([f"{prose(20)} {value(i % 4)} {prose(20)} {n} {prose(6)}" for i, n in enumerate(r.integers(10, 99999, 800))]))
+    right = added = planted = 0
+    for i in range(200):
+        k, before = i % 4, prose(15) + " "
+        form = pii.disguised(k, value(k), r)
+        text = before + form + " " + prose(15) + f" {r.integers(10, 99999)} " + prose(5)
+        here = (len(before), len(before) + len(form))
+        held = [s for own in pii.pattern_spans(text) for s in own]
+        if any(a < here[1] and here[0] < b for a, b in held):
+            continue
+        found = pii.model_spans([text], tagger)[0]
+        planted += 1
+        added += len(found)
+        right += sum(kind == k and a < here[1] and here[0] < b for kind, a, b in found)
+    assert planted >= 150 and right >= 0.7 * planted and right >= 0.9 * added, (planted, right, added)
 
 
 @data
