@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, minhash, mixing, pii, quality, suffix_dedup, topk_search, toxicity
+from . import bpe, exact_dedup, language_id, minhash, mixing, pii, quality, suffix_dedup, topk_search, toxicity, whitening
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
     "mixing_balance": mixing.mixing_balance,
+    "op12_whitening": whitening.op12_whitening,
 }
 ORACLE: dict[str, str] = {
     "op1_topk": topk_search.OP1_SQL,
