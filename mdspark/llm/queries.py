@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, minhash, mixing, pii, quality, suffix_dedup, topk_search, toxicity, whitening
+from . import bpe, conversations, exact_dedup, language_id, minhash, mixing, pii, quality, suffix_dedup, topk_search, toxicity, whitening
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
@@ -17,11 +17,13 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
     "mixing_balance": mixing.mixing_balance,
+    "op11_conversations": conversations.op11_conversations,
     "op12_whitening": whitening.op12_whitening,
 }
 ORACLE: dict[str, str] = {
     "op1_topk": topk_search.OP1_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op11_conversations": conversations.OP11_SQL,
 }
 
 
