@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversations, exact_dedup, language_id, minhash, mixing, pii, quality, suffix_dedup, topk_search, toxicity, whitening
+from . import bpe, conversations, exact_dedup, language_id, minhash, mixing, pii, quality, suffix_dedup, topk_search, toxicity, vector_dedup, whitening
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
@@ -19,6 +19,7 @@ QUERIES = {
     "mixing_balance": mixing.mixing_balance,
     "op11_conversations": conversations.op11_conversations,
     "op12_whitening": whitening.op12_whitening,
+    "op13_near_vectors": vector_dedup.op13_near_vectors,
 }
 ORACLE: dict[str, str] = {
     "op1_topk": topk_search.OP1_SQL,
