@@ -376,32 +376,32 @@ def test_fusion_uses_host_and_markup(spark):
     assert not got[98].accepted and got[98].lang == "und" and len(got) == len(pages) == len(alone)
 
 
-def dense_rates(p, tokens, goal, rounds=200_000):
-    """Projected-gradient least squares on all rows, in small safe steps."""
-    rate = np.ones(len(p))
-    scale = (p * tokens[:, None]).sum(0)
+def dense_rates(p, tokens, goal, most, rounds=200_000):
+    """Projected-gradient least squares on all rows, in plain safe steps."""
+    rate, scale = np.ones(len(p)), 1 / tokens.sum()
+    q = p * scale
+    step = 1 / np.linalg.eigvalsh((q * tokens[:, None]).T @ q)[-1]
     for _ in range(rounds):
-        off = (rate * tokens) @ p - goal
-        rate = np.maximum(0, rate - p @ np.divide(off, scale, out=np.zeros_like(off), where=scale > 0))
-        scale = np.maximum((p * (tokens * (rate > 0))[:, None]).sum(0), 1e-9)
-    return np.square((rate * tokens) @ p - goal).sum() ** 0.5
+        rate = np.clip(rate - step * q @ (q.T @ (rate * tokens) - goal * scale), 0, most)
+    return np.square(q.T @ (rate * tokens) - goal * scale).sum() ** 0.5
 
 
 @pytest.mark.parametrize("targets", [[0.5, 0.3, 0.2], [0.97, 0.02, 0.01], [0.34, 0.33, 0.33], [1.0, 0.0, 0.0]])
 @pytest.mark.parametrize("sharp", [0.05, 0.4])
-def test_solver_against_a_dense_one(spark, targets, sharp):
+@pytest.mark.parametrize("most", [1.2, 4.0])
+def test_solver_against_a_dense_one(spark, targets, sharp, most):
     """Targets that can be met are met; of others the nearest totals are found, and the gap is the dense solver's."""
     r = np.random.default_rng(2)
     p = (r.multinomial(1000, x) / 1000 for x in r.dirichlet([sharp * 4, sharp, sharp], 200))
     p = np.array(list(p))
     tokens = r.integers(1, 500, 200)
     cells = spark.createDataFrame([(x.tolist(), int(n)) for x, n in zip(p, tokens)], "p array<double>, tokens bigint")
-    step = mixing.solve(cells, targets, 0)
-    rate = np.array([x.rate for x in cells.select(mixing.rate_of(F.col("p"), step).alias("rate")).collect()])
+    found = mixing.solve(cells, targets, 0, most).collect()
+    rate, p, tokens = (np.array([r[c] for r in found]) for c in ("rate", "p", "tokens"))
     goal = (p[:, 0] * tokens).sum() / targets[0] * np.array(targets)
-    gap = np.square((rate * tokens) @ p - goal).sum() ** 0.5
-    assert rate.min() >= 0
-    assert gap <= max(1.05 * dense_rates(p, tokens, goal, 20_000), 2e-4 * goal.sum())
+    gap = np.square((rate * tokens) @ p - goal).sum() ** 0.5 / tokens.sum()
+    assert rate.min() >= 0 and rate.max() <= most
+    assert gap <= max(1.01 * dense_rates(p, tokens, goal, most, 20_000), 2e-4)
 
 
 @data
