@@ -26,14 +26,14 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def canonical_label(elements: list[str], bonds: list[tuple[int, int, int]]) -> str:
-    """A label that equal molecules share, however their atoms are numbered: 'elements|i-j:type ...'.
+def canonical_order(keys: list, bonds: list[tuple[int, int, int]], elements: list[str]) -> tuple[str, list[int]]:
+    """(text, rank of each atom): the same text for equal graphs, however their atoms are numbered. keys order atoms at first.
 
     Colours are refined by neighbours until stable; ties are broken by trying every atom of the first
     tied colour and keeping the smallest outcome. An atom that some symmetry maps to one tried before is
     skipped: a symmetry is known when two choices, each followed down one path, give the same outcome.
     """
-    n = len(elements)
+    n = len(keys)
     near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for i, j, t in bonds:
         near[i].append((j, t))
@@ -41,9 +41,9 @@ def canonical_label(elements: list[str], bonds: list[tuple[int, int, int]]) -> s
 
     def refine(colour: list[int]) -> list[int]:
         while True:
-            keys = [(colour[i], tuple(sorted((colour[j], t) for j, t in near[i]))) for i in range(n)]
-            names = {k: r for r, k in enumerate(sorted(set(keys)))}
-            new = [names[k] for k in keys]
+            each = [(colour[i], tuple(sorted((colour[j], t) for j, t in near[i]))) for i in range(n)]
+            names = {k: r for r, k in enumerate(sorted(set(each)))}
+            new = [names[k] for k in each]
             if len(names) == len(set(colour)):
                 return new
             colour = new
@@ -70,10 +70,10 @@ def canonical_label(elements: list[str], bonds: list[tuple[int, int, int]]) -> s
             colour = choose(colour, own, own[0])
         return colour
 
-    def search(colour: list[int]) -> str:
+    def search(colour: list[int]) -> tuple[str, list[int]]:
         own = tie(colour)
         if not own:
-            return write(colour)
+            return write(colour), colour
         like = list(range(n))  # sets of atoms that symmetries join, by their smallest member reached
 
         def root(i: int) -> int:
@@ -97,11 +97,16 @@ def canonical_label(elements: list[str], bonds: list[tuple[int, int, int]]) -> s
                 continue
             tried.append((k, end, text))
             found = search(chosen)
-            best = found if best is None or found < best else best
+            best = found if best is None or found[0] < best[0] else best
         return best
 
-    names = {e: r for r, e in enumerate(sorted(set(elements)))}
-    return search(refine([names[e] for e in elements])) if n else ""
+    names = {e: r for r, e in enumerate(sorted(set(keys)))}
+    return search(refine([names[k] for k in keys])) if n else ("", [])
+
+
+def canonical_label(elements: list[str], bonds: list[tuple[int, int, int]]) -> str:
+    """A label that equal molecules share, however their atoms are numbered: 'elements|i-j:type ...'."""
+    return canonical_order(elements, bonds, elements)[0]
 
 
 def pair_histogram(a: np.ndarray, b: np.ndarray, box: np.ndarray, width: float, bins: int, same: bool) -> np.ndarray:

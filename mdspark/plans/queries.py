@@ -541,7 +541,7 @@ def unknown_types(w: World) -> DataFrame:
 
 
 def headers(w: World) -> DataFrame:
-    frames = readers.parse_frames(readers.read_chunks(w.spark, w.trajectory_files, "ITEM: TIMESTEP\n"))
+    frames = readers.parse_frames(readers.trajectory_chunks(w.spark, w.trajectory_files))
     first = frames.groupBy("sim").agg(F.min_by("columns", "frame_ord").alias("columns"))
     return first.select("sim", F.when(F.col("sim") == 2, F.filter("columns", lambda c: ~c.isin("type", "xu"))).otherwise(F.col("columns")).alias("columns"))
 

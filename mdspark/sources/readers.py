@@ -1,16 +1,24 @@
 """Text files of reactive simulations as long, typed tables.
 
-Every reader is `read text` plus a parser of chunks, so a parser can be used on any DataFrame with a
-`value` column (and on a stream). A chunk is one frame, one header with its rows, or one log; files are
-split at frame delimiters, so a large file is read by many tasks. `frame_ord` grows in file order: the
-start of the file block plus the row's number in its task.
+Every reader is `read text` plus a parser, so a parser can be used on any DataFrame with a `value` column (and on a
+stream). Files are read by many tasks each: species files are split at '#', thermo logs are read line by line, and
+frames of bond files and trajectories begin at any header line, wherever a task's part of the file begins. `frame_ord`
+grows in file order: the start of the file block plus the row's number in its task. Line ends may be of either kind.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 # Topics by the beginning of a manifest key.
 PREFIXES = {
     "bonds": ("BF", "BondF", "BondFile"),
@@ -21,6 +29,8 @@ PREFIXES = {
 TOPICS = ("bonds", "species", "thermo", "trajectory")
 #: Rows of one header that row_ord can number; places in a file then have 2^40 bytes.
 ROWS_PER_HEADER = 1 << 23
+#: Lines that begin a frame.
+BOND_HEADER, FRAME_HEADER = r"^\s*#.*Timestep", r"^ITEM: TIMESTEP"
 STATIC_SPECIES_COLUMNS = ("Timestep", "No_Moles", "No_Specs")
 
 
@@ -29,24 +39,116 @@ def tokens(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
 
 
-def bare_path(path: Column) -> Column:
-    """A path without its scheme, as manifests and file metadata spell it differently."""
-    return F.regexp_replace(F.regexp_replace(path, r"^[a-zA-Z]+:(//[^/]*)?", ""), r"/+", "/")
+def bare_path(path: str) -> str:
+    """A path without its scheme and store, as manifests and listings spell it differently."""
+    return re.sub("/+", "/", re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path)).rstrip("/") or "/"
+
 
+def literally(path: str) -> str:
+    """A path that names only itself: characters that patterns use are escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
-def read_chunks(spark: SparkSession, files: DataFrame, separator: str | None) -> DataFrame:
-    """(sim, frame_ord, value) of the files in (sim, path): split at separator, or whole files for None.
 
-    The list of files is a manifest's and thereby small; it names what to read.
+def raw_text(spark: SparkSession, files: DataFrame, separator: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((file, block, ord, value), (sim, file)) of the files or folders in (sim, path): lines, or what stands between separators.
+
+    The list of files is a manifest's and thereby small; it names what to read, and each found file is matched with it
+    here. A path that names no file, and a relative path that the listing spells differently, are errors.
+    """
+    listed = [(r.sim, r.path) for r in files.select("sim", "path").distinct().collect()]
+    once = {bare_path(p): p for _, p in listed}  # a file that several simulations name, by itself or in its folder, is read once
+    raw = spark.read.text([literally(p) for own, p in once.items() if own.rpartition("/")[0] not in once], lineSep=separator)
+    found = {uri: bare_path(unquote(urlparse(uri).path)) for uri in raw.inputFiles()}
+    names = []
+    for sim, path in listed:
+        own = bare_path(path)
+        mine = [uri for uri, at in found.items() if at == own or at.rpartition("/")[0] == own or not path.startswith("/") and ":" not in path and at.endswith(f"/{own.removeprefix('./')}")]
+        if not mine:
+            raise FileNotFoundError(f"no file of simulation {sim} was read from {path}")
+        names += [(sim, bare_path(uri)) for uri in mine]
+    held = spark.createDataFrame(names, "sim int, file string")
+    place = F.col("block") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    encoded = F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), "/+", "/")  # as bare_path does
+    each = raw.select("value", encoded.alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return each.select("file", "block", place.alias("ord"), "value"), F.broadcast(held)
+
+
+def read_text(spark: SparkSession, files: DataFrame, separator: str | None = None) -> DataFrame:
+    """(sim, file, ord, value)."""
+    text, held = raw_text(spark, files, separator)
+    return text.join(held, "file").select("sim", "file", "ord", "value")
+
+
+def read_chunks(spark: SparkSession, files: DataFrame, separator: str) -> DataFrame:
+    """(sim, frame_ord, value) of the files, split at separator."""
+    return read_text(spark, files, separator).select("sim", F.col("ord").alias("frame_ord"), F.regexp_replace("value", "\r", "").alias("value"))
+
+
+def read_frames(spark: SparkSession, files: DataFrame, header: str) -> DataFrame:
+    """(sim, frame_ord, value) of the files, cut before every line that matches header; value begins with that line.
+
+    A task's part of a file begins anywhere. Lines before its first header belong to a frame of an earlier part, and its
+    last frame may go on in the next: these pieces, two for each part, are put together by file; all other frames
+    are whole where they are read. Lines before a file's first header are a frame without one.
     """
-    listed = [(r.sim, r.path) for r in files.select("sim", "path").collect()]
-    raw = spark.read.text([p for _, p in listed], wholetext=separator is None, lineSep=separator).select("value", bare_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    names = spark.createDataFrame(listed, "sim int, path string").select("sim", F.rtrim(bare_path(F.col("path")), F.lit("/")).alias("file"))
-    folders = names.select(F.col("sim").alias("folder_sim"), F.col("file").alias("folder"))
-    order = F.col("block") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    # a path may also name a folder of files
-    found = raw.withColumns({"frame_ord": order, "folder": F.regexp_replace("file", "/[^/]*$", "")}).join(F.broadcast(names), "file", "left").join(F.broadcast(folders), "folder", "left")
-    return found.select(F.coalesce("sim", "folder_sim").alias("sim"), "frame_ord", F.regexp_replace("value", "\r", "").alias("value")).where("sim IS NOT NULL")
+    names = ["file", "ord", "piece", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # lines since the last header of one part of a file
+
+        def cut(t: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
+            """Frames of lines of one part, and the lines from the last header on."""
+            t = t.combine_chunks()
+            starts = pc.indices_nonzero(pc.match_substring_regex(t.column("value"), header)).to_pylist()
+            first = [] if starts and starts[0] == 0 else [0]
+            bounds = first + starts + ([t.num_rows] if last else [])
+            if len(bounds) < 2:
+                return None, t
+            lines = t.column("value").combine_chunks()
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lines), "\n")
+            n = len(bounds) - 1
+            at = pa.array(bounds[:-1])
+            whole = pa.array([not (k == 0 and first) and not (last and k == n - 1) for k in range(n)])
+            none = pa.scalar(None, pa.string())
+            out = pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(at) for c in ("file", "ord")] + [pc.if_else(whole, none, text), pc.if_else(whole, text, none)], names=names)
+            return out, t.slice(bounds[-1])
+
+        def parts(b: pa.RecordBatch) -> Iterator[pa.Table]:
+            t = pa.Table.from_batches([b])
+            key = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            edges = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+            for lo, hi in zip(edges, edges[1:]):
+                yield t.slice(lo, hi - lo)
+
+        place = lambda t: tuple(t.column(c)[0].as_py() for c in ("file", "block"))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            for t in parts(b):
+                if held and place(held[0]) != place(t):
+                    out, _ = cut(pa.concat_tables(held), True)
+                    held = []
+                    if out is not None:
+                        yield out
+                held.append(t)
+            out, rest = cut(pa.concat_tables(held), False)
+            held = [rest]
+            if out is not None:
+                yield out
+        if held:
+            out, _ = cut(pa.concat_tables(held), True)
+            if out is not None:
+                yield out
+
+    lines, held_by = raw_text(spark, files)
+    pieces = lines.mapInArrow(run, "file string, ord bigint, piece string, value string")
+    broken = pieces.where("piece IS NOT NULL").withColumn("headed", F.col("piece").rlike(header))
+    number = F.sum(F.col("headed").cast("int")).over(Window.partitionBy("file").orderBy("ord"))
+    joined = broken.withColumn("frame", number).groupBy("file", "frame").agg(F.min("ord").alias("frame_ord"), F.sort_array(F.collect_list(F.struct("ord", "piece"))).alias("v"))
+    text = F.array_join(F.transform("v", lambda x: x.piece), "\n")
+    # pieces have no value, so that nothing a parser raises is evaluated on them
+    every = pieces.where("value IS NOT NULL").select("file", F.col("ord").alias("frame_ord"), "value").unionByName(joined.select("file", "frame_ord", text.alias("value")))
+    return every.join(held_by, "file").select("sim", "frame_ord", "value")
 
 
 # Species ---------------------------------------------------------------------------------------------
@@ -93,27 +195,48 @@ def parse_thermo(logs: DataFrame, start: str = "Step", stop: str = "Loop") -> Da
     last = F.array_max(F.filter(F.transform("lines", lambda x, i: F.when(x.startswith(start), i)), lambda i: i.isNotNull()))
     cut = cut.select("sim", "lines", last.alias("at"))
     cut = cut.select("sim", F.when(F.col("at").isNull(), F.raise_error(F.lit("No thermo table"))).otherwise(tokens(F.get("lines", F.col("at")))).alias("head"), F.slice("lines", F.col("at") + 2, F.greatest(F.lit(0), F.size("lines") - F.col("at") - 1)).alias("rows"))
-    rows = cut.select("sim", "head", F.posexplode(F.filter("rows", lambda x: x != "")).alias("row_ord", "row")).select("sim", "head", "row_ord", tokens(F.col("row")).alias("cells")).where(F.size("cells") >= F.size("head"))
+    rows = cut.select("sim", "head", F.posexplode(F.filter("rows", lambda x: x != "")).alias("row_ord", "row"))
+    return thermo_values(rows.select("sim", "head", F.col("row_ord").cast("bigint").alias("row_ord"), tokens(F.col("row")).alias("cells")), start)
+
+
+def thermo_values(rows: DataFrame, start: str) -> DataFrame:
+    """(sim, step, row_ord, parameter, value) of (sim, head, row_ord, cells): rows shorter than their head are skipped."""
     number = lambda x: F.when(F.lower(x).isin("nan", "-nan", "+nan"), F.lit(float("nan"))).otherwise(x.cast("double"))
     step = number(F.get("cells", F.array_position("head", start).cast("int") - 1))
-    long = rows.select("sim", step.alias("step"), "row_ord", F.explode(F.transform("head", lambda k, i: F.struct(k.alias("parameter"), number(F.get("cells", i)).alias("value")))).alias("x"))
+    long = rows.where(F.size("cells") >= F.size("head")).select("sim", step.alias("step"), "row_ord", F.explode(F.transform("head", lambda k, i: F.struct(k.alias("parameter"), number(F.get("cells", i)).alias("value")))).alias("x"))
     return long.select("sim", "step", "row_ord", "x.parameter", "x.value").where(F.col("parameter") != start)
 
 
 def read_thermo(spark: SparkSession, files: DataFrame, start: str = "Step", stop: str = "Loop") -> DataFrame:
-    return parse_thermo(read_chunks(spark, files, None), start, stop)
+    """parse_thermo line by line, so that many tasks read one log; row_ord counts lines from the header.
+
+    Of each file the marks (lines that begin with start or stop) are gathered first: the first stop, and the last header
+    before it. The lines between the two are the table.
+    """
+    lines = read_text(spark, files).select("sim", "file", "ord", F.trim("value").alias("line"))
+    marks = materialize(lines.where(F.col("line").startswith(start) | F.col("line").startswith(stop)), "marks")
+    files_ = materialize(lines.groupBy("sim", "file").agg(F.count("*").alias("lines")).select("sim", "file"), "logs")
+    ends = marks.where(~F.col("line").startswith(start)).groupBy("sim", "file").agg(F.min("ord").alias("stop_at"))
+    heads = marks.where(F.col("line").startswith(start)).join(ends, ["sim", "file"], "left").where("stop_at IS NULL OR ord < stop_at")
+    tables = files_.join(heads.groupBy("sim", "file").agg(F.max("ord").alias("at"), F.max_by("line", "ord").alias("head")), ["sim", "file"], "left").join(ends, ["sim", "file"], "left")
+    head = F.when(F.col("head").isNull(), F.raise_error(F.lit("No thermo table"))).otherwise(tokens(F.col("head")))
+    tables = materialize(tables.select("sim", "file", "at", head.alias("head"), F.coalesce("stop_at", F.lit((1 << 62))).alias("stop_at")), "tables")
+    # a row for each log: as small as the manifest
+    own = lines.join(F.broadcast(tables), ["sim", "file"]).where("ord > at AND ord < stop_at AND line <> ''")
+    return thermo_values(own.select("sim", "head", (F.col("ord") - F.col("at")).alias("row_ord"), tokens(F.col("line")).alias("cells")), start)
 
 
 # Bonds -----------------------------------------------------------------------------------------------
 
 
 def parse_bonds(chunks: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(frames, bond_atoms, bonds) from chunks of one frame (split at '# Timestep').
+    """(frames, bond_atoms, bonds) from chunks of one frame (from its '#' line with 'Timestep' on, or from what follows that word).
 
     A bond is taken from its lower atom's row; rows of fewer than three tokens are skipped; frames with
     another number of rows than they announce are reported in frames (complete = false) and left out of
     the other two. Rows before a file's first header, or of a frame that announces no number, are an error.
     """
+    chunks = chunks.withColumn("value", F.regexp_replace("value", r"\A\s*#[^\n]*Timestep", ""))
     lines = F.slice(F.split("value", "\n"), 2, 1 << 30)
     rows = F.filter(F.transform(F.filter(lines, lambda x: ~F.ltrim(x).startswith("#")), lambda x: tokens(x)), lambda r: F.size(r) >= 3)
     headed = F.col("value").rlike(r"^\s*\d+\s*(\n|$)")
@@ -131,22 +254,26 @@ def parse_bonds(chunks: DataFrame, elements: DataFrame) -> tuple[DataFrame, Data
 
 
 def read_bonds(spark: SparkSession, files: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return parse_bonds(read_chunks(spark, files, "# Timestep"), elements)
+    return parse_bonds(read_frames(spark, files, BOND_HEADER), elements)
 
 
 # Trajectories ----------------------------------------------------------------------------------------
 
 
 def parse_frames(chunks: DataFrame) -> DataFrame:
-    """(sim, timestep, frame_ord, n_atoms, xlo..zhi, columns, rows) from chunks of one frame (split at 'ITEM: TIMESTEP')."""
+    """(sim, timestep, frame_ord, n_atoms, xlo..zhi, columns, rows) from chunks of one frame (from its 'ITEM: TIMESTEP' line on, or
+    from the line behind it). A frame with fewer rows than it announces, as where a file was cut off, is an error; what
+    stands behind the rows of a frame, and before a file's first header, is ignored."""
+    chunks = chunks.withColumn("value", F.regexp_replace("value", r"\A\s*ITEM: TIMESTEP[^\n]*\n", ""))
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     cut = chunks.where(F.trim("value") != "").select("sim", "frame_ord", lines.alias("l"))
     bound = lambda i, j: tokens(F.get("l", F.lit(4 + i)))[j].cast("double")
     good = F.get("l", F.lit(1)).startswith("ITEM: NUMBER OF ATOMS") & F.get("l", F.lit(3)).startswith("ITEM: BOX BOUNDS") & F.get("l", F.lit(7)).startswith("ITEM: ATOMS")
-    checked = cut.select("sim", "frame_ord", F.when(F.coalesce(good, F.lit(False)), F.col("l")).when(F.size("l") == 0, None).otherwise(F.raise_error(F.lit("malformed trajectory frame"))).alias("l"))
+    checked = cut.select("sim", "frame_ord", F.when(F.coalesce(good, F.lit(False)), F.col("l")).when(F.col("l").isNull() | (F.size("l") == 0), None).otherwise(F.raise_error(F.lit("malformed trajectory frame"))).alias("l"))
     bounds = [bound(i, j).alias(f"{axis}{side}") for i, axis in enumerate("xyz") for j, side in enumerate(("lo", "hi"))]
     n = F.trim(F.get("l", F.lit(2))).cast("int")
-    return checked.select("sim", F.trim(F.get("l", F.lit(0))).cast("bigint").alias("timestep"), "frame_ord", n.alias("n_atoms"), *bounds, tokens(F.regexp_replace(F.get("l", F.lit(7)), "^ITEM: ATOMS", "")).alias("columns"), F.slice("l", F.lit(9), n).alias("rows"))
+    whole = F.when(F.size("l") - 8 < n, F.raise_error(F.concat(F.lit("trajectory frame cut off at timestep "), F.trim(F.get("l", F.lit(0)))))).otherwise(F.slice("l", F.lit(9), n))
+    return checked.select("sim", F.trim(F.get("l", F.lit(0))).cast("bigint").alias("timestep"), "frame_ord", n.alias("n_atoms"), *bounds, tokens(F.regexp_replace(F.get("l", F.lit(7)), "^ITEM: ATOMS", "")).alias("columns"), whole.alias("rows"))
 
 
 def explode_atoms(frames: DataFrame, raw_unwrapped: bool = False) -> DataFrame:
@@ -168,17 +295,23 @@ def filter_timesteps(df: DataFrame, first: int, last: int) -> DataFrame:
     return df.where(F.col("timestep").between(min(first, last), max(first, last)))
 
 
+def trajectory_chunks(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(sim, frame_ord, value) of each frame; lines before a file's first header are left out."""
+    headed = F.when(F.col("value").rlike(FRAME_HEADER), F.col("value"))
+    return read_frames(spark, files, FRAME_HEADER).withColumn("value", headed).where("value IS NOT NULL")
+
+
 def read_trajectory(spark: SparkSession, files: DataFrame, timestep_range: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(frames, atoms)."""
-    frames = parse_frames(read_chunks(spark, files, "ITEM: TIMESTEP\n"))
+    frames = parse_frames(trajectory_chunks(spark, files))
     frames = filter_timesteps(frames, *timestep_range) if timestep_range else frames
     return frames.drop("rows"), explode_atoms(frames)
 
 
 def list_timesteps(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(sim, frame_ord, timestep) of all frames in file order, duplicates kept; rows are not parsed."""
-    chunks = read_chunks(spark, files, "ITEM: TIMESTEP\n").where(F.trim("value") != "")
-    return chunks.select("sim", "frame_ord", F.trim(F.substring_index("value", "\n", 1)).cast("bigint").alias("timestep"))
+    second = F.trim(F.get(F.split("value", "\n", 3), F.lit(1)))
+    return trajectory_chunks(spark, files).select("sim", "frame_ord", second.cast("bigint").alias("timestep"))
 
 
 # Manifests and result tables -------------------------------------------------------------------------

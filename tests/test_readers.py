@@ -144,3 +144,72 @@ def test_stream_of_logs(spark, tmp_path):
 def test_reaction_text(spark):
     df = spark.createDataFrame([(" ['A'] -> ['B']\t12 ",)], "t string")
     assert df.select(readers.normalize_reaction(F.col("t"))).first()[0] == "['A'] -> ['B']"
+
+
+@pytest.mark.parametrize("folder", ["my run", "a%20b", "50% [x]", "plus+sign", "ünï {1}"])
+def test_paths_of_any_spelling(spark, tmp_path, folder):
+    (tmp_path / folder).mkdir()
+    listed = files(spark, tmp_path / folder, {1: "# Timestep A\n5 1\n", 2: "# Timestep A\n6 2\n"})
+    assert sorted((r.sim, r.timestep) for r in readers.read_species(spark, listed)[0].collect()) == [(1, 5), (2, 6)]
+    whole = spark.createDataFrame([(4, str(tmp_path / folder))], "sim int, path string")  # a folder of files
+    assert sorted((r.sim, r.timestep) for r in readers.read_species(spark, whole)[0].collect()) == [(4, 5), (4, 6)]
+
+
+def test_files_that_are_not_there(spark, tmp_path):
+    listed = files(spark, tmp_path, {1: "# Timestep A\n5 1\n"})
+    (tmp_path / "empty").mkdir()
+    for path in (tmp_path / "none.txt", tmp_path / "empty"):
+        with pytest.raises(Exception, match="(?i)no file of simulation 2|does not exist"):
+            readers.read_species(spark, listed.unionByName(spark.createDataFrame([(2, str(path))], "sim int, path string")))
+
+
+@pytest.fixture(params=[97, 2048, 1 << 20])
+def part_bytes(spark, request):
+    keys = {"spark.sql.files.maxPartitionBytes": str(request.param), "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_frames_of_any_partition_size(spark, tmp_path, part_bytes, end):
+    """Bond frames with odd headers, and trajectory frames, some longer than a task's part of the file."""
+    heads = ["# Timestep {}", "#Timestep {}", " #  MD  Timestep   {}"]
+    bonds = "".join(heads[t % 3].format(t) + f"\n#\n# Number of particles {n}\n#\n" + "".join(f"{i} 1 1 {i + 1} 0 1.0 0 0 0\n" for i in range(1, n + 1)) for t, n in enumerate([3, 40, 1, 2, 25]))
+    traj = "noise\n" + "".join(frame(t, "id type x y z", [f"{i} 1 {t} 0 0" for i in range(n)]) for t, n in enumerate([2, 30, 1, 1, 12]))
+    listed = []
+    for name, text in (("b", bonds), ("t", traj)):
+        (tmp_path / name).write_bytes(text.replace("\n", end).encode())
+        listed.append(spark.createDataFrame([(1, str(tmp_path / name)), (2, str(tmp_path / name))], "sim int, path string"))
+    elements = spark.createDataFrame([(1, "C")], "atom_type int, element string")
+    frames, atoms, found = readers.read_bonds(spark, listed[0], elements)
+    want = [(0, 3, True), (1, 40, True), (2, 1, True), (3, 2, True), (4, 25, True)]
+    for sim in (1, 2):
+        assert [(r.timestep, r.n_atoms, r.complete) for r in frames.where(f"sim = {sim}").orderBy("frame_ord").collect()] == want
+    assert found.groupBy("sim").count().collect()[0]["count"] == 71
+    frames, atoms = readers.read_trajectory(spark, listed[1])
+    assert [r.timestep for r in readers.list_timesteps(spark, listed[1]).where("sim = 1").orderBy("frame_ord").collect()] == [0, 1, 2, 3, 4]
+    assert sorted((r.timestep, r["count"]) for r in atoms.where("sim = 2").groupBy("timestep").count().collect()) == [(0, 2), (1, 30), (2, 1), (3, 1), (4, 12)]
+
+
+def test_trajectory_cut_off(spark, tmp_path):
+    text = frame(0, "id type x y z", ["1 1 0 0 0"]) + frame(5, "id type x y z", ["1 1 0 0 0", "2 1 0 0 0"]).rsplit("2 1", 1)[0]
+    with pytest.raises(Exception, match="cut off at timestep 5"):
+        readers.read_trajectory(spark, files(spark, tmp_path, {1: text}))[1].collect()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_thermo_by_lines_is_thermo_by_logs(spark, tmp_path, part_bytes, end):
+    log = lambda k: "noise\nStep Old\n9 9\nLooped? no\n" if k == 3 else "noise\nStep Old\n" + "".join(f"{i} 1\n" for i in range(k)) + "  Step Temp Press  \n" + "".join(f"{i} {300 + i} {'nan' if i % 7 == 0 else i * 0.5}{' extra' if i % 5 == 0 else ''}\n\n" for i in range(60)) + "60 5\nLoop time\nStep Temp\n7 7\nLoop\n"
+    listed = []
+    for k in (1, 2, 3):
+        (tmp_path / f"log {k}").write_bytes(log(k).replace("\n", end).encode())
+        listed.append((k, str(tmp_path / f"log {k}")))
+    logs = spark.createDataFrame([(k, log(k).replace("\n", end)) for k in (1, 2, 3)], "sim int, value string")
+    rows = lambda df: sorted((r.sim, r.step, r.parameter, str(r.value)) for r in df.collect())
+    got = readers.read_thermo(spark, spark.createDataFrame(listed, "sim int, path string"))
+    assert rows(got) == rows(readers.parse_thermo(logs))
+    assert [r.step for r in got.where("sim = 1 AND parameter = 'Temp'").orderBy("row_ord").collect()] == [float(i) for i in range(60)]
