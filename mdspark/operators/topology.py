@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import canonical_label, components
+from ..functions.kernels import components
 from ..functions.scalars import bond_type, hill
+from ..functions.smiles import write_smiles
 from ..sources.store import materialize
 
 FRAME = ["sim", "timestep"]
@@ -79,11 +80,11 @@ def molecule_signatures(members: DataFrame, atoms: DataFrame, bonds: DataFrame)
     return out.select("*", text.alias("signature"))
 
 
-def molecules(atoms: DataFrame, bonds: DataFrame, label: str = "canonical", labeler=canonical_label) -> DataFrame:
+def molecules(atoms: DataFrame, bonds: DataFrame, label: str = "canonical", labeler=write_smiles) -> DataFrame:
     """(sim, timestep, mol_idx, label, formula, atom_ids, n_atoms), one row per molecule.
 
-    label: 'formula' takes the formula; 'canonical' calls labeler(elements, bonds) once per distinct
-    signature (few, whatever the number of molecules), and any such function can be given.
+    label: 'formula' takes the formula; 'canonical' calls labeler(elements, bonds), which writes canonical SMILES, once per
+    distinct signature (few, whatever the number of molecules); any such function can be given.
     """
     members = molecule_components(atoms, bonds)
     if label == "formula":
@@ -98,7 +99,7 @@ def molecules(atoms: DataFrame, bonds: DataFrame, label: str = "canonical", labe
     return signed.join(labels, "signature").select(*FRAME, "mol_idx", "label", hill(counts).alias("formula"), "atom_ids", F.size("atom_ids").alias("n_atoms"))
 
 
-def label_signatures(signed: DataFrame, labeler=canonical_label) -> DataFrame:
+def label_signatures(signed: DataFrame, labeler=write_smiles) -> DataFrame:
     """(signature, label), each distinct signature labelled once."""
 
     def run(batches):
