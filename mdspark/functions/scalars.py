@@ -81,3 +81,19 @@ def hill(elements_counts: Column) -> Column:
     key = lambda e: F.when(carbon & (e == "C"), 0).when(carbon & (e == "H"), 1).otherwise(2)
     ordered = F.array_sort(F.transform(elements_counts, lambda x: F.struct(key(x.element).alias("k"), x.element.alias("element"), x.n.alias("n"))))
     return F.array_join(F.transform(ordered, lambda x: F.concat(x.element, F.when(x.n > 1, x.n.cast("string")).otherwise(""))), "")
+
+
+def composition(formula: Column) -> Column:
+    """array<struct<element, n>> by element, of a formula in any order (C3H4O3Li, OLi2, LiOLi): counts of repeated elements
+    add up, none is 1. Null for text that is no formula."""
+    whole = formula.rlike(r"^([A-Z][a-z]?[0-9]*)+$")
+    parts = F.regexp_extract_all(formula, F.lit("([A-Z][a-z]?)([0-9]*)"), F.lit(0))
+    each = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, "^[A-Za-z]+", 0).alias("element"), F.coalesce(F.expr("1") * F.nullif(F.regexp_extract(x, "[0-9]+$", 0), F.lit("")).cast("bigint"), F.lit(1).cast("bigint")).alias("n")))
+    names = F.array_sort(F.array_distinct(F.transform(each, lambda x: x.element)))
+    total = lambda e: F.aggregate(F.filter(each, lambda x: x.element == e), F.lit(0).cast("bigint"), lambda a, x: a + x.n)
+    return F.when(whole, F.filter(F.transform(names, lambda e: F.struct(e.alias("element"), total(e).alias("n"))), lambda x: x.n > 0))
+
+
+def composition_key(formula: Column) -> Column:
+    """One text for all orders in which a formula may be written: its elements by name, each with its count."""
+    return F.array_join(F.transform(composition(formula), lambda x: F.concat(x.element, x.n.cast("string"))), " ")

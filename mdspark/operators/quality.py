@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +24,21 @@ def check_missing_files(manifest: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def existing_files(manifest: DataFrame) -> DataFrame:
-    """(path) of the manifest's files that Spark can list; a manifest is small, and its paths are asked one by one."""
+    """(path) of the manifest's files that are there. Each folder that the manifest names is listed once, by the file system
+    that it is in, and the listing is joined with the manifest; a path may name a folder itself."""
     spark = manifest.sparkSession
-
-    def there(path: str) -> bool:
-        try:
-            spark.read.format("binaryFile").load(path).schema
-        except AnalysisException:
-            return False
-        return True
-
-    paths = [r.path for r in manifest.select("path").distinct().collect()]
-    return spark.createDataFrame([(p,) for p in paths if there(p)], "path string")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    folder = F.regexp_replace("path", r"/+[^/]*/*$", "/")
+    named = manifest.select("path", F.when(F.col("path").contains("/"), folder).otherwise("./").alias("folder"), F.regexp_extract("path", r"([^/]+)/*$", 1).alias("name")).distinct()
+    listed = []
+    for r in named.select("folder").distinct().collect():
+        at = Path(r.folder)
+        store = at.getFileSystem(conf)
+        if store.exists(at):
+            listed += [(r.folder, x.getPath().getName()) for x in store.listStatus(at)]
+    there = spark.createDataFrame(listed, "folder string, name string")
+    return named.join(there, ["folder", "name"], "left_semi").select("path")
 
 
 def check_topic_consistency(manifest: DataFrame) -> DataFrame:
@@ -71,6 +73,31 @@ def check_trajectory_columns(headers: DataFrame) -> DataFrame:
     return finding(bad, 5, "error", F.concat(F.lit("trajectory lacks: "), F.array_join("lacking", ", ")))
 
 
+def check_bond_symmetry(directed: DataFrame) -> DataFrame:
+    """directed: (sim, timestep, atom_id, other) of every bond as each row lists it. An error for each frame with bonds that
+    only one of their atoms lists: the readers take a bond from its lower atom's row, so one listed by the upper alone is lost."""
+    back = directed.select("sim", "timestep", F.col("atom_id").alias("other"), F.col("other").alias("atom_id"))
+    lone = directed.join(back, ["sim", "timestep", "atom_id", "other"], "left_anti")
+    counts = lone.groupBy("sim", "timestep").agg(F.count("*").alias("n"), F.min(F.struct("atom_id", "other")).alias("one"))
+    said = F.concat(F.lit("timestep "), "timestep", F.lit(": "), "n", F.lit(" one-sided bonds, such as "), F.col("one.atom_id"), F.lit("-"), F.col("one.other"))
+    return finding(counts.withColumn("topic", F.lit("bonds")), 6, "error", said)
+
+
+def check_dangling_bonds(directed: DataFrame, atoms: DataFrame) -> DataFrame:
+    """An error for each frame with bonds to atoms that it does not have; molecules are built without such bonds."""
+    gone = directed.join(atoms.select("sim", "timestep", F.col("atom_id").alias("other")), ["sim", "timestep", "other"], "left_anti")
+    counts = gone.groupBy("sim", "timestep").agg(F.count("*").alias("n"), F.min("other").alias("one"))
+    said = F.concat(F.lit("timestep "), "timestep", F.lit(": "), "n", F.lit(" bonds to unknown atoms, such as "), "one")
+    return finding(counts.withColumn("topic", F.lit("bonds")), 7, "error", said)
+
+
+def check_incomplete_frames(frames: DataFrame) -> DataFrame:
+    """frames: (sim, timestep, n_atoms, complete). A warning for each bond frame with other rows than it announces, which is left out."""
+    own = frames.where(~F.coalesce(F.col("complete"), F.lit(False)))
+    said = F.concat(F.lit("timestep "), "timestep", F.lit(": incomplete frame, "), F.coalesce(F.col("n_atoms").cast("string"), F.lit("no")), F.lit(" atoms announced"))
+    return finding(own.withColumn("topic", F.lit("bonds")), 8, "warning", said)
+
+
 def validation_report(*findings: DataFrame) -> DataFrame:
     """All findings, or a single 'ok'."""
     every = findings[0]

@@ -50,9 +50,9 @@ def reaction_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return every.groupBy(*PAIR).applyInPandas(run, "sim int, t1 bigint, t2 bigint, side int, mol_idx int, cluster int")
 
 
-def reaction_events(mols: DataFrame, prune: bool = True) -> DataFrame:
-    """(sim, t1, t2, cluster, reaction, reactants, products, reactant_atom_ids, product_atom_ids): every cluster whose
-    sides differ as sets. cluster orders the events of a pair of frames."""
+def cluster_sides(mols: DataFrame, prune: bool = True) -> DataFrame:
+    """(sim, t1, t2, cluster, reactants, products, reactant_atom_ids, product_atom_ids): every cluster; with prune, without
+    those of one molecule that is the same in both frames. cluster orders the clusters of a pair of frames."""
     mols = materialize(mols.select("sim", "timestep", "mol_idx", "label", "atom_ids"), "molecules")
     pairs = materialize(adjacent_frames(mols), "pairs")
     if prune:
@@ -72,9 +72,15 @@ def reaction_events(mols: DataFrame, prune: bool = True) -> DataFrame:
         F.sort_array(F.array_distinct(F.flatten(side(1, "atom_ids")))).alias("reactant_atom_ids"), F.sort_array(F.array_distinct(F.flatten(side(2, "atom_ids")))).alias("product_atom_ids"),
         F.coalesce(F.min(F.when(F.col("side") == 1, F.col("mol_idx"))), F.lit(1 << 30) + F.min(F.when(F.col("side") == 2, F.col("mol_idx")))).alias("place"),
     )
-    events = grouped.where(changed(F.col("reactants"), F.col("products")))
     # clusters are ordered by smallest reactant, then by smallest product: `place` says the same with or without pruning
-    return events.select(*PAIR, F.col("place").cast("int").alias("cluster"), format_reaction(F.col("reactants"), F.col("products")).alias("reaction"), "reactants", "products", "reactant_atom_ids", "product_atom_ids")
+    return grouped.select(*PAIR, F.col("place").cast("int").alias("cluster"), "reactants", "products", "reactant_atom_ids", "product_atom_ids")
+
+
+def reaction_events(mols: DataFrame, prune: bool = True) -> DataFrame:
+    """(sim, t1, t2, cluster, reaction, reactants, products, reactant_atom_ids, product_atom_ids): every cluster whose
+    sides differ as sets. cluster orders the events of a pair of frames."""
+    events = cluster_sides(mols, prune).where(changed(F.col("reactants"), F.col("products")))
+    return events.select(*PAIR, "cluster", format_reaction(F.col("reactants"), F.col("products")).alias("reaction"), "reactants", "products", "reactant_atom_ids", "product_atom_ids")
 
 
 def find_reaction(events: DataFrame, reaction: str | None = None, first_only: bool = False) -> DataFrame:

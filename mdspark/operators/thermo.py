@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import padded_range
+from ..sources.store import materialize
 
 #: Fixed value: the parameters shown first, in this order.
 PREFERRED = ("Temp", "PotEng", "KinEng", "Press", "Volume", "Density")
@@ -34,24 +35,35 @@ def align_thermo(thermo: DataFrame) -> DataFrame:
 def aggregate_thermo_all(thermo: DataFrame) -> DataFrame:
     """(parameter, step, mean, std) over simulations: NaN is skipped, the sample deviation of one value is 0.
 
-    With repeated steps there is a row for each combination of rows (a chain of inner joins); without, one
-    grouped aggregation does it.
+    With repeated steps there is a row for each combination of rows, as a chain of inner joins gives: partial sums of
+    the combinations so far are joined with the next simulation's rows, so that no combination is held as a list.
     """
     numbered = thermo.where("step IS NOT NULL").select("parameter", "step", "sim", F.nanvl("value", F.lit(None)).alias("value"))
-    sims = numbered.select("parameter", "sim").distinct().groupBy("parameter").agg(F.count("*").alias("n_sims"))
-    agg = numbered.groupBy("parameter", "step").agg(F.countDistinct("sim").alias("have"), F.count("*").alias("rows"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.count("value").alias("values"))
-    whole = agg.join(F.broadcast(sims), "parameter").where("have = n_sims")
-    single = whole.where("rows = n_sims").select("parameter", "step", "mean", "std")
-    # repeated steps: every combination of one row per simulation
-    twice = whole.where("rows > n_sims").select("parameter", "step")
-    lists = numbered.join(twice, ["parameter", "step"], "left_semi").groupBy("parameter", "step", "sim").agg(F.collect_list(F.coalesce("value", F.lit(float("nan")))).alias("v"))
-    rows = lists.groupBy("parameter", "step").agg(F.collect_list("v").alias("vs"))
-    start = F.array(F.expr("CAST(array() AS array<double>)"))
-    combos = F.aggregate("vs", start, lambda acc, v: F.flatten(F.transform(acc, lambda p: F.transform(v, lambda x: F.concat(p, F.array(x))))))
-    each = rows.select("parameter", "step", F.posexplode(combos).alias("k", "combo"))
-    values = each.select("parameter", "step", "k", F.explode("combo").alias("x")).select("parameter", "step", "k", F.nanvl("x", F.lit(None)).alias("x"))
-    many = values.groupBy("parameter", "step", "k").agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std")).drop("k")
-    return single.unionByName(many)
+    agg = numbered.groupBy("parameter", "step").agg(F.countDistinct("sim").alias("have"), F.count("*").alias("rows"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+    sims = numbered.select("parameter", "sim").distinct()
+    held = materialize(agg.join(F.broadcast(sims.groupBy("parameter").agg(F.count("*").alias("n_sims"))), "parameter").where("have = n_sims"), "steps")
+    single = held.where("rows = n_sims").select("parameter", "step", "mean", "std")
+    twice = held.where("rows > n_sims").select("parameter", "step")
+    if twice.isEmpty():
+        return single
+    again = materialize(numbered.join(twice, ["parameter", "step"], "left_semi"), "repeated")
+    found = None
+    # one value at a time, centred on the step's own mean: count, sum and sum of squares of a combination
+    centred = again.join(held.select("parameter", "step", F.coalesce("mean", F.lit(0.0)).alias("m")), ["parameter", "step"]).withColumn("d", F.col("value") - F.col("m"))
+    part = centred.select("parameter", "step", "sim", "m", F.col("d").isNotNull().cast("int").alias("k"), F.coalesce("d", F.lit(0.0)).alias("s"), F.coalesce(F.col("d") * F.col("d"), F.lit(0.0)).alias("q"))
+    for r in again.select("sim").distinct().orderBy("sim").collect():
+        own = part.where(F.col("sim") == r.sim).drop("sim")
+        if found is None:
+            found = own
+            continue
+        # a parameter that this simulation lacks keeps its combinations
+        other = own.select("parameter", "step", *(F.col(c).alias(f"o_{c}") for c in ("m", "k", "s", "q")))
+        both = found.join(other, ["parameter", "step"], "full")
+        add = lambda c: F.coalesce(c, F.lit(0)) + F.coalesce(f"o_{c}", F.lit(0))
+        found = both.select("parameter", "step", F.coalesce("m", "o_m").alias("m"), *(add(c).alias(c) for c in ("k", "s", "q")))
+    mean = F.when(F.col("k") > 0, F.col("m") + F.col("s") / F.col("k"))
+    spread = F.when(F.col("k") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / F.col("k")) / (F.col("k") - 1)))).otherwise(0.0)
+    return single.unionByName(found.select("parameter", "step", mean.alias("mean"), spread.alias("std")))
 
 
 def aggregate_thermo(thermo: DataFrame, parameter: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import components
 from ..functions.scalars import bond_type, hill
 from ..functions.smiles import write_smiles
-from ..sources.store import materialize
+from ..sources.store import materialize, numbered
 
 FRAME = ["sim", "timestep"]
 
@@ -42,19 +42,79 @@ def molecule_components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return nodes.unionByName(edges).groupBy(*FRAME).applyInPandas(run, "sim int, timestep bigint, atom_id bigint, component bigint, mol_idx int")
 
 
-def iterative_components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(sim, timestep, atom_id, component) for frames too large for a task: smallest labels spread by joins."""
-    both = bonds.select(*FRAME, F.col("atom_i").alias("i"), F.col("atom_j").alias("j")).unionByName(bonds.select(*FRAME, F.col("atom_j").alias("i"), F.col("atom_i").alias("j")))
-    labels = materialize(atoms.select(*FRAME, "atom_id", F.col("atom_id").alias("component")), "labels")
+def local_stars(edges: DataFrame, block: int) -> DataFrame:
+    """(sim, timestep, child, parent): a spanning forest of each block of edges (i, j), as stars around smallest atoms.
+
+    Blocks are ranges of the lower atom; those of more than `block` edges are cut further by the upper one.
+    """
+    key = [*FRAME, "range"]
+    ranged = edges.withColumn("range", F.floor(F.least("i", "j") / block))
+    sizes = ranged.groupBy(*key).agg(F.ceil(F.count("*") / block).alias("parts")).where("parts > 1")
+    own = ranged.join(sizes, key, "left").withColumn("part", F.pmod(F.xxhash64("j"), F.coalesce("parts", F.lit(1))))
+
+    def run(keys: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(t[["i", "j"]].to_numpy())
+        root = components(len(ids), np.searchsorted(ids, t["i"].to_numpy()), np.searchsorted(ids, t["j"].to_numpy()))
+        at = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"sim": keys[0], "timestep": keys[1], "child": ids[at], "parent": ids[root[at]]})
+
+    return own.groupBy(*key, "part").applyInPandas(run, "sim int, timestep bigint, child bigint, parent bigint")
+
+
+def star_components(atoms: DataFrame, bonds: DataFrame, block: int = 1 << 18) -> tuple[DataFrame, int]:
+    """((sim, timestep, atom_id, component), rounds) for frames of any size: no task holds a frame.
+
+    Blocks of edges become stars by themselves; then every atom hands its larger neighbours to its smallest one, and
+    its smaller ones likewise, in turn, until only stars are left. Rounds grow with the logarithm of the atoms, not
+    with the length of chains.
+    """
+    ids = atoms.select(*FRAME, "atom_id")
+    ends = lambda c: ids.withColumnRenamed("atom_id", c)
+    known = bonds.select(*FRAME, F.col("atom_i").alias("i"), F.col("atom_j").alias("j")).join(ends("i"), [*FRAME, "i"], "left_semi").join(ends("j"), [*FRAME, "j"], "left_semi")
+    stars = materialize(local_stars(known.where("i <> j"), block), "stars")
+    rounds = 0
     while True:
-        near = both.join(labels.withColumnRenamed("atom_id", "j"), [*FRAME, "j"]).groupBy(*FRAME, F.col("i").alias("atom_id")).agg(F.min("component").alias("near"))
-        jump = labels.select(*FRAME, F.col("atom_id").alias("component"), F.col("component").alias("far"))
-        new = labels.join(near, [*FRAME, "atom_id"], "left").join(jump, [*FRAME, "component"], "left")
-        new = materialize(new.select(*FRAME, "atom_id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component"), F.coalesce("far", "component")).alias("component")), "labels")
-        moved = new.where("old <> component").limit(1).count()
-        labels = new.drop("old")
-        if not moved:
-            return labels
+        # an atom that is child and parent shows that not all is stars yet
+        again = stars.select(*FRAME, F.col("child").alias("parent")).distinct()
+        twice = stars.groupBy(*FRAME, "child").agg(F.count("*").alias("n")).where("n > 1")
+        if stars.join(again, [*FRAME, "parent"], "left_semi").isEmpty() and twice.isEmpty():
+            break
+        rounds += 1
+        both = stars.select(*FRAME, F.col("child").alias("u"), F.col("parent").alias("v")).unionByName(stars.select(*FRAME, F.col("parent").alias("u"), F.col("child").alias("v")))
+        least = both.groupBy(*FRAME, "u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, [*FRAME, "u"]).select(*FRAME, F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
+        large = materialize(large, "large")
+        down = large.groupBy(*FRAME, "child").agg(F.min("parent").alias("m"))
+        met = large.join(down, [*FRAME, "child"])
+        small = met.select(*FRAME, F.col("parent").alias("child"), F.col("m").alias("parent")).where("child <> parent").unionByName(down.select(*FRAME, "child", F.col("m").alias("parent")))
+        stars = materialize(small.distinct(), "stars")
+    found = ids.join(stars.select(*FRAME, F.col("child").alias("atom_id"), "parent"), [*FRAME, "atom_id"], "left")
+    return found.select(*FRAME, "atom_id", F.coalesce("parent", "atom_id").alias("component")), rounds
+
+
+def iterative_components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(sim, timestep, atom_id, component) for frames too large for a task."""
+    return star_components(atoms, bonds)[0]
+
+
+#: Atoms and bonds of a frame that one task takes.
+MOST_IN_TASK = 5_000_000
+
+
+def components_of_any_size(atoms: DataFrame, bonds: DataFrame, most: int = MOST_IN_TASK) -> DataFrame:
+    """molecule_components, by stars for frames of more than `most` atoms and bonds; their mol_idx is counted by ranges of atoms."""
+    size = lambda df, c: df.groupBy(*FRAME).agg(F.count("*").alias(c))
+    sizes = materialize(size(atoms, "a").join(size(bonds, "b"), FRAME, "left").select(*FRAME, (F.col("a") + F.coalesce("b", F.lit(0))).alias("n")), "sizes")
+    large = sizes.where(F.col("n") > most)
+    if large.isEmpty():
+        return molecule_components(atoms, bonds)
+    pick = lambda df, how: df.join(F.broadcast(large.select(*FRAME)), FRAME, how)  # noqa: E731  few: each is larger than a task
+    small = molecule_components(pick(atoms, "left_anti"), pick(bonds, "left_anti"))
+    found = materialize(star_components(pick(atoms, "left_semi"), pick(bonds, "left_semi"))[0], "components")
+    heads = numbered(found.where("atom_id = component").select(*FRAME, "component"), "place", *FRAME, "component")
+    first = heads.groupBy(*FRAME).agg(F.min("place").alias("first"))
+    index = heads.join(F.broadcast(first), FRAME).select(*FRAME, "component", (F.col("place") - F.col("first")).cast("int").alias("mol_idx"))
+    return small.unionByName(found.join(index, [*FRAME, "component"]).select(*FRAME, "atom_id", "component", "mol_idx"))
 
 
 def hill_formulas(parts: DataFrame) -> DataFrame:
@@ -146,6 +206,31 @@ def atom_evolution(membership: DataFrame, frames: DataFrame | None = None) -> Da
     return each.withColumn("labels", F.transform("labels", lambda x: F.struct(x.timestep.alias("timestep"), x.label.alias("label"))))
 
 
+def atom_runs(membership: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """(sim, atom_id, run, label, first, last, n): a row for each stretch of frames, in file order, in which an atom keeps its label.
+
+    atom_evolution without its arrays: as long as an atom changes, not as long as the simulation.
+    """
+    own = in_file_order(membership, frames)
+    order = Window.partitionBy("sim", "atom_id").orderBy("frame_ord")
+    marked = own.withColumn("new", F.coalesce((F.lag("label").over(order) != F.col("label")).cast("int"), F.lit(1)))
+    runs = marked.withColumn("run", F.sum("new").over(order).cast("int"))
+    return runs.groupBy("sim", "atom_id", "run").agg(F.first("label").alias("label"), F.min_by("timestep", "frame_ord").alias("first"), F.max_by("timestep", "frame_ord").alias("last"), F.count("*").alias("n"), F.min("frame_ord").alias("begin"), F.max("frame_ord").alias("end"))
+
+
+def expand_runs(runs: DataFrame, frames: DataFrame) -> DataFrame:
+    """(sim, timestep, frame_ord, atom_id, label) of atom_runs: a row for each frame (sim, timestep, frame_ord) that a run
+    covers. An atom that was missing within a run stands in its frames too; an atom's missing frames between runs stay out."""
+    each = runs.join(F.broadcast(frames.groupBy("sim").agg(F.sort_array(F.collect_list(F.struct("frame_ord", "timestep"))).alias("all"))), "sim")
+    inside = F.filter("all", lambda x: x.frame_ord.between(F.col("begin"), F.col("end")))
+    return each.select("sim", "atom_id", "label", F.explode(inside).alias("f")).select("sim", "f.timestep", "f.frame_ord", "atom_id", "label")
+
+
+def formula_smiles(mols: DataFrame) -> DataFrame:
+    """(sim, timestep, mol_idx, formula, label): each molecule's formula beside its label."""
+    return mols.select(*FRAME, "mol_idx", "formula", "label")
+
+
 def bonds_at(frames: DataFrame, bonds: DataFrame, timestep: int) -> DataFrame:
     """The bonds of one timestep, of the first frame in file order where it repeats; a timestep that no simulation has is an error."""
     own = frames.where(F.col("timestep") == timestep)

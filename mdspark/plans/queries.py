@@ -7,23 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
-from ..functions.kernels import canonical_label
+from ..functions import scalars, smiles
 from ..operators import quality, rdf, reactions, scene, species, thermo, topology
 from ..sources import readers, sinks, store
-from .worlds import BOX, SIMS, SPECIES, World, sql
+from .worlds import BOX, REPLICAS, SIMS, SPECIES, World, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 A, B, WIDTH = "Li", "O", 0.5
-#: Queries that stand a second time as whole_..., with canonical labels for molecules: SQL has only formulas.
-WHOLE = set("""read_bonds load_simulations write_tables map_elements bond_type hill_formula molecule_signature bonds_at adjacent_frames
-reaction_scene_bonds molecule_components iterative_components dedupe_frames last_timesteps check_atom_types validation_report
-read_trajectory list_timesteps box_metrics wrap_positions minimum_image_distance scene_attributes select_elements pair_join
-reaction_scene_atoms rdf_rmax rdf_bins rdf_histogram block_histogram frame_rdf radial_distribution rdf_timesteps_used check_trajectory_columns
-format_reaction changed_reactions find_reaction atom_membership link_molecules formula_smiles reaction_clusters reaction_events
+#: Queries that stand a second time as canonical_..., with canonical SMILES for molecules: SQL has only formulas.
+CANONICAL = set("""format_reaction changed_reactions find_reaction atom_membership formula_smiles reaction_events
 count_reaction_paths reaction_path_table rank_reactions top_reactions first_reaction_occurrence read_reaction_counts
-write_reaction_paths formulas_observed smiles_for_formula first_appearance atom_evolution""".split())
+write_reaction_paths smiles_for_formula first_appearance atom_evolution atom_runs""".split())
 
 
 def query(name: str, oracle: str | None = None):
@@ -33,8 +28,8 @@ def query(name: str, oracle: str | None = None):
         QUERIES[name] = lambda spark, sf_dir: f(World(spark, sf_dir, oracle is None))
         if oracle is not None:
             ORACLE[name] = oracle
-        if name in WHOLE:
-            QUERIES[f"whole_{name}"] = lambda spark, sf_dir: f(World(spark, sf_dir, True))
+        if name in CANONICAL:
+            QUERIES[f"canonical_{name}"] = lambda spark, sf_dir: f(World(spark, sf_dir, True))
         return f
 
     return register
@@ -201,13 +196,18 @@ def molecule_label(w: World) -> DataFrame:
     return topology.molecules(w.bond_atoms, w.bonds).select("sim", "timestep", "mol_idx", "label", "formula")
 
 
-@query("format_reaction", sql("SELECT sim, t1, t2, '[' || coalesce(string_agg('''' || label || '''', ', ' ORDER BY label) FILTER (side = 1), '') || '] -> [' || coalesce(string_agg('''' || label || '''', ', ' ORDER BY label) FILTER (side = 2), '') || ']' AS reaction FROM nodes GROUP BY sim, t1, t2", "nodes"))
+@query("format_reaction", sql("SELECT sim, t1, t2, cluster, reaction FROM sides", "sides"))
 def format_reaction(w: World) -> DataFrame:
-    """Whole frames as the two sides."""
-    own = w.molecules.groupBy("sim", "timestep").agg(F.collect_list("label").alias("labels"))
-    pairs = topology.adjacent_frames(w.molecules)
-    both = pairs.join(own.select("sim", F.col("timestep").alias("t1"), F.col("labels").alias("r")), ["sim", "t1"]).join(own.select("sim", F.col("timestep").alias("t2"), F.col("labels").alias("p")), ["sim", "t2"])
-    return both.select("sim", "t1", "t2", scalars.format_reaction(F.col("r"), F.col("p")).alias("reaction"))
+    """Every cluster of linked molecules, changed or not."""
+    both = reactions.cluster_sides(w.molecules, prune=False)
+    return both.select("sim", "t1", "t2", "cluster", scalars.format_reaction(F.col("reactants"), F.col("products")).alias("reaction"))
+
+
+@query("smiles_formula", sql("SELECT sim, timestep, mol_idx, formula FROM formulas", "formulas"))
+def smiles_formula(w: World) -> DataFrame:
+    """Formulas read back from the molecules' SMILES."""
+    mols = topology.molecules(w.bond_atoms, w.bonds)
+    return mols.select("sim", "timestep", "mol_idx", scalars.hill(smiles.element_counts(F.col("label"))).alias("formula"))
 
 
 @query("thermo_axis_label", sql("SELECT DISTINCT parameter, CASE parameter WHEN 'Temp' THEN 'Temp (K)' WHEN 'Press' THEN 'Press (atm)' ELSE parameter END AS label FROM thermo", "thermo"))
@@ -277,11 +277,10 @@ def select_elements(w: World) -> DataFrame:
     return rdf.select_elements(w.atoms, w.elements, [A, B]).select("sim", "timestep", "atom_id", "element")
 
 
-@query("changed_reactions", sql("SELECT sim, t1, t2 FROM nodes GROUP BY sim, t1, t2 HAVING list_sort(list_distinct(list(label) FILTER (side = 1))) <> list_sort(list_distinct(list(label) FILTER (side = 2)))", "nodes"))
+@query("changed_reactions", sql("SELECT sim, t1, t2, cluster FROM rx", "rx"))
 def changed_reactions(w: World) -> DataFrame:
-    own = w.molecules.groupBy("sim", "timestep").agg(F.collect_set("label").alias("labels"))
-    both = topology.adjacent_frames(w.molecules).join(own.select("sim", F.col("timestep").alias("t1"), F.col("labels").alias("r")), ["sim", "t1"]).join(own.select("sim", F.col("timestep").alias("t2"), F.col("labels").alias("p")), ["sim", "t2"])
-    return both.where(scalars.changed(F.col("r"), F.col("p"))).select("sim", "t1", "t2")
+    both = reactions.cluster_sides(w.molecules, prune=False)
+    return both.where(scalars.changed(F.col("reactants"), F.col("products"))).select("sim", "t1", "t2", "cluster")
 
 
 @query("find_reaction", sql("SELECT sim, t1, t2, cluster FROM rx WHERE reaction = '[''CH''] -> [''C'', ''H'']'", "rx"))
@@ -289,7 +288,7 @@ def find_reaction(w: World) -> DataFrame:
     """Carbon and hydrogen parting; with canonical labels from a single bond, which they tell from others."""
     reaction = "['CH'] -> ['C', 'H']"
     if w.canonical:
-        reaction = f"['{canonical_label(['C', 'H'], [(0, 1, 1)])}'] -> ['{canonical_label(['C'], [])}', '{canonical_label(['H'], [])}']"
+        reaction = "['[H][C]'] -> ['[C]', '[H]']"
     return reactions.find_reaction(events(w), reaction).select("sim", "t1", "t2", "cluster")
 
 
@@ -324,7 +323,7 @@ def pair_join(w: World) -> DataFrame:
 
 @query("formula_smiles", sql("SELECT sim, timestep, mol_idx, formula, formula AS label FROM formulas", "formulas"))
 def formula_smiles(w: World) -> DataFrame:
-    return w.molecules.select("sim", "timestep", "mol_idx", "formula", "label")
+    return topology.formula_smiles(w.molecules)
 
 
 def trajectory_events(w: World) -> DataFrame:
@@ -500,6 +499,31 @@ def atom_evolution(w: World) -> DataFrame:
     return topology.atom_evolution(w.membership, w.bond_frames).select("sim", "atom_id", F.array_join(F.transform("labels", lambda x: x.label), ",").alias("labels"))
 
 
+RUNS_SQL = """SELECT sim, atom_id, CAST(run AS INTEGER) AS run, any_value(label) AS label, min(timestep) AS first, max(timestep) AS last, count(*) AS n
+FROM (SELECT *, sum(new) OVER (PARTITION BY sim, atom_id ORDER BY timestep) AS run FROM (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY sim, atom_id ORDER BY timestep) = label THEN 0 ELSE 1 END AS new FROM labelled)) GROUP BY sim, atom_id, run"""
+
+
+@query("atom_runs", sql(RUNS_SQL, "labelled"))
+def atom_runs(w: World) -> DataFrame:
+    return topology.atom_runs(w.membership, w.bond_frames).drop("begin", "end")
+
+
+@query("components_of_any_size", sql("SELECT sim, timestep, atom_id, component, mol_idx FROM members", "members"))
+def components_of_any_size(w: World) -> DataFrame:
+    """Frames above the mean size go by stars, the others by task."""
+    most = w.bonds.groupBy("sim", "timestep").agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0] or 0
+    atoms = w.table("supplier").count() * REPLICAS
+    return topology.components_of_any_size(w.bond_atoms, w.bonds, int(atoms + most))
+
+
+@query("match_compositions", sql("SELECT DISTINCT reverse_name AS species, formula FROM (SELECT formula, list_aggregate(list_reverse(regexp_extract_all(formula, '[A-Z][a-z]?[0-9]*')), 'string_agg', '') AS reverse_name FROM formulas)", "formulas"))
+def match_compositions(w: World) -> DataFrame:
+    """Formulas with their elements written backwards, as another program might, find their Hill formulas."""
+    parts = F.regexp_extract_all("formula", F.lit("[A-Z][a-z]?[0-9]*"), F.lit(0))
+    names = w.molecules.select(F.array_join(F.reverse(parts), "").alias("species"))
+    return species.match_compositions(names, w.molecules)
+
+
 # Windows, sorts, top-k -------------------------------------------------------------------------------
 
 
@@ -560,9 +584,35 @@ def check_element_list(w: World) -> DataFrame:
     return quality.validation_report(quality.check_element_list(types.join(w.elements, "atom_type"))).select(*FINDING)
 
 
+def missing_files(w: World) -> DataFrame:
+    """The manifest over files that are written for all simulations but the second."""
+    base = store.shared_path(w.spark, "manifest")
+    w.manifest.where("sim <> 2").select(F.col("path").alias("file"), F.col("topic").alias("value")).write.partitionBy("file").text(base)
+    placed = w.manifest.withColumn("path", F.concat(F.lit(f"{base}/file="), "path"))
+    found = quality.check_missing_files(placed, quality.existing_files(placed))
+    return found.withColumn("message", F.regexp_replace("message", "missing file: .*/file=", "missing file: "))
+
+
 @query("check_missing_files", FILES_SQL)
 def check_missing_files(w: World) -> DataFrame:
-    return quality.check_missing_files(w.manifest, w.manifest.where("sim <> 2").select("path")).select(*FINDING)
+    return missing_files(w).select(*FINDING)
+
+
+def directed(w: World) -> DataFrame:
+    """Every bond as both of its atoms list it, but for those of whole tenth orders, which their upper atom leaves out."""
+    one = w.bonds.select("sim", "timestep", F.col("atom_i").alias("atom_id"), F.col("atom_j").alias("other"), "bond_order")
+    return one.unionByName(w.bonds.where("bond_order <> 2").select("sim", "timestep", F.col("atom_j").alias("atom_id"), F.col("atom_i").alias("other"), "bond_order"))
+
+
+@query("check_bond_symmetry", sql("SELECT 'error' AS severity, sim, 'bonds' AS topic, 'timestep ' || timestep || ': ' || count(*) || ' one-sided bonds, such as ' || arg_min(atom_i, (atom_i, atom_j)) || '-' || arg_min(atom_j, (atom_i, atom_j)) AS message FROM bonds WHERE bond_order = 2 GROUP BY sim, timestep", "bonds"))
+def check_bond_symmetry(w: World) -> DataFrame:
+    return quality.check_bond_symmetry(directed(w)).select(*FINDING)
+
+
+@query("check_dangling_bonds", sql("SELECT 'error' AS severity, sim, 'bonds' AS topic, 'timestep ' || timestep || ': ' || count(*) || ' bonds to unknown atoms, such as ' || min(other) AS message FROM (SELECT sim, timestep, atom_j AS other FROM bonds UNION ALL SELECT sim, timestep, atom_i FROM bonds WHERE bond_order <> 2) WHERE other % 7 = 3 GROUP BY sim, timestep", "bonds"))
+def check_dangling_bonds(w: World) -> DataFrame:
+    """Atoms whose id leaves 3 by 7 are missing from their frames."""
+    return quality.check_dangling_bonds(directed(w), w.bond_atoms.where("atom_id % 7 <> 3")).select(*FINDING)
 
 
 @query("check_topic_consistency", TOPICS_SQL)
@@ -582,7 +632,7 @@ def check_trajectory_columns(w: World) -> DataFrame:
 
 @query("validation_report", " UNION ALL ".join(f"SELECT * FROM ({s})" for s in (FILES_SQL, TOPICS_SQL, TYPES_SQL, COLUMNS_SQL)))
 def validation_report(w: World) -> DataFrame:
-    found = [quality.check_element_list(w.elements), quality.check_missing_files(w.manifest, w.manifest.where("sim <> 2").select("path")), quality.check_topic_consistency(w.manifest), unknown_types(w), quality.check_trajectory_columns(headers(w))]
+    found = [quality.check_element_list(w.elements), missing_files(w), quality.check_topic_consistency(w.manifest), unknown_types(w), quality.check_trajectory_columns(headers(w))]
     return quality.validation_report(*found).select(*FINDING)
 
 

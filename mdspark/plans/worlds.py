@@ -7,6 +7,7 @@ count from the first day there is, and every world grows with its table. The SQL
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,7 +50,8 @@ class World:
         box = F.floor(F.col("l_orderkey") / 3) % REPLICAS * F.col("n_sup")
         raw = self.line_frames.crossJoin(self.n_suppliers).select("sim", "base", F.least(F.lit(4), "l_linenumber").alias("life"), (F.col("l_suppkey") + box).alias("a"), (F.col("l_partkey") % F.col("n_sup") + box).alias("b"), "l_discount").where("a <> b")
         each = raw.select("*", F.explode(F.sequence(F.lit(0), F.col("life") - 1)).alias("k"))
-        return each.groupBy("sim", (F.col("base") + F.col("k")).alias("timestep"), F.least("a", "b").alias("atom_i"), F.greatest("a", "b").alias("atom_j")).agg(F.round(1 + 20 * F.max("l_discount"), 6).alias("bond_order"))
+        own = each.groupBy("sim", (F.col("base") + F.col("k")).alias("timestep"), F.least("a", "b").alias("atom_i"), F.greatest("a", "b").alias("atom_j")).agg(F.round(1 + 20 * F.max("l_discount"), 6).alias("bond_order"))
+        return store.materialize(own, "bonds")  # frames, atoms, files and molecules all begin with it
 
     @cached_property
     def bond_atoms(self) -> DataFrame:
@@ -109,7 +111,8 @@ class World:
         """(sim, value) rows as one folder of text per simulation, ordered by ord; returns (sim, path)."""
         path = store.shared_path(self.spark, name)
         df.repartitionByRange("sim", "ord").sortWithinPartitions("sim", "ord").select("sim", "value").write.partitionBy("sim").text(path)
-        return df.select("sim").distinct().select("sim", F.concat(F.lit(f"{path}/sim="), "sim").alias("path"))
+        sims = sorted({int(re.search(r"/sim=(\d+)/", f)[1]) for f in self.spark.read.text(path).inputFiles()})
+        return self.spark.createDataFrame([(i, f"{path}/sim={i}") for i in sims], "sim int, path string")
 
     @cached_property
     def species_files(self) -> DataFrame:
@@ -125,9 +128,11 @@ class World:
         wide = self.thermo.groupBy("sim", "step").agg(*(text(k).alias(k) for k in names))
         line = F.concat_ws(" ", F.col("step").cast("bigint").cast("string"), *names)  # a column that a simulation lacks is skipped
         head = F.when(F.col("sim") == 3, "Step Temp Press Density").otherwise("Step Temp Press Density Extra")
-        log = wide.groupBy("sim").agg(F.sort_array(F.collect_list(F.struct("step", line.alias("line")))).alias("l"))
-        body = F.concat(F.lit("preamble of the run\n"), head, F.lit("\n"), F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit("\nLoop time of 1 on 1 procs\nStep Temp\n0 0"))
-        return self.write_text(log.select("sim", F.lit(0).alias("ord"), body.alias("value")), "thermo")
+        sims = wide.select("sim").distinct()
+        say = lambda at, text: sims.select("sim", F.lit(float(at)).alias("ord"), text.alias("value"))
+        body = wide.select("sim", F.col("step").alias("ord"), line.alias("value"))
+        top = say(-1e18, F.lit("preamble of the run")).unionByName(say(-1e17, head))
+        return self.write_text(top.unionByName(body).unionByName(say(1e18, F.lit("Loop time of 1 on 1 procs\nStep Temp\n0 0"))), "thermo")
 
     @cached_property
     def bond_files(self) -> DataFrame:
@@ -172,6 +177,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "spread": (("nodes", "links"), "spread AS (SELECT sim, t1, t2, mol_idx + CASE side WHEN 2 THEN 1073741824 ELSE 0 END AS a, mol_idx + CASE side WHEN 2 THEN 1073741824 ELSE 0 END AS c FROM nodes UNION SELECT s.sim, s.t1, s.t2, e.y, s.c FROM spread s JOIN (SELECT sim, t1, m1 AS x, m2 + 1073741824 AS y FROM links UNION ALL SELECT sim, t1, m2 + 1073741824, m1 FROM links) e ON e.sim = s.sim AND e.t1 = s.t1 AND e.x = s.a AND e.y > s.c)"),
     "clusters": (("spread",), "clusters AS (SELECT sim, t1, t2, CASE WHEN a >= 1073741824 THEN 2 ELSE 1 END AS side, CAST(a % 1073741824 AS INTEGER) AS mol_idx, CAST(min(c) AS INTEGER) AS cluster FROM spread GROUP BY sim, t1, t2, a)"),
     "rx": (("clusters",), "rx AS (SELECT sim, t1, t2, cluster, '[' || coalesce(string_agg('''' || label || '''', ', ' ORDER BY label) FILTER (side = 1), '') || '] -> [' || coalesce(string_agg('''' || label || '''', ', ' ORDER BY label) FILTER (side = 2), '') || ']' AS reaction FROM clusters JOIN nodes USING (sim, t1, t2, side, mol_idx) GROUP BY sim, t1, t2, cluster HAVING list_sort(list_distinct(coalesce(list(label) FILTER (side = 1), []))) <> list_sort(list_distinct(coalesce(list(label) FILTER (side = 2), []))))"),
+    "sides": (("clusters",), "sides AS (SELECT sim, t1, t2, cluster, '[' || coalesce(string_agg('''' || label || '''', ', ' ORDER BY label) FILTER (side = 1), '') || '] -> [' || coalesce(string_agg('''' || label || '''', ', ' ORDER BY label) FILTER (side = 2), '') || ']' AS reaction FROM clusters JOIN nodes USING (sim, t1, t2, side, mol_idx) GROUP BY sim, t1, t2, cluster)"),
     "counts": (("rx",), "counts AS (SELECT sim, reaction, n, row_number() OVER (PARTITION BY sim ORDER BY n DESC, t1, cluster) AS rank FROM (SELECT sim, reaction, count(*) AS n, min(t1) AS t1, arg_min(cluster, (t1, cluster)) AS cluster FROM rx GROUP BY sim, reaction))"),
     "ranks": (("counts",), "ranks AS (SELECT reaction, total, row_number() OVER (ORDER BY total DESC, s, r) AS rank FROM (SELECT reaction, CAST(sum(n) AS BIGINT) AS total, min(sim) AS s, arg_min(rank, sim) AS r FROM counts GROUP BY reaction))"),
     "atoms": (("line_frames", "elements"), f"atoms AS (SELECT sim, base AS timestep, base AS frame_ord, row_number() OVER (PARTITION BY sim, base ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS atom_id, CAST(l_suppkey % 4 + 1 AS INTEGER) AS atom_type, e.element, l_tax AS q, (l_partkey * 37 % 3500) / 100.0 + {BOX} * (l_linenumber % 3 - 1) AS x, (CAST(round(l_extendedprice * 100) AS BIGINT) % 3500) / 100.0 AS y, (l_orderkey * 13 % 3500) / 100.0 - {BOX} * (l_suppkey % 2) AS z FROM line_frames JOIN elements e ON e.atom_type = l_suppkey % 4 + 1)"),

@@ -229,10 +229,10 @@ def read_thermo(spark: SparkSession, files: DataFrame, start: str = "Step", stop
 # Bonds -----------------------------------------------------------------------------------------------
 
 
-def parse_bonds(chunks: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(frames, bond_atoms, bonds) from chunks of one frame (from its '#' line with 'Timestep' on, or from what follows that word).
+def parse_rows(chunks: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frames, bond_atoms, directed) from chunks of one frame (from its '#' line with 'Timestep' on, or from what follows that word).
 
-    A bond is taken from its lower atom's row; rows of fewer than three tokens are skipped; frames with
+    directed: (sim, timestep, frame_ord, atom_id, other, bond_order), every bond as each row lists it. Rows of fewer than three tokens are skipped; frames with
     another number of rows than they announce are reported in frames (complete = false) and left out of
     the other two. Rows before a file's first header, or of a frame that announces no number, are an error.
     """
@@ -249,8 +249,14 @@ def parse_bonds(chunks: DataFrame, elements: DataFrame) -> tuple[DataFrame, Data
     row = cut.where(F.size("rows") == F.col("n_atoms")).select("sim", "timestep", "frame_ord", F.explode("rows").alias("r")).select("sim", "timestep", "frame_ord", F.col("r")[0].cast("bigint").alias("atom_id"), F.col("r")[1].cast("int").alias("atom_type"), F.col("r")[2].cast("int").alias("nb"), "r")
     atoms = row.select("sim", "timestep", "frame_ord", "atom_id", "atom_type").join(F.broadcast(elements), "atom_type", "left").select("sim", "timestep", "frame_ord", "atom_id", "atom_type", "element")
     pairs = F.arrays_zip(F.slice("r", F.lit(4), F.col("nb")).alias("id"), F.slice("r", F.col("nb") + 5, F.col("nb")).alias("order"))
-    bonds = row.where("nb > 0").select("sim", "timestep", "frame_ord", F.col("atom_id").alias("atom_i"), F.explode(pairs).alias("p")).select("sim", "timestep", "frame_ord", "atom_i", F.col("p.id").cast("bigint").alias("atom_j"), F.col("p.order").cast("double").alias("bond_order")).where("atom_i < atom_j")
-    return frames, atoms, bonds
+    directed = row.where("nb > 0").select("sim", "timestep", "frame_ord", "atom_id", F.explode(pairs).alias("p")).select("sim", "timestep", "frame_ord", "atom_id", F.col("p.id").cast("bigint").alias("other"), F.col("p.order").cast("double").alias("bond_order"))
+    return frames, atoms, directed
+
+
+def parse_bonds(chunks: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frames, bond_atoms, bonds): as parse_rows, each bond taken from its lower atom's row."""
+    frames, atoms, directed = parse_rows(chunks, elements)
+    return frames, atoms, directed.where("atom_id < other").select("sim", "timestep", "frame_ord", F.col("atom_id").alias("atom_i"), F.col("other").alias("atom_j"), "bond_order")
 
 
 def read_bonds(spark: SparkSession, files: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

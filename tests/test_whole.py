@@ -53,14 +53,14 @@ def parts(nodes, edges):
     return sorted({min(g): sorted(g) for g in group.values()}.values())
 
 
-@pytest.mark.parametrize("name", ["whole_read_bonds", "whole_bond_type"])
+@pytest.mark.parametrize("name", ["read_bonds", "bond_type"])
 def test_every_line_with_two_ends_is_a_bond(spark, folder, lines, name):
-    want = {(s, t, i, j, o if name == "whole_read_bonds" else 1 + (o >= 1.5) + (o >= 2.5)) for (s, t), own in bonds_of(lines).items() for (i, j), o in own.items()}
+    want = {(s, t, i, j, o if name == "read_bonds" else 1 + (o >= 1.5) + (o >= 2.5)) for (s, t), own in bonds_of(lines).items() for (i, j), o in own.items()}
     got = [tuple(r) for r in QUERIES[name](spark, folder).collect()]
     assert set(got) == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("name", ["whole_molecule_components", "whole_iterative_components"])
+@pytest.mark.parametrize("name", ["molecule_components", "iterative_components", "components_of_any_size"])
 def test_components_of_whole_tables(spark, folder, lines, name):
     want = {(s, t, a, own[0]) for (s, t), b in bonds_of(lines).items() for own in parts(range(ATOMS * BOXES), b) for a in own}
     got = QUERIES[name](spark, folder).collect()
@@ -78,13 +78,13 @@ def atoms_of(lines):
 
 def test_every_line_is_an_atom(spark, folder, lines):
     want = {(s, t, i, k, *(round(c, 6) for c in at)) for (s, t), own in atoms_of(lines).items() for i, (k, *at) in enumerate(own, 1)}
-    got = QUERIES["whole_read_trajectory"](spark, folder).collect()
+    got = QUERIES["read_trajectory"](spark, folder).collect()
     assert {(r.sim, r.timestep, r.atom_id, r.atom_type, r.x, r.y, r.z) for r in got} == want and len(got) == len(want) == len(lines)
-    frames = QUERIES["whole_list_timesteps"](spark, folder).collect()
+    frames = QUERIES["list_timesteps"](spark, folder).collect()
     assert sorted(map(tuple, frames)) == sorted(atoms_of(lines))
 
 
-@pytest.mark.parametrize("name", ["whole_block_histogram", "whole_rdf_histogram"])
+@pytest.mark.parametrize("name", ["block_histogram", "rdf_histogram"])
 def test_pairs_of_every_frame_are_counted(spark, folder, lines, name):
     want = collections.Counter()
     for (s, t), own in atoms_of(lines).items():
@@ -108,7 +108,7 @@ def test_reactions_tell_isomers_apart(spark, folder, lines):
     frames = {}  # (sim, t): [(atoms, label)] by mol_idx
     for key, own in bonds_of(lines).items():
         frames[key] = [(atoms, plain_label(atoms, own)) for atoms in parts(range(ATOMS * BOXES), own)]
-    mols = QUERIES["whole_formula_smiles"](spark, folder).collect()
+    mols = QUERIES["canonical_formula_smiles"](spark, folder).collect()
     name = {}
     for r in mols:
         assert name.setdefault(frames[r.sim, r.timestep][r.mol_idx][1], r.label) == r.label
@@ -125,7 +125,7 @@ def test_reactions_tell_isomers_apart(spark, folder, lines):
                     isomers += len({frozenset(tuple(sorted(x[0])) for x in side) for side in sides}) == 1
                     text = [", ".join(f"'{n}'" for n in sorted(name[x] for x in side)) for side in sides]
                     want.add((sim, t1, t2, nodes[0][1], f"[{text[0]}] -> [{text[1]}]"))
-    got = QUERIES["whole_reaction_events"](spark, folder).collect()
+    got = QUERIES["canonical_reaction_events"](spark, folder).collect()
     assert isomers and {tuple(r) for r in got} == want and len(got) == len(want)
     counts = collections.Counter((x[0], x[4]) for x in want)
-    assert {(r.sim, r.reaction): r.n for r in QUERIES["whole_count_reaction_paths"](spark, folder).collect()} == counts
+    assert {(r.sim, r.reaction): r.n for r in QUERIES["canonical_count_reaction_paths"](spark, folder).collect()} == counts
