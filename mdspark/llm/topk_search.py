@@ -13,9 +13,9 @@ each of which reads a part of the rows once and keeps a running top k per query;
 shuffled, and are read once per tile. The parts' lists are merged by a ranking window, which drops all
 but k rows of a query on the side of the parts before anything moves.
 
-Defined cases: vectors that are null, empty, of another dimension than the first usable one of the smallest
-id, that hold null or non-finite components, or a component beyond LARGEST after scaling (whose scores need
-not fit a long) take no part; equal scores go to the smaller id; every row but the query's own is a
+Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of
+different lengths have no inner product, so each length is searched by itself; components beyond LARGEST after
+scaling count as that, and scores beyond a long as the largest or smallest long; equal scores go to the smaller id; every row but the query's own is a
 candidate, so other rows of the query's id are too; each row with a query's id is a query with k results of
 its own, under the same query_id; fewer than k candidates give all; an empty table gives an empty result.
 """
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,14 +37,16 @@ RESOLUTIONS = (4, 16, 32, 48)
 BLOCK, CHUNK, SEEDS, TILE_BYTES = 512, 4096, 4096, 32 << 20
 #: Rows of a written shard, and shards at least (of rows that fill them a little).
 SHARD, LEAST_SHARDS, LEAST_ROWS = 65536, 24, 512
-LARGEST = 1 << 27
+#: Components count as this much at most, so that products and their sums fit 128 bits.
+LARGEST = 1 << 59
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v array<int>): components as floor(scale * x); rows that take no part are left out."""
+    """(vec_id, v array<bigint>): components as floor(scale * x); rows that take no part are left out."""
     v = F.col(vec_col)
-    good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(F.lit(float(scale)) * x.cast("double")) >= LARGEST))
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), v).where(good & F.col("vec_id").isNotNull()).select("vec_id", F.transform(vec_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int")).alias("v"))
+    good = v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))), F.lit(True))
+    bounded = lambda x: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), F.lit(float(scale)) * x.cast("double")))
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), v).where(good & F.col("vec_id").isNotNull()).select("vec_id", F.transform(vec_col, lambda x: F.floor(bounded(x)).cast("long")).alias("v"))
 
 
 def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -63,11 +65,13 @@ def statistics(v: np.ndarray) -> list[np.ndarray]:
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers: in doubles where these hold every sum, else in 64-bit integers."""
+    """Inner products of whole numbers: in doubles where these hold every sum, else in 64-bit integers, else in Python's, cut to a long."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[-1]
     if most < 2.0**53:
         return (v.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return v.astype(np.int64) @ q.astype(np.int64)
+    if most < 2.0**62:
+        return v.astype(np.int64) @ q.astype(np.int64)
+    return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in v.astype(object) @ q.astype(object)], np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -85,20 +89,20 @@ class Search:
 
     def __init__(self, rows: np.ndarray, v: np.ndarray, least: np.ndarray, k: int):
         self.rows, self.v, self.k, self.least = rows, v, k, least.astype(np.float64)
-        self.bounds = statistics(v)
+        self.bounds, self.sizes = statistics(v), np.linalg.norm(v.astype(np.float64), axis=1)
         self.scores = [np.zeros(0, np.int64)] * len(rows)
         self.ids = [np.zeros(0, np.int64)] * len(rows)
         self.pairs = self.scored = 0
 
     def add(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
         """Take in a chunk of candidates."""
-        theirs = statistics(v)
+        theirs, largest = statistics(v), float(np.linalg.norm(v.astype(np.float64), axis=1).max(initial=0))
         for lo in range(0, len(self.rows), BLOCK):
             hi = min(lo + BLOCK, len(self.rows))
             columns, alive = np.arange(len(rows)), None
             for own, other in zip(self.bounds, theirs):
                 bound = own[lo:hi] @ other[columns].T
-                ok = bound >= (self.least[lo:hi] - 1e-3 - 1e-9 * np.abs(self.least[lo:hi]))[:, None]
+                ok = bound >= (self.least[lo:hi] - 1e-3 - 1e-9 * np.abs(self.least[lo:hi]) - 1e-12 * self.sizes[lo:hi] * largest)[:, None]
                 alive = ok if alive is None else alive & ok
                 some = alive.any(0)
                 if not some.all():
@@ -142,7 +146,7 @@ def seeded(queries: DataFrame, seeds: tuple[np.ndarray, np.ndarray], dim: int, k
                     least[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], names=["row", "vec_id", "v", "least"])
 
-    return queries.mapInArrow(run, "row bigint, vec_id bigint, v array<int>, least bigint")
+    return queries.mapInArrow(run, "row bigint, vec_id bigint, v array<bigint>, least bigint")
 
 
 def search(rows: DataFrame, tile: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dim: int, k: int) -> DataFrame:
@@ -177,24 +181,27 @@ def search(rows: DataFrame, tile: tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return rows.mapInArrow(run, "query bigint, query_id bigint, vec_id bigint, score bigint")
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score); rows: (vec_id, v array<int>), queries: the condition's rows of it.
-
-    queries is a column expression over vec_id that says which rows are queries.
-    """
+def top_k(queries: Column, rows: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score); rows: (vec_id, v array<bigint>), queries: a condition over vec_id that says which are queries."""
     spark = rows.sparkSession
     n = rows.count()
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     if not n:
-        return spark.createDataFrame([], schema)
+        return out
     shards = max(-(-n // SHARD), min(LEAST_SHARDS, -(-n // LEAST_ROWS)))
     spread = rows.repartition(shards, F.xxhash64("vec_id", "v")).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
     rows = common.materialize(spread, "vectors")
-    dim = len(rows.orderBy("vec_id", "row").limit(1).collect()[0].v)
-    rows = rows.where(F.size("v") == dim)
+    for r in rows.select(F.size("v").alias("dim")).distinct().orderBy("dim").collect():
+        found = of_length(queries, rows.where(F.size("v") == r.dim), r.dim, k)
+        out = out if found is None else out.unionByName(found)
+    return out
+
+
+def of_length(queries: Column, rows: DataFrame, dim: int, k: int) -> DataFrame | None:
+    """top_k of (row, vec_id, v) whose vectors have this length; None without queries."""
     first = rows.orderBy(F.xxhash64("row"), "row").limit(SEEDS).collect()
-    seeds = np.array([r.row for r in first], np.int64), np.array([r.v for r in first], np.int32)
-    tiles = F.pmod(F.xxhash64("row", F.lit("tile")), F.lit(max(1, -(-rows.where(queries).count() * dim * 4 // TILE_BYTES)))).cast("int")
+    seeds = np.array([r.row for r in first], np.int64), np.array([r.v for r in first], np.int64)
+    tiles = F.pmod(F.xxhash64("row", F.lit("tile")), F.lit(max(1, -(-rows.where(queries).count() * dim * 8 // TILE_BYTES)))).cast("int")
     asked = common.materialize(seeded(rows.where(queries), seeds, dim, k).withColumn("tile", tiles), "queries")
     lists = None
     for r in asked.select("tile").distinct().orderBy("tile").collect():
@@ -203,7 +210,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20) -> DataFrame:
         found = common.materialize(search(rows, tile, dim, k), "found")
         lists = found if lists is None else lists.unionByName(found)
     if lists is None:
-        return spark.createDataFrame([], schema)
+        return None
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -213,10 +220,10 @@ def op1_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(64 * CAST(x AS DOUBLE)) >= 134217728)) = 0),
-s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-      FROM e q JOIN e c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(greatest(-576460752303423488.0, least(576460752303423488.0, 64 * CAST(x AS DOUBLE)))) AS HUGEINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(least(9223372036854775807, greatest(-9223372036854775808, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])))) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
 """

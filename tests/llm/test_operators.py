@@ -202,14 +202,22 @@ def test_top_k_ties_and_bad_vectors(spark):
     vectors = [(i, [1.0, 0.5, -0.25, 0.1]) for i in range(1, 30)] + [(0, [0.5, 0.5, 0.5, 0.5]), (20, [0.1, nan, 0.0, 0.0]), (40, None), (60, [1.0, inf, 0.0, 0.0]), (61, [None, 1.0, 1.0, 1.0]), (80, [-1.0, -1.0, -1.0, -1.0]), (None, [1.0, 1.0, 1.0, 1.0]), (100, [1e30, 0.0, 0.0, 0.0]), (120, [1.0])]
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").withColumn("block", F.lit(1))
     got = topk_search.top_k(F.col("vec_id") % 20 == 0, topk_search.usable(df)).orderBy("query_id", "rank").collect()
-    assert {r.query_id for r in got} == {0, 20, 80}
-    assert [r.vec_id for r in got if r.query_id == 0] == list(range(1, 21))
+    assert {r.query_id for r in got} == {0, 20, 80, 100}  # 120 is the only one of its length
+    assert [r.vec_id for r in got if r.query_id == 0] == [100, *range(1, 20)]  # a finite vector takes part however large
+    assert [r.score for r in got if r.query_id == 0][:1] == [(1 << 63) - 1]
     empty = topk_search.usable(df.where("false"))
     assert topk_search.top_k(F.col("vec_id") % 20 == 0, empty).collect() == []
     assert topk_search.top_k(F.col("vec_id") % 20 == 0, topk_search.usable(df.where("vec_id % 20 > 0"))).collect() == []
 
 
-@pytest.mark.parametrize("big", [1, 1 << 17])
+def test_top_k_searches_each_length(spark):
+    rows_ = [(0, [1.0, 2.0]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 1.0, 1.0]), (22, [3.0, 0.0])]
+    df = spark.createDataFrame(rows_, "vec_id bigint, embedding array<double>")
+    got = topk_search.top_k(F.col("vec_id") % 20 == 0, topk_search.usable(df)).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(0, 22, 3 << 12), (20, 21, 6 << 12)]
+
+
+@pytest.mark.parametrize("big", [1, 1 << 17, 1 << 35])
 def test_top_k_of_repeated_ids(spark, big):
     """Each row of a query's id has results of its own, among them the other rows of the id; large components stay exact."""
     r = random.Random(3)
@@ -220,7 +228,8 @@ def test_top_k_of_repeated_ids(spark, big):
     v = [(i, [int(np.floor(64 * x)) for x in e]) for i, e in rows_]
     for a, (i, q) in enumerate(v):
         if i % 20 == 0:
-            own = sorted((-sum(x * y for x, y in zip(q, c)), j) for b, (j, c) in enumerate(v) if a != b)[:20]
+            long = lambda s: max(-(1 << 63), min(s, (1 << 63) - 1))
+            own = sorted((-long(sum(x * y for x, y in zip(q, c))), j) for b, (j, c) in enumerate(v) if a != b)[:20]
             want.update((i, n, j, -s) for n, (s, j) in enumerate(own, 1))
     assert got == want
 
@@ -386,9 +395,7 @@ def dense_rates(p, tokens, goal, most, rounds=200_000):
     return np.square(q.T @ (rate * tokens) - goal * scale).sum() ** 0.5
 
 
-@pytest.mark.parametrize("targets", [[0.5, 0.3, 0.2], [0.97, 0.02, 0.01], [0.34, 0.33, 0.33], [1.0, 0.0, 0.0]])
-@pytest.mark.parametrize("sharp", [0.05, 0.4])
-@pytest.mark.parametrize("most", [1.2, 4.0])
+@pytest.mark.parametrize("targets,sharp,most", [([0.5, 0.3, 0.2], 0.05, 1.2), ([0.97, 0.02, 0.01], 0.4, 4.0), ([0.34, 0.33, 0.33], 0.4, 4.0), ([1.0, 0.0, 0.0], 0.05, 1.2)])
 def test_solver_against_a_dense_one(spark, targets, sharp, most):
     """Targets that can be met are met; of others the nearest totals are found, and the gap is the dense solver's."""
     r = np.random.default_rng(2)
