@@ -41,6 +41,26 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(0x100 + [x for x in range(256) if x not in shown].index(b)) for b in range(256)]
 
 
+# How a vocabulary file that this codec reads says that text is normalised, split and merged.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
+def check_spec(spec: dict) -> None:
+    """An error for a vocabulary whose text is treated in another way than this codec does."""
+    model = spec["model"]
+    off = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    off += ["model"] * (model.get("type") != "BPE") + ["end_of_word_suffix"] * (not model.get("end_of_word_suffix"))
+    off += [k for k, want in (("normalizer", NORMALIZER), ("pre_tokenizer", PRE_TOKENIZER), ("post_processor", None), ("decoder", None)) if spec.get(k) != want]
+    off += ["added_tokens"] * any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if off:
+        raise ValueError(f"this vocabulary is not of the kind that is encoded here: {', '.join(off)}")
+
+
 class BpeCodec:
     """A word-end byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
@@ -48,8 +68,9 @@ class BpeCodec:
         import regex
 
         spec = json.loads(spec)
+        check_spec(spec)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"] or ""
+        self.end = model["end_of_word_suffix"]
         self.vocab = vocab = model["vocab"]
         self.special = special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         top = max([*vocab.values(), *special.values()]) + 1

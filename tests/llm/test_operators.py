@@ -88,6 +88,32 @@ def test_bpe_matches_the_library(spark, awkward):
     assert [r.decoded for r in bpe.bpe_decode(out, SPEC).orderBy("doc_id", "decoded").collect()] == [r.decoded for r in out.orderBy("doc_id", "decoded").collect()]
 
 
+def test_other_vocabularies_are_refused():
+    import json
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="not of the kind"):
+        bpe.BpeCodec(bpe.read_spec(public_tokenizers.path("byte_bpe_50k.json")))
+    spec = json.loads(SPEC)
+    spec["normalizer"]["normalizers"].pop()
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.BpeCodec(json.dumps(spec))
+
+
+def test_digests_of_the_query(spark, tmp_path):
+    """Counts and digests against the library, of texts beyond the codec's blocks too."""
+    import hashlib
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_str(SPEC)
+    texts = [(1, "Some words, some more."), (2, None), (3, "long words " * 120_000), (4, "x" * 5000 + " é" * 50)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in bpe.op7_bpe(spark, str(tmp_path)).collect():
+        ids = ref.encode(dict(texts)[r.doc_id] or "", add_special_tokens=False).ids
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(ref.decode(ids, skip_special_tokens=False)))
+
+
 def test_exact_groups(spark, awkward):
     got = by_id(exact_dedup.exact_dedup(awkward))
     assert (got[2].keep_id, got[2].kept, got[2].group_size) == (1, False, 3)
