@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars, smiles
 from ..operators import quality, rdf, reactions, scene, species, thermo, topology
 from ..sources import readers, sinks, store
+from ..streaming import reactions as live
 from .worlds import BOX, REPLICAS, SIMS, SPECIES, World, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,19 +327,32 @@ def formula_smiles(w: World) -> DataFrame:
     return topology.formula_smiles(w.molecules)
 
 
-def trajectory_events(w: World) -> DataFrame:
-    """Every pair of adjacent trajectory frames as an event in which atoms 1 to 3 react."""
-    ids = F.array(*(F.lit(i).cast("bigint") for i in (1, 2, 3)))
-    return topology.adjacent_frames(w.frames).select("sim", "t1", "t2", F.lit(0).alias("cluster"), ids.alias("reactant_atom_ids"), ids.alias("product_atom_ids"))
+def first_events(w: World) -> DataFrame:
+    """The first event of each of the ten commonest reactions."""
+    found = store.materialize(events(w), "events")
+    top = reactions.top_reactions(reactions.reaction_path_table(found, SIMS), 10).select("reaction")
+    return reactions.first_reaction_occurrence(found).join(F.broadcast(top), "reaction", "left_semi")
 
 
-FRAME_PAIRS = "fp AS (SELECT sim, timestep AS t1, t2 FROM (SELECT sim, timestep, lead(timestep) OVER (PARTITION BY sim ORDER BY timestep) AS t2 FROM (SELECT DISTINCT sim, timestep FROM atoms)) WHERE t2 IS NOT NULL),\ntops AS (SELECT sim, timestep, max(atom_id) AS top FROM atoms GROUP BY sim, timestep)"
+#: Places that the atoms of the bond frames are given, by id and frame; the box is the trajectory's.
+PLACES = {"x": (37, 11), "y": (53, 7), "z": (71, 3)}
+FIRST_SQL = sql("", "rx", "ranks", "members", "elements").rstrip() + f""",
+firsts AS (SELECT rx.* FROM rx JOIN ranks USING (reaction) WHERE ranks.rank <= 10 QUALIFY row_number() OVER (PARTITION BY reaction ORDER BY sim, t1, cluster) = 1),
+ids AS (SELECT f.sim, f.t1, f.t2, f.cluster, c.side, m.atom_id FROM firsts f JOIN clusters c USING (sim, t1, t2, cluster) JOIN members m ON m.sim = f.sim AND m.mol_idx = c.mol_idx AND m.timestep = CASE c.side WHEN 1 THEN f.t1 ELSE f.t2 END),
+top AS (SELECT max(atom_id) AS m FROM bond_atoms)
+SELECT f.sim, f.t1, f.t2, f.cluster, s.side, a.atom_id + CASE s.side WHEN 2 THEN m ELSE 0 END AS scene_id, a.element, round((a.atom_id * 37 + a.timestep * 11) % 3500 / 100.0 + {BOX} * 0.675 * CASE s.side WHEN 1 THEN -1 ELSE 1 END, 6) AS x, i.atom_id IS NOT NULL AS in_reaction
+FROM firsts f CROSS JOIN (VALUES (1), (2)) s(side) CROSS JOIN top JOIN bond_atoms a ON a.sim = f.sim AND a.timestep = CASE s.side WHEN 1 THEN f.t1 ELSE f.t2 END
+LEFT JOIN ids i ON i.sim = f.sim AND i.t1 = f.t1 AND i.cluster = f.cluster AND i.side = s.side AND i.atom_id = a.atom_id"""
 
 
-@query("reaction_scene_atoms", sql("", "atoms").rstrip() + f",\n{FRAME_PAIRS}\n" + f"SELECT fp.sim, t1, t2, side, a.atom_id + CASE side WHEN 2 THEN greatest(ta.top, tb.top) ELSE 0 END AS scene_id, a.element, round(a.x + {BOX} * 0.675 * CASE side WHEN 1 THEN -1 ELSE 1 END, 6) AS x, a.atom_id <= 3 AS in_reaction FROM fp CROSS JOIN (VALUES (1), (2)) s(side) JOIN atoms a ON a.sim = fp.sim AND a.timestep = CASE side WHEN 1 THEN t1 ELSE t2 END JOIN tops ta ON ta.sim = fp.sim AND ta.timestep = t1 JOIN tops tb ON tb.sim = fp.sim AND tb.timestep = t2")
+@query("reaction_scene_atoms", FIRST_SQL)
 def reaction_scene_atoms(w: World) -> DataFrame:
-    out = scene.reaction_scene_atoms(trajectory_events(w), w.atoms, w.frames, w.elements)
-    return out.select("sim", "t1", "t2", "side", "scene_id", "element", F.round("x", 6).alias("x"), "in_reaction")
+    """Scenes of real events: all atoms of both frames, those that react marked."""
+    at = {c: F.pmod(F.col("atom_id") * i + F.col("timestep") * t, F.lit(3500)) / 100.0 for c, (i, t) in PLACES.items()}
+    atoms = w.bond_atoms.select("sim", "timestep", "frame_ord", "atom_id", "atom_type", *(v.alias(c) for c, v in at.items()))
+    frames = w.bond_frames.select("*", *(F.lit(v).alias(f"{c}{s}") for c in "xyz" for s, v in (("lo", 0.0), ("hi", BOX))))
+    out = scene.reaction_scene_atoms(first_events(w), atoms, frames, w.elements)
+    return out.select("sim", "t1", "t2", "cluster", "side", "scene_id", "element", F.round("x", 6).alias("x"), "in_reaction")
 
 
 @query("reaction_scene_bonds", sql("SELECT p.sim, t1, t2, side, atom_i + CASE side WHEN 2 THEN m ELSE 0 END AS i, atom_j + CASE side WHEN 2 THEN m ELSE 0 END AS j, CASE WHEN bond_order >= 2.5 THEN 3 WHEN bond_order >= 1.5 THEN 2 ELSE 1 END AS bond_type, row_number() OVER (PARTITION BY p.sim, t1, t2 ORDER BY side, atom_i, atom_j) AS bond_id FROM pairs p CROSS JOIN (VALUES (1), (2)) s(side) CROSS JOIN (SELECT max(atom_id) AS m FROM bond_atoms) JOIN bonds b ON b.sim = p.sim AND b.timestep = CASE side WHEN 1 THEN t1 ELSE t2 END", "pairs", "bonds", "bond_atoms"))
@@ -534,6 +548,18 @@ def dedupe_frames(w: World) -> DataFrame:
     return topology.dedupe_frames(frames).select("sim", "timestep", "frame_ord")
 
 
+@query("live_reactions")
+def live_reactions(w: World) -> DataFrame:
+    """The reactions of the bond files, read as a stream until its end; a simulation's last frame waits for a later one."""
+    files = w.bond_files
+    folder = files.first().path.rpartition("/")[0]
+    path = store.shared_path(w.spark, "live")
+    stream = live.stream_reactions(w.spark, folder, w.elements, sim=r"/sim=(\d+)/")
+    query = stream.writeStream.format("parquet").option("path", f"{path}/events").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return w.spark.read.schema(live.EVENTS).parquet(f"{path}/events")
+
+
 @query("rank_reactions", sql("SELECT reaction, total, CAST(rank AS INTEGER) AS rank FROM ranks", "ranks"))
 def rank_reactions(w: World) -> DataFrame:
     return reactions.rank_reactions(store.materialize(reactions.count_reaction_paths(events(w)), "counts"))
@@ -574,6 +600,8 @@ TYPES_SQL = sql("SELECT 'error' AS severity, sim, topic, 'unknown atom types: '
 TOPICS_SQL = sql("SELECT 'warning' AS severity, sim, CAST(NULL AS VARCHAR) AS topic, 'missing topics: ' || string_agg(topic, ', ' ORDER BY topic) AS message FROM (SELECT s.sim, t.topic FROM (SELECT DISTINCT sim FROM manifest) s CROSS JOIN (SELECT DISTINCT topic FROM manifest) t EXCEPT SELECT sim, topic FROM manifest) GROUP BY sim", "manifest")
 FILES_SQL = sql("SELECT 'error' AS severity, sim, topic, 'missing file: ' || path AS message FROM manifest WHERE sim = 2", "manifest")
 COLUMNS_SQL = sql("SELECT DISTINCT 'error' AS severity, sim, 'trajectory' AS topic, 'trajectory lacks: type, coordinates' AS message FROM atoms WHERE sim = 2", "atoms")
+SYMMETRY_SQL = sql("SELECT 'error' AS severity, sim, 'bonds' AS topic, 'timestep ' || timestep || ': ' || count(*) || ' one-sided bonds, such as ' || arg_min(atom_i, (atom_i, atom_j)) || '-' || arg_min(atom_j, (atom_i, atom_j)) AS message FROM bonds WHERE bond_order = 2 GROUP BY sim, timestep", "bonds")
+DANGLING_SQL = sql("SELECT 'error' AS severity, sim, 'bonds' AS topic, 'timestep ' || timestep || ': ' || count(*) || ' bonds to unknown atoms, such as ' || min(other) AS message FROM (SELECT sim, timestep, atom_j AS other FROM bonds UNION ALL SELECT sim, timestep, atom_i FROM bonds WHERE bond_order <> 2) WHERE other % 7 = 3 GROUP BY sim, timestep", "bonds")
 NO_ELEMENTS_SQL = "SELECT CASE n WHEN 0 THEN 'error' ELSE 'ok' END AS severity, CAST(NULL AS INTEGER) AS sim, CAST(NULL AS VARCHAR) AS topic, CASE n WHEN 0 THEN 'element_list is empty' ELSE 'no issues found' END AS message FROM (SELECT count(*) AS n FROM supplier)"
 
 
@@ -604,12 +632,12 @@ def directed(w: World) -> DataFrame:
     return one.unionByName(w.bonds.where("bond_order <> 2").select("sim", "timestep", F.col("atom_j").alias("atom_id"), F.col("atom_i").alias("other"), "bond_order"))
 
 
-@query("check_bond_symmetry", sql("SELECT 'error' AS severity, sim, 'bonds' AS topic, 'timestep ' || timestep || ': ' || count(*) || ' one-sided bonds, such as ' || arg_min(atom_i, (atom_i, atom_j)) || '-' || arg_min(atom_j, (atom_i, atom_j)) AS message FROM bonds WHERE bond_order = 2 GROUP BY sim, timestep", "bonds"))
+@query("check_bond_symmetry", SYMMETRY_SQL)
 def check_bond_symmetry(w: World) -> DataFrame:
     return quality.check_bond_symmetry(directed(w)).select(*FINDING)
 
 
-@query("check_dangling_bonds", sql("SELECT 'error' AS severity, sim, 'bonds' AS topic, 'timestep ' || timestep || ': ' || count(*) || ' bonds to unknown atoms, such as ' || min(other) AS message FROM (SELECT sim, timestep, atom_j AS other FROM bonds UNION ALL SELECT sim, timestep, atom_i FROM bonds WHERE bond_order <> 2) WHERE other % 7 = 3 GROUP BY sim, timestep", "bonds"))
+@query("check_dangling_bonds", DANGLING_SQL)
 def check_dangling_bonds(w: World) -> DataFrame:
     """Atoms whose id leaves 3 by 7 are missing from their frames."""
     return quality.check_dangling_bonds(directed(w), w.bond_atoms.where("atom_id % 7 <> 3")).select(*FINDING)
@@ -630,9 +658,10 @@ def check_trajectory_columns(w: World) -> DataFrame:
     return quality.check_trajectory_columns(headers(w)).select(*FINDING)
 
 
-@query("validation_report", " UNION ALL ".join(f"SELECT * FROM ({s})" for s in (FILES_SQL, TOPICS_SQL, TYPES_SQL, COLUMNS_SQL)))
+@query("validation_report", " UNION ALL ".join(f"SELECT * FROM ({s})" for s in (FILES_SQL, TOPICS_SQL, TYPES_SQL, COLUMNS_SQL, SYMMETRY_SQL, DANGLING_SQL)))
 def validation_report(w: World) -> DataFrame:
     found = [quality.check_element_list(w.elements), missing_files(w), quality.check_topic_consistency(w.manifest), unknown_types(w), quality.check_trajectory_columns(headers(w))]
+    found += [quality.check_bond_symmetry(directed(w)), quality.check_dangling_bonds(directed(w), w.bond_atoms.where("atom_id % 7 <> 3"))]
     return quality.validation_report(*found).select(*FINDING)
 
 

@@ -72,7 +72,7 @@ def live_reactions(frames: DataFrame, late: int = 0) -> DataFrame:
     return timed.groupBy("sim").transformWithStateInPandas(Reactions(), EVENTS, "Append", "EventTime")
 
 
-def stream_reactions(spark: SparkSession, folder: str, elements: DataFrame, late: int = 0) -> DataFrame:
-    """live_reactions of the bond files (..._R1 and so on) that appear in folder."""
+def stream_reactions(spark: SparkSession, folder: str, elements: DataFrame, late: int = 0, sim: str = r"_R(\d+)") -> DataFrame:
+    """live_reactions of the bond files that appear in folder; sim finds a simulation's number in a file's path."""
     spark.conf.set(*STATE_STORE)
-    return live_reactions(frame_molecules(stream_chunks(spark, folder, "# Timestep").drop("arrived"), elements), late)
+    return live_reactions(frame_molecules(stream_chunks(spark, folder, "# Timestep", sim).drop("arrived"), elements), late)
