@@ -142,9 +142,9 @@ def brute_removed(docs, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_SHARD, 1])
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_SHARD, 500, 1])
 def test_suffix_removal(spark, monkeypatch, hot):
-    """With shards sorted, and with all of them taken apart into windows."""
+    """With shards sorted, with large ones cut by what stands beside their gram, and with all taken apart into windows."""
     monkeypatch.setattr(suffix_dedup, "HOT_SHARD", hot)
     random.seed(6)
     words = ["".join(random.choices("abcde", k=random.randint(1, 7))) for _ in range(60)]
