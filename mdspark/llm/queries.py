@@ -24,6 +24,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_topk": topk_search.OP1_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op11_conversations": conversations.OP11_SQL,
 }
 
