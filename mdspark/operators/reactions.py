@@ -50,10 +50,12 @@ def reaction_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return every.groupBy(*PAIR).applyInPandas(run, "sim int, t1 bigint, t2 bigint, side int, mol_idx int, cluster int")
 
 
-def cluster_sides(mols: DataFrame, prune: bool = True) -> DataFrame:
+def cluster_sides(mols: DataFrame, prune: bool = True, held: bool = False) -> DataFrame:
     """(sim, t1, t2, cluster, reactants, products, reactant_atom_ids, product_atom_ids): every cluster; with prune, without
-    those of one molecule that is the same in both frames. cluster orders the clusters of a pair of frames."""
-    mols = materialize(mols.select("sim", "timestep", "mol_idx", "label", "atom_ids"), "molecules")
+    those of one molecule that is the same in both frames. cluster orders the clusters of a pair of frames. held: mols is a
+    written table, and not written again."""
+    mols = mols.select("sim", "timestep", "mol_idx", "label", "atom_ids")
+    mols = mols if held else materialize(mols, "molecules")
     pairs = materialize(adjacent_frames(mols), "pairs")
     if prune:
         nodes = open_molecules(mols, pairs)
@@ -76,10 +78,10 @@ def cluster_sides(mols: DataFrame, prune: bool = True) -> DataFrame:
     return grouped.select(*PAIR, F.col("place").cast("int").alias("cluster"), "reactants", "products", "reactant_atom_ids", "product_atom_ids")
 
 
-def reaction_events(mols: DataFrame, prune: bool = True) -> DataFrame:
+def reaction_events(mols: DataFrame, prune: bool = True, held: bool = False) -> DataFrame:
     """(sim, t1, t2, cluster, reaction, reactants, products, reactant_atom_ids, product_atom_ids): every cluster whose
     sides differ as sets. cluster orders the events of a pair of frames."""
-    events = cluster_sides(mols, prune).where(changed(F.col("reactants"), F.col("products")))
+    events = cluster_sides(mols, prune, held).where(changed(F.col("reactants"), F.col("products")))
     return events.select(*PAIR, "cluster", format_reaction(F.col("reactants"), F.col("products")).alias("reaction"), "reactants", "products", "reactant_atom_ids", "product_atom_ids")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import components
 from ..functions.scalars import bond_type, hill
-from ..functions.smiles import write_smiles
+from ..functions.smiles import hill_text, write_smiles
 from ..sources.store import materialize, numbered
 
 FRAME = ["sim", "timestep"]
@@ -143,16 +143,53 @@ def molecule_signatures(members: DataFrame, atoms: DataFrame, bonds: DataFrame)
 def molecules(atoms: DataFrame, bonds: DataFrame, label: str = "canonical", labeler=write_smiles) -> DataFrame:
     """(sim, timestep, mol_idx, label, formula, atom_ids, n_atoms), one row per molecule.
 
-    label: 'formula' takes the formula; 'canonical' calls labeler(elements, bonds), which writes canonical SMILES, once per
-    distinct signature (few, whatever the number of molecules); any such function can be given.
+    label: 'formula' takes the formula; 'canonical' calls labeler(elements, bonds), which writes canonical SMILES, once in
+    each task for each distinct molecule; any such function can be given. A frame's atoms and bonds meet in one task,
+    where its components, formulas and labels are found together; molecules_of_members is for larger frames.
     """
-    members = molecule_components(atoms, bonds)
-    if label == "formula":
-        own = members.join(atoms.select(*FRAME, "atom_id", "element"), [*FRAME, "atom_id"])
-        counts = own.groupBy(*FRAME, "mol_idx", "element").agg(F.count("*").cast("int").alias("n"), F.collect_list("atom_id").alias("ids"))
-        both = counts.groupBy(*FRAME, "mol_idx").agg(F.collect_list(F.struct("element", "n")).alias("c"), F.sort_array(F.flatten(F.collect_list("ids"))).alias("atom_ids"))
-        named = both.select(*FRAME, "mol_idx", hill(F.col("c")).alias("formula"), "atom_ids")
-        return named.select(*FRAME, "mol_idx", F.col("formula").alias("label"), "formula", "atom_ids", F.size("atom_ids").alias("n_atoms"))
+    nodes = atoms.select(*FRAME, F.col("atom_id").alias("i"), F.lit(None).cast("bigint").alias("j"), F.lit(0).alias("t"), F.coalesce("element", F.lit("?")).alias("element"))
+    edges = bonds.select(*FRAME, F.col("atom_i").alias("i"), F.col("atom_j").alias("j"), bond_type(F.col("bond_order")).alias("t"), F.lit(None).cast("string").alias("element"))
+    known: dict = {}
+    schema = "sim int, timestep bigint, mol_idx int, label string, formula string, atom_ids array<bigint>, n_atoms int"
+
+    def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        bonded = t["j"].notna().to_numpy()
+        ids, first = np.unique(t["i"].to_numpy()[~bonded], return_index=True)
+        names = t["element"].to_numpy()[~bonded][first].tolist()
+        i, j, kind = t["i"].to_numpy()[bonded], t["j"].to_numpy()[bonded].astype(np.int64), t["t"].to_numpy()[bonded]
+        inside = np.isin(i, ids) & np.isin(j, ids)
+        one, two, kind = np.searchsorted(ids, i[inside]), np.searchsorted(ids, j[inside]), kind[inside]
+        root = components(len(ids), one, two)
+        heads, sizes = np.unique(root, return_counts=True)
+        members = np.argsort(root, kind="stable")
+        ends = np.cumsum(sizes)
+        of = np.searchsorted(heads, root[one]) if len(one) else one
+        by = np.argsort(of, kind="stable")
+        edge_ends = np.cumsum(np.bincount(of, minlength=len(heads)))
+        labels, formulas, lists = [], [], []
+        for m, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist())):
+            own = members[end - size : end]  # by atom id
+            elements = tuple(names[k] for k in own)
+            lists.append(ids[own])
+            lines = ()
+            if label != "formula" and size > 1:
+                at = {k: n for n, k in enumerate(own.tolist())}
+                lines = tuple(sorted({(*sorted((at[one[e]], at[two[e]])), int(kind[e])) for e in by[edge_ends[m - 1] if m else 0 : edge_ends[m]].tolist()}))
+            signature = (elements, lines)
+            if signature not in known:
+                formula = hill_text(elements)
+                known[signature] = (formula, formula if label == "formula" else labeler(list(elements), list(lines)))
+            formula, text = known[signature]
+            formulas.append(formula)
+            labels.append(text)
+        return pd.DataFrame({"sim": key[0], "timestep": key[1], "mol_idx": np.arange(len(heads)), "label": labels, "formula": formulas, "atom_ids": lists, "n_atoms": sizes})
+
+    return nodes.unionByName(edges).groupBy(*FRAME).applyInPandas(run, schema)
+
+
+def molecules_of_members(members: DataFrame, atoms: DataFrame, bonds: DataFrame, labeler=write_smiles) -> DataFrame:
+    """The same from (sim, timestep, atom_id, mol_idx), by joins: no task holds a frame, and each distinct signature is
+    labelled once."""
     signed = materialize(molecule_signatures(members, atoms, bonds), "signatures")
     labels = label_signatures(signed, labeler)
     counts = F.transform(F.array_distinct("elements"), lambda e: F.struct(e.alias("element"), F.size(F.filter("elements", lambda x: x == e)).alias("n")))

@@ -45,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def events(w: World) -> DataFrame:
-    return reactions.reaction_events(w.molecules)
+    return reactions.reaction_events(w.molecules, held=True)
 
 
 # Sources and sinks -----------------------------------------------------------------------------------
@@ -200,7 +200,7 @@ def molecule_label(w: World) -> DataFrame:
 @query("format_reaction", sql("SELECT sim, t1, t2, cluster, reaction FROM sides", "sides"))
 def format_reaction(w: World) -> DataFrame:
     """Every cluster of linked molecules, changed or not."""
-    both = reactions.cluster_sides(w.molecules, prune=False)
+    both = reactions.cluster_sides(w.molecules, prune=False, held=True)
     return both.select("sim", "t1", "t2", "cluster", scalars.format_reaction(F.col("reactants"), F.col("products")).alias("reaction"))
 
 
@@ -280,7 +280,7 @@ def select_elements(w: World) -> DataFrame:
 
 @query("changed_reactions", sql("SELECT sim, t1, t2, cluster FROM rx", "rx"))
 def changed_reactions(w: World) -> DataFrame:
-    both = reactions.cluster_sides(w.molecules, prune=False)
+    both = reactions.cluster_sides(w.molecules, prune=False, held=True)
     return both.where(scalars.changed(F.col("reactants"), F.col("products"))).select("sim", "t1", "t2", "cluster")
 
 

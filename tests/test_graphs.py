@@ -97,3 +97,15 @@ def test_repeated_steps_stand_for_every_combination(spark):
             want.append((parameter, 0.0, round(float(np.mean(x)), 9) if x else None, round(float(np.std(x, ddof=1)), 9) if len(x) > 1 else 0.0))
     key = lambda x: (x[0], x[1], x[2] is None, x[2] or 0, x[3])
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_molecules_by_frame_are_molecules_by_joins(spark):
+    r = np.random.default_rng(9)
+    atoms = [(1, t, i, str(r.choice(["C", "H", "O"]))) for t in range(3) for i in range(40)]
+    bonds = [(1, t, int(min(a, b)), int(max(a, b)), float(r.uniform(0.5, 3))) for t in range(3) for a, b in r.integers(0, 42, (30, 2)) if a != b]
+    a = spark.createDataFrame(atoms, f"{ATOM}, element string")
+    b = spark.createDataFrame(bonds, f"{BOND}, bond_order double").dropDuplicates(["timestep", "atom_i", "atom_j"]).cache()
+    rows = lambda df: sorted((x.timestep, x.mol_idx, x.label, x.formula, x.atom_ids, x.n_atoms) for x in df.collect())
+    one = rows(topology.molecules(a, b))
+    assert one == rows(topology.molecules_of_members(topology.molecule_components(a, b), a, b))
+    assert [x[3] for x in one] == [x[2] for x in rows(topology.molecules(a, b, "formula"))]
