@@ -550,7 +550,7 @@ def dedupe_frames(w: World) -> DataFrame:
 
 @query("live_reactions")
 def live_reactions(w: World) -> DataFrame:
-    """The reactions of the bond files, read as a stream until its end; a simulation's last frame waits for a later one."""
+    """The reactions of the bond files, read as a stream until its end, whose last watermark settles every frame."""
     files = w.bond_files
     folder = files.first().path.rpartition("/")[0]
     path = store.shared_path(w.spark, "live")

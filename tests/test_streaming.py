@@ -73,3 +73,16 @@ def test_live_reactions_are_the_batch_ones(spark, tmp_path, history):
     for sim, _, _, _, reaction, n in seen:
         last[sim, reaction] = max(n, last.get((sim, reaction), 0))
     assert last == counts
+
+
+def test_live_query_equals_the_batch_query(spark):
+    import os
+
+    from mdspark.plans.queries import QUERIES
+
+    from .conftest import DATA
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    live = sorted(tuple(r)[:5] for r in QUERIES["live_reactions"](spark, DATA).collect())
+    assert live == sorted(tuple(r) for r in QUERIES["canonical_reaction_events"](spark, DATA).collect())
