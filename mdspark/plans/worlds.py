@@ -108,9 +108,10 @@ class World:
     # The same as text files -------------------------------------------------------------------------
 
     def write_text(self, df: DataFrame, name: str) -> DataFrame:
-        """(sim, value) rows as one folder of text per simulation, ordered by ord; returns (sim, path)."""
+        """(sim, value) rows as one folder of text per simulation, ordered by ord and line; rows of one ord are in one file. Returns (sim, path)."""
         path = store.shared_path(self.spark, name)
-        df.repartitionByRange("sim", "ord").sortWithinPartitions("sim", "ord").select("sim", "value").write.partitionBy("sim").text(path)
+        order = ["sim", "ord", *(["line"] if "line" in df.columns else [])]
+        df.repartitionByRange("sim", "ord").sortWithinPartitions(*order).select("sim", "value").write.partitionBy("sim").text(path)
         sims = sorted({int(re.search(r"/sim=(\d+)/", f)[1]) for f in self.spark.read.text(path).inputFiles()})
         return self.spark.createDataFrame([(i, f"{path}/sim={i}") for i in sims], "sim int, path string")
 
@@ -140,16 +141,17 @@ class World:
         near = both.groupBy("sim", "timestep", "atom_id").agg(F.sort_array(F.collect_list(F.struct("o", "bond_order"))).alias("b"))
         row = self.bond_atoms.join(near, ["sim", "timestep", "atom_id"], "left").withColumn("b", F.coalesce("b", F.expr("CAST(array() AS array<struct<o:bigint,bond_order:double>>)")))
         line = F.concat_ws(" ", F.col("atom_id").cast("string"), F.col("atom_type").cast("string"), F.size("b").cast("string"), F.transform("b", lambda x: x.o.cast("string")), F.lit("0"), F.transform("b", lambda x: x.bond_order.cast("string")), F.lit("0 0 0"))
-        frame = row.groupBy("sim", "timestep").agg(F.sort_array(F.collect_list(F.struct("atom_id", line.alias("line")))).alias("l"))
-        text = F.concat(F.lit("# Timestep "), "timestep", F.lit("\n#\n# Number of particles "), F.size("l"), F.lit("\n#\n"), F.array_join(F.transform("l", lambda x: x.line), "\n"))
-        return self.write_text(frame.select("sim", F.col("timestep").alias("ord"), text.alias("value")), "bonds")
+        head = self.bond_atoms.groupBy("sim", "timestep").agg(F.count("*").alias("n"))
+        top = F.concat(F.lit("# Timestep "), "timestep", F.lit("\n#\n# Number of particles "), "n", F.lit("\n#"))
+        body = row.select("sim", F.col("timestep").alias("ord"), F.col("atom_id").alias("line"), line.alias("value"))
+        return self.write_text(body.unionByName(head.select("sim", F.col("timestep").alias("ord"), F.lit(-1).cast("bigint").alias("line"), top.alias("value"))), "bonds")
 
     @cached_property
     def trajectory_files(self) -> DataFrame:
         line = F.concat_ws(" ", *(F.col(c).cast("string") for c in ("atom_id", "atom_type", "q", "x", "y", "z")))
-        frame = self.atoms.groupBy("sim", "timestep").agg(F.sort_array(F.collect_list(F.struct("atom_id", line.alias("line")))).alias("l"))
-        text = F.concat(F.lit("ITEM: TIMESTEP\n"), "timestep", F.lit("\nITEM: NUMBER OF ATOMS\n"), F.size("l"), F.lit(f"\nITEM: BOX BOUNDS pp pp pp\n0.0 {BOX}\n0.0 {BOX}\n0.0 {BOX}\nITEM: ATOMS id type q xu yu zu\n"), F.array_join(F.transform("l", lambda x: x.line), "\n"))
-        return self.write_text(frame.select("sim", F.col("timestep").alias("ord"), text.alias("value")), "trajectory")
+        top = F.concat(F.lit("ITEM: TIMESTEP\n"), "timestep", F.lit("\nITEM: NUMBER OF ATOMS\n"), "n_atoms", F.lit(f"\nITEM: BOX BOUNDS pp pp pp\n0.0 {BOX}\n0.0 {BOX}\n0.0 {BOX}\nITEM: ATOMS id type q xu yu zu"))
+        body = self.atoms.select("sim", F.col("timestep").alias("ord"), F.col("atom_id").alias("line"), line.alias("value"))
+        return self.write_text(body.unionByName(self.frames.select("sim", F.col("timestep").alias("ord"), F.lit(-1).cast("bigint").alias("line"), top.alias("value"))), "trajectory")
 
     @cached_property
     def manifest(self) -> DataFrame:

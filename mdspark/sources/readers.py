@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,66 +90,63 @@ def read_frames(spark: SparkSession, files: DataFrame, header: str) -> DataFrame
 
     A task's part of a file begins anywhere. Lines before its first header belong to a frame of an earlier part, and its
     last frame may go on in the next: these pieces, two for each part, are put together by file; all other frames
-    are whole where they are read. Lines before a file's first header are a frame without one.
+    are whole where they are read. Lines before a file's first header are a frame without one. Frames are written once,
+    as every table of a file is made from them.
     """
-    names = ["file", "ord", "piece", "value"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []  # lines since the last header of one part of a file
-
-        def cut(t: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-            """Frames of lines of one part, and the lines from the last header on."""
-            t = t.combine_chunks()
-            starts = pc.indices_nonzero(pc.match_substring_regex(t.column("value"), header)).to_pylist()
-            first = [] if starts and starts[0] == 0 else [0]
-            bounds = first + starts + ([t.num_rows] if last else [])
-            if len(bounds) < 2:
-                return None, t
-            lines = t.column("value").combine_chunks()
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lines), "\n")
-            n = len(bounds) - 1
-            at = pa.array(bounds[:-1])
-            whole = pa.array([not (k == 0 and first) and not (last and k == n - 1) for k in range(n)])
-            none = pa.scalar(None, pa.string())
-            out = pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(at) for c in ("file", "ord")] + [pc.if_else(whole, none, text), pc.if_else(whole, text, none)], names=names)
-            return out, t.slice(bounds[-1])
-
-        def parts(b: pa.RecordBatch) -> Iterator[pa.Table]:
-            t = pa.Table.from_batches([b])
-            key = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            edges = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
-            for lo, hi in zip(edges, edges[1:]):
-                yield t.slice(lo, hi - lo)
-
-        place = lambda t: tuple(t.column(c)[0].as_py() for c in ("file", "block"))
+        place: tuple[int, int] | None = None
+        text: list[str] = []  # of the open frame, batch by batch
+        begin, headed = 0, False
+        out: list[tuple[int, int, str | None, str | None]] = []
+
+        def close(whole: bool) -> None:
+            if text:
+                value = "\n".join(text)
+                out.append((place[0], begin, None if whole else value, value if whole else None))
+                text.clear()
+
+        def flush() -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["file", "ord", "piece", "value"])
+            out.clear()
+            return batch
+
         for b in batches:
             if not b.num_rows:
                 continue
-            for t in parts(b):
-                if held and place(held[0]) != place(t):
-                    out, _ = cut(pa.concat_tables(held), True)
-                    held = []
-                    if out is not None:
-                        yield out
-                held.append(t)
-            out, rest = cut(pa.concat_tables(held), False)
-            held = [rest]
-            if out is not None:
-                yield out
-        if held:
-            out, _ = cut(pa.concat_tables(held), True)
-            if out is not None:
-                yield out
+            file, block, order, lines = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+            starts = np.flatnonzero(pc.match_substring_regex(lines, header).to_numpy(zero_copy_only=False))
+            edges = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+            bounds = np.unique(np.concatenate([[0], edges, starts, [b.num_rows]])).astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), lines), "\n").to_pylist()
+            first = set(starts.tolist())
+            for at, value in zip(bounds[:-1].tolist(), joined):
+                here = int(file[at]), int(block[at])
+                if here != place:  # a part's end: its last frame may go on
+                    close(False)
+                    place, begin, headed = here, int(order[at]), at in first
+                elif at in first:
+                    close(headed)
+                    begin, headed = int(order[at]), True
+                text.append(value)
+            if out:
+                yield flush()
+        close(False)
+        if out:
+            yield flush()
 
     lines, held_by = raw_text(spark, files)
-    pieces = lines.mapInArrow(run, "file string, ord bigint, piece string, value string")
+    ids = held_by.select("sim", F.xxhash64("file").alias("file"))
+    pieces = lines.select(F.xxhash64("file").alias("file"), "block", "ord", "value").mapInArrow(run, "file bigint, ord bigint, piece string, value string")
+    pieces = materialize(pieces, "frames")
     broken = pieces.where("piece IS NOT NULL").withColumn("headed", F.col("piece").rlike(header))
     number = F.sum(F.col("headed").cast("int")).over(Window.partitionBy("file").orderBy("ord"))
     joined = broken.withColumn("frame", number).groupBy("file", "frame").agg(F.min("ord").alias("frame_ord"), F.sort_array(F.collect_list(F.struct("ord", "piece"))).alias("v"))
     text = F.array_join(F.transform("v", lambda x: x.piece), "\n")
     # pieces have no value, so that nothing a parser raises is evaluated on them
     every = pieces.where("value IS NOT NULL").select("file", F.col("ord").alias("frame_ord"), "value").unionByName(joined.select("file", "frame_ord", text.alias("value")))
-    return every.join(held_by, "file").select("sim", "frame_ord", "value")
+    return every.join(F.broadcast(ids), "file").select("sim", "frame_ord", "value")
 
 
 # Species ---------------------------------------------------------------------------------------------
