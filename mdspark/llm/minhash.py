@@ -7,7 +7,8 @@ of the XOR), corrected for the 1 in 16 that agree by chance; pairs whose estimat
 errors below the threshold are confirmed on the full sets. At Jaccard 0.8 a pair is missed with
 probability below 1e-6.
 
-Texts with equal sets are one node, named by a row of it. In each bucket every node is first paired with the bucket's smallest
+Texts with equal sets are one node, named by a row of it. Only the signatures of nodes that share a
+bucket move: of the others the band keys do, once or twice. In each bucket every node is first paired with the bucket's smallest
 node only, then, in buckets that still hold several components, with its neighbours in a few random
 orders; both are linear in the bucket and join nearly all that belongs together. Only then each node
 outside a bucket's main component meets all the bucket's nodes of other components, block by block of
@@ -309,12 +310,15 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets are one node, named by its first row
     equal = common.materialize(some.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")), "equal")
-    nodes = some.join(equal.select(F.col("first.row").alias("row")), "row").select(F.col("row").alias("rep"), "doc_id", "digest", "n_shingles", "bands", "packed", "fine")
-    nodes = common.materialize(nodes, "nodes")
-    entries = nodes.select("rep", F.explode("bands").alias("key"))
+    n_nodes = equal.count()
+    again = common.join_hot(some.select("digest", "row"), equal.where("copies > 1").select("digest", "copies", F.col("first.row").alias("rep")), "digest", "copies", signed.count())
+    entries = common.matched(some, again.where("row <> rep").select("row"), "left_anti", "row").select(F.col("row").alias("rep"), F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most"), F.count("*").alias("n")).where("hub <> most").select("key", "hub", "n")
     hubs = common.materialize(hubs, "hubs")
-    shared = common.materialize(common.join_hot(entries, hubs, "key", "n", nodes.count()).select("key", "rep", "hub").distinct(), "buckets")
+    shared = common.materialize(common.join_hot(entries, hubs, "key", "n", n_nodes).select("key", "rep", "hub").distinct(), "buckets")
+    # signatures move and are written again for nodes that share a bucket only
+    nodes = common.matched(some.withColumnRenamed("row", "rep"), shared.select("rep").distinct(), "left_semi", "rep")
+    nodes = common.materialize(nodes.select("rep", "doc_id", "digest", "n_shingles", "bands", "packed", "fine"), "nodes")
     seen = nodes.select("rep", "n_shingles", "packed", "fine")
     least = least_estimate(percent)
 
@@ -332,7 +336,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
         labelled = shared.join(found, shared.rep == found.node, "left").select("key", "rep", "hub", F.coalesce("component", "rep").alias("c"))
         mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("c"))).alias("main")).where("lo <> hi").select("key", "main", "size")
         mixed = common.materialize(mixed, "mixed")
-        rest = common.materialize(common.join_hot(labelled, mixed, "key", "size", nodes.count()).select("key", "rep", "c", "main", "size"), "rest")
+        rest = common.materialize(common.join_hot(labelled, mixed, "key", "size", n_nodes).select("key", "rep", "c", "main", "size"), "rest")
         if turn <= RANDOM_TURNS:
             pairs = neighbours(rest, turn)
         else:
@@ -349,7 +353,7 @@ def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: st
     heads = named.groupBy("component").agg(F.min("first").alias("head"), F.count("*").alias("n"))
     heads = common.materialize(heads, "heads")
     # by digest, what every row of it gets
-    told = common.materialize(common.join_hot(named, heads, "component", "n", nodes.count()).select("digest", "copies", "head"), "told")
+    told = common.materialize(common.join_hot(named, heads, "component", "n", n_nodes).select("digest", "copies", "head"), "told")
     linked = common.join_hot(some, told, "digest", "copies", signed.count()).select(*carry, "doc_id", "n_shingles", "row", "head")
     alone = signed.where("n_shingles = 0 OR doc_id IS NULL").select(*carry, "doc_id", "n_shingles", "row", F.struct("doc_id", "row").alias("head"))
     out = linked.unionByName(alone)

@@ -214,6 +214,25 @@ def test_near_duplicates(spark):
     assert got == brute_components(texts, 80, 4)
 
 
+def test_signatures_without_a_shared_bucket_stay(spark, monkeypatch):
+    """Beside the signatures of all rows, only those of nodes that share a bucket are written."""
+    random.seed(9)
+    texts = {i: " ".join(random.choices([f"w{j}" for j in range(5000)], k=80)) for i in range(60)}
+    texts |= {60: texts[0] + " end", 61: texts[1] + " end", 62: texts[2], 63: texts[2]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    written, write = [], common.materialize
+
+    def told(df, name="step"):
+        out = write(df, name)
+        written.append(out.count() if "fine" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(common, "materialize", told)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 80, 4).collect()}
+    assert got == brute_components(texts, 80, 4)
+    assert [n for n in written if n] == [64, 4]
+
+
 def test_estimates_follow_similarity(spark):
     a, b = set(range(300)), set(range(60, 360))
     h = lambda s: np.sort(minhash.mix64(np.array(sorted(s), np.uint64)))
