@@ -6,9 +6,11 @@ import itertools
 import os
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +161,52 @@ def test_suffix_removal(spark, monkeypatch, hot):
     assert got == brute_removed(docs)
 
 
+def test_pieces_hold_each_window_once():
+    """Pieces of short, empty and repeated texts: every window in one piece, with its gram inside; keys are of their bytes alone."""
+    random.seed(11)
+    raws = [bytes(random.choices(b"abc", k=random.choice([0, 1, 7, 49, 50, 51, 90, 400]))) for _ in range(40)] + [b"", b"z" * 200, b"ab" * 70]
+    raws += raws[5:20]
+    p, whole, keys = suffix_dedup.Pieces(raws, 50), b"".join(raws), ({}, {})
+    windows = [(t, w) for t, a, b in zip(p.text.tolist(), p.first.tolist(), p.last.tolist()) for w in range(a, b + 1)]
+    offsets = np.cumsum([0, *map(len, raws)]).tolist()
+    assert windows == [(t, offsets[t] + i) for t, r in enumerate(raws) for i in range(len(r) - 49)]
+    assert ((p.last <= p.gram) & (p.gram <= p.first + 42)).all()
+    for side, has, key, lo, hi in ((0, p.has_left, p.left, 21, 8), (1, p.has_right, p.right, 0, 29)):
+        for g, k in zip(p.gram[has].tolist(), key[has].tolist()):
+            assert keys[side].setdefault(k, whole[g - lo : g + hi]) == whole[g - lo : g + hi]
+        assert len(set(keys[side].values())) == len(keys[side])
+
+
+def test_pieces_cost_few_calls():
+    """Cutting a group costs at most four calls from Python for each piece that it keeps (eleven before)."""
+
+    class Caught:
+        def groupBy(self, *_):
+            return self
+
+        def cogroup(self, other):
+            return self
+
+        def applyInArrow(self, run, schema):
+            return run
+
+    random.seed(12)
+    words = ["".join(random.choices("abcdefgh", k=random.randint(1, 8))) for _ in range(2000)]
+    docs = pa.table({"doc_id": list(range(40)), "grp": pa.array([0] * 40, pa.int32()), "text": [" ".join(random.choices(words, k=600)) for _ in range(40)]})
+    p = suffix_dedup.Pieces([t.encode() for t in docs.column("text").to_pylist()], 50)
+    known = np.unique(np.concatenate([p.left[p.has_left], p.right[p.has_right]]) & suffix_dedup.UPPER)
+    repeated = pa.table({"grp": pa.array([0], pa.int32()), "keys": pa.array([suffix_dedup._packed(known)], pa.binary())})
+    run, calls = suffix_dedup.cut_pieces(Caught(), Caught(), 12, 50), []
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event in ("call", "c_call") else None)
+    try:
+        out = run((pa.scalar(0),), docs, repeated)
+    finally:
+        sys.setprofile(None)
+    n = len(np.frombuffer(next(r for r in out.to_pylist() if r["n_bytes"] == -1)["b"], np.int32))
+    assert 0.8 * len(p.first) < n <= len(p.first)
+    assert len(calls) < 4 * len(p.first)
+
+
 def test_suffix_arrays():
     r = np.random.default_rng(1)
     for k in range(300):
