@@ -145,7 +145,7 @@ def train(df: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS, i
     tiers = [tied(counts, F.col(f"n{i}"), F.col("n0"), n.get(k, 0), n.get(names[0], 0)) for i, k in enumerate(names) if i]
     drawn = [tuple(r) for r in sample.select("domain", *(weight(t).alias(f"x{i}") for i, t in enumerate(tiers))).collect()]
     drawn.sort()
-    x, y = np.array([r[1:] for r in drawn], float).reshape(len(drawn), len(tiers)), np.array([names.index(r[0]) for r in drawn])
+    x, y = np.array([r[1:] for r in drawn], float).reshape(len(drawn), len(tiers)), np.array([names.index(r[0]) for r in drawn], int)
     shares = np.array([total.get(k, 0) + 0.5 for k in names])
     return Classifier(tiers, softmax(x, y, len(names), shares / shares.sum()))
 

@@ -600,6 +600,12 @@ def test_stages_of_an_empty_table(spark):
         assert stage(spark, stage_rows(spark).where("false"), DATA).collect() == [], name
 
 
+def test_mixing_of_an_empty_table_beside_labels(spark):
+    """Labels of documents that are not there teach nothing, and no row comes out."""
+    labels = spark.createDataFrame([(i, "good" if i % 3 else "toxic") for i in range(9)], "doc_id bigint, domain string")
+    assert mixing.mix(spark.createDataFrame([], "doc_id bigint, text string"), labels).collect() == []
+
+
 @data
 def test_mixing_stage_follows_the_rates(spark):
     import corpus_pipeline
