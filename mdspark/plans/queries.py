@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, smiles
-from ..operators import quality, rdf, reactions, scene, species, thermo, topology
+from ..operators import packed, quality, rdf, reactions, scene, species, thermo, topology
 from ..sources import readers, sinks, store
 from ..streaming import reactions as live
 from .worlds import BOX, REPLICAS, SIMS, SPECIES, World, sql
@@ -45,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def events(w: World) -> DataFrame:
-    return reactions.reaction_events(w.molecules, held=True)
+    return reactions.reaction_events(w.packed_molecules)
 
 
 # Sources and sinks -----------------------------------------------------------------------------------
@@ -174,8 +174,7 @@ def minimum_image_distance(w: World) -> DataFrame:
 
 @query("hill_formula", sql("SELECT * FROM formulas", "formulas"))
 def hill_formula(w: World) -> DataFrame:
-    members = topology.molecule_components(w.bond_atoms, w.bonds)
-    return topology.hill_formulas(members.join(w.bond_atoms, ["sim", "timestep", "atom_id"]).select("sim", "timestep", "mol_idx", "element"))
+    return topology.molecule_formulas(w.packed_atoms, w.bonds)
 
 
 SIGNATURE = sql("""SELECT sim, timestep, mol_idx, string_agg(element, ',' ORDER BY atom_id) || '|' || coalesce(any_value(lines), '') AS signature
@@ -194,20 +193,19 @@ def molecule_signature(w: World) -> DataFrame:
 
 @query("molecule_label")
 def molecule_label(w: World) -> DataFrame:
-    return topology.molecules(w.bond_atoms, w.bonds).select("sim", "timestep", "mol_idx", "label", "formula")
+    return topology.molecules(w.packed_atoms, w.bonds).select("sim", "timestep", "mol_idx", "label", "formula")
 
 
 @query("format_reaction", sql("SELECT sim, t1, t2, cluster, reaction FROM sides", "sides"))
 def format_reaction(w: World) -> DataFrame:
     """Every cluster of linked molecules, changed or not."""
-    both = reactions.cluster_sides(w.molecules, prune=False, held=True)
-    return both.select("sim", "t1", "t2", "cluster", scalars.format_reaction(F.col("reactants"), F.col("products")).alias("reaction"))
+    return reactions.every_cluster(w.packed_molecules)
 
 
 @query("smiles_formula", sql("SELECT sim, timestep, mol_idx, formula FROM formulas", "formulas"))
 def smiles_formula(w: World) -> DataFrame:
     """Formulas read back from the molecules' SMILES."""
-    mols = topology.molecules(w.bond_atoms, w.bonds)
+    mols = topology.molecules(w.packed_atoms, w.bonds)
     return mols.select("sim", "timestep", "mol_idx", scalars.hill(smiles.element_counts(F.col("label"))).alias("formula"))
 
 
@@ -280,8 +278,7 @@ def select_elements(w: World) -> DataFrame:
 
 @query("changed_reactions", sql("SELECT sim, t1, t2, cluster FROM rx", "rx"))
 def changed_reactions(w: World) -> DataFrame:
-    both = reactions.cluster_sides(w.molecules, prune=False, held=True)
-    return both.where(scalars.changed(F.col("reactants"), F.col("products"))).select("sim", "t1", "t2", "cluster")
+    return events(w).select("sim", "t1", "t2", "cluster")
 
 
 @query("find_reaction", sql("SELECT sim, t1, t2, cluster FROM rx WHERE reaction = '[''CH''] -> [''C'', ''H'']'", "rx"))
@@ -308,7 +305,7 @@ def adjacent_frames(w: World) -> DataFrame:
 
 @query("link_molecules", sql("SELECT * FROM links", "links"))
 def link_molecules(w: World) -> DataFrame:
-    return reactions.link_molecules(w.membership, topology.adjacent_frames(w.molecules))
+    return reactions.link_molecules(w.packed_molecules, topology.adjacent_frames(w.packed_molecules))
 
 
 @query("align_thermo", sql("SELECT parameter, step, sim, round(CASE WHEN isnan(value) THEN NULL ELSE value END, 6) AS value FROM (SELECT *, count(*) OVER (PARTITION BY parameter, step) AS have FROM thermo) JOIN (SELECT parameter, count(DISTINCT sim) AS want FROM thermo GROUP BY parameter) USING (parameter) WHERE have = want", "thermo"))
@@ -324,14 +321,18 @@ def pair_join(w: World) -> DataFrame:
 
 @query("formula_smiles", sql("SELECT sim, timestep, mol_idx, formula, formula AS label FROM formulas", "formulas"))
 def formula_smiles(w: World) -> DataFrame:
-    return topology.formula_smiles(w.molecules)
+    return topology.formula_smiles(w.packed_molecules)
 
 
 def first_events(w: World) -> DataFrame:
     """The first event of each of the ten commonest reactions."""
     found = store.materialize(events(w), "events")
     top = reactions.top_reactions(reactions.reaction_path_table(found, SIMS), 10).select("reaction")
-    return reactions.first_reaction_occurrence(found).join(F.broadcast(top), "reaction", "left_semi")
+    first = store.materialize(reactions.first_reaction_occurrence(found.join(F.broadcast(top), "reaction", "left_semi")), "first")
+    # their atoms are looked up in their own frames, at most two for each
+    steps = first.select("sim", F.explode(F.array("t1", "t2")).alias("timestep")).distinct()
+    own = packed.molecule_rows(w.packed_molecules.join(F.broadcast(steps), ["sim", "timestep"], "left_semi"))
+    return reactions.reaction_events(own).join(F.broadcast(first.select("sim", "t1", "t2", "cluster")), ["sim", "t1", "t2", "cluster"], "left_semi")
 
 
 #: Places that the atoms of the bond frames are given, by id and frame; the box is the trajectory's.
@@ -368,7 +369,7 @@ def reaction_scene_bonds(w: World) -> DataFrame:
 
 @query("molecule_components", sql("SELECT sim, timestep, atom_id, component, mol_idx FROM members", "members"))
 def molecule_components(w: World) -> DataFrame:
-    return topology.molecule_components(w.bond_atoms, w.bonds)
+    return topology.molecule_components(w.packed_atoms, w.bonds)
 
 
 @query("iterative_components", sql("SELECT sim, timestep, atom_id, component FROM members", "members"))
@@ -379,9 +380,9 @@ def iterative_components(w: World) -> DataFrame:
 @query("reaction_clusters", sql("SELECT sim, t1, t2, side, mol_idx, cluster FROM clusters", "clusters"))
 def reaction_clusters(w: World) -> DataFrame:
     """Clusters named by their smallest node, products standing behind all reactants."""
-    pairs = store.materialize(topology.adjacent_frames(w.molecules), "pairs")
+    pairs = store.materialize(topology.adjacent_frames(w.packed_molecules), "pairs")
     own = lambda t, s: pairs.join(w.molecules.select("sim", F.col("timestep").alias(t), "mol_idx"), ["sim", t]).select("sim", "t1", "t2", F.lit(s).alias("side"), "mol_idx")
-    found = reactions.reaction_clusters(own("t1", 1).unionByName(own("t2", 2)), reactions.link_molecules(w.membership, pairs))
+    found = reactions.reaction_clusters(own("t1", 1).unionByName(own("t2", 2)), reactions.link_molecules(w.packed_molecules, pairs))
     place = F.col("mol_idx") + F.when(F.col("side") == 2, 1 << 30).otherwise(0)
     least = found.groupBy("sim", "t1", "t2", "cluster").agg(F.min(place).cast("int").alias("least"))
     return found.join(least, ["sim", "t1", "t2", "cluster"]).select("sim", "t1", "t2", "side", "mol_idx", F.col("least").alias("cluster"))
@@ -495,22 +496,22 @@ def species_wide(w: World) -> DataFrame:
 
 @query("formulas_observed", sql("SELECT DISTINCT sim, formula FROM formulas", "formulas"))
 def formulas_observed(w: World) -> DataFrame:
-    return topology.formulas_observed(w.molecules)
+    return topology.formulas_observed(w.packed_molecules)
 
 
 @query("smiles_for_formula", sql("SELECT DISTINCT sim, formula, formula AS label FROM formulas", "formulas"))
 def smiles_for_formula(w: World) -> DataFrame:
-    return topology.smiles_for_formula(w.molecules)
+    return topology.smiles_for_formula(w.packed_molecules)
 
 
 @query("first_appearance", sql("SELECT sim, formula AS value, min(timestep) AS timestep, arg_min(mol_idx, (timestep, mol_idx)) AS mol_idx FROM formulas GROUP BY sim, formula", "formulas"))
 def first_appearance(w: World) -> DataFrame:
-    return topology.first_appearance(w.molecules, frames=w.bond_frames)
+    return topology.first_appearance(w.packed_molecules, frames=w.bond_frames)
 
 
 @query("atom_evolution", sql("SELECT sim, atom_id, string_agg(label, ',' ORDER BY timestep) AS labels FROM labelled GROUP BY sim, atom_id", "labelled"))
 def atom_evolution(w: World) -> DataFrame:
-    return topology.atom_evolution(w.membership, w.bond_frames).select("sim", "atom_id", F.array_join(F.transform("labels", lambda x: x.label), ",").alias("labels"))
+    return topology.atom_evolution(w.packed_molecules, w.bond_frames).select("sim", "atom_id", F.array_join(F.transform("labels", lambda x: x.label), ",").alias("labels"))
 
 
 RUNS_SQL = """SELECT sim, atom_id, CAST(run AS INTEGER) AS run, any_value(label) AS label, min(timestep) AS first, max(timestep) AS last, count(*) AS n
@@ -519,7 +520,7 @@ FROM (SELECT *, sum(new) OVER (PARTITION BY sim, atom_id ORDER BY timestep) AS r
 
 @query("atom_runs", sql(RUNS_SQL, "labelled"))
 def atom_runs(w: World) -> DataFrame:
-    return topology.atom_runs(w.membership, w.bond_frames).drop("begin", "end")
+    return topology.atom_runs(w.packed_molecules, w.bond_frames).drop("begin", "end")
 
 
 @query("components_of_any_size", sql("SELECT sim, timestep, atom_id, component, mol_idx FROM members", "members"))
@@ -534,8 +535,8 @@ def components_of_any_size(w: World) -> DataFrame:
 def match_compositions(w: World) -> DataFrame:
     """Formulas with their elements written backwards, as another program might, find their Hill formulas."""
     parts = F.regexp_extract_all("formula", F.lit("[A-Z][a-z]?[0-9]*"), F.lit(0))
-    names = w.molecules.select(F.array_join(F.reverse(parts), "").alias("species"))
-    return species.match_compositions(names, w.molecules)
+    known = topology.formulas_observed(w.packed_molecules)
+    return species.match_compositions(known.select(F.array_join(F.reverse(parts), "").alias("species")), known)
 
 
 # Windows, sorts, top-k -------------------------------------------------------------------------------
