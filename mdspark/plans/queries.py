@@ -374,7 +374,7 @@ def molecule_components(w: World) -> DataFrame:
 
 @query("iterative_components", sql("SELECT sim, timestep, atom_id, component FROM members", "members"))
 def iterative_components(w: World) -> DataFrame:
-    return topology.iterative_components(w.bond_atoms, w.bonds)
+    return topology.iterative_components(w.packed_atoms, w.bonds)
 
 
 @query("reaction_clusters", sql("SELECT sim, t1, t2, side, mol_idx, cluster FROM clusters", "clusters"))
